@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from .ann import OP7_SQL, op7_nearest_neighbours
 from .decontaminate import OP10_SQL, op10_decontamination
 from .mixing import OP4_SQL, op4_source_mixing
+from .quality import op8_quality_classifier
 from .secrets import op1_secret_scan
+from .token_files import op9_token_output
 from .url_filters import OP5_SQL, op5_url_filters
 from .warc import OP3_SQL, op3_warc_revisits
 
@@ -13,11 +16,15 @@ QUERIES = {
     "op3_warc_revisits": op3_warc_revisits,
     "op4_source_mixing": op4_source_mixing,
     "op5_url_filters": op5_url_filters,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op9_token_output": op9_token_output,
     "op10_decontamination": op10_decontamination,
 }
 ORACLE_SQL = {
     "op3_warc_revisits": OP3_SQL,
     "op4_source_mixing": OP4_SQL,
     "op5_url_filters": OP5_SQL,
+    "op7_nearest_neighbours": OP7_SQL,
     "op10_decontamination": OP10_SQL,
 }
