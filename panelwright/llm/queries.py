@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import OP7_SQL, op7_nearest_neighbours
 from .decontaminate import OP10_SQL, op10_decontamination
 from .mixing import OP4_SQL, op4_source_mixing
+from .html_text import op6_html_extraction
 from .quality import op8_quality_classifier
 from .secrets import op1_secret_scan
 from .token_files import op9_token_output
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_warc_revisits": op3_warc_revisits,
     "op4_source_mixing": op4_source_mixing,
     "op5_url_filters": op5_url_filters,
+    "op6_html_extraction": op6_html_extraction,
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_token_output": op9_token_output,
