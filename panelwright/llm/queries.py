@@ -6,6 +6,7 @@ from .ann import OP7_SQL, op7_nearest_neighbours
 from .decontaminate import OP10_SQL, op10_decontamination
 from .mixing import OP4_SQL, op4_source_mixing
 from .html_text import op6_html_extraction
+from .near_dups import OP2_SQL, op2_near_duplicates
 from .quality import op8_quality_classifier
 from .secrets import op1_secret_scan
 from .token_files import op9_token_output
@@ -14,6 +15,7 @@ from .warc import OP3_SQL, op3_warc_revisits
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_warc_revisits": op3_warc_revisits,
     "op4_source_mixing": op4_source_mixing,
     "op5_url_filters": op5_url_filters,
@@ -24,6 +26,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 ORACLE_SQL = {
+    "op2_near_duplicates": OP2_SQL,
     "op3_warc_revisits": OP3_SQL,
     "op4_source_mixing": OP4_SQL,
     "op5_url_filters": OP5_SQL,
