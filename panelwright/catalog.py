@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import queries_evaluation, queries_series  # noqa: F401  (they register)
+from .plans.registry import ORACLE_SQL, QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
