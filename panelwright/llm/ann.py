@@ -115,6 +115,9 @@ def scan_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, c
     inverse, _ = pd.factorize(np.array([v.tobytes() for v in c], object))
     first = np.unique(inverse, return_index=True)[1]
     by_vector = np.argsort(inverse, kind="stable")
+    again = np.zeros(len(cid), bool)  # rows that repeat an id and its vector
+    again[1:] = (np.diff(cid[by_vector]) == 0) & (np.diff(inverse[by_vector]) == 0)
+    by_vector = by_vector[~again]
     starts = np.searchsorted(inverse[by_vector], np.arange(len(first) + 1))
     few, packed = c[first], np.ascontiguousarray(codes[first].T)
     out_q, out_c, out_s = [], [], []
