@@ -321,6 +321,11 @@ def distribution_fields(d: str) -> dict[str, Column]:
     return {"iqr": g("p75") - g("p25"), "upside_ratio": F.try_divide(g("p95") - g("p50"), g("p50") - g("p5")), "var95": -g("p5"), "risk_adjusted": F.try_divide(g("mean"), g("std"))}
 
 
+def sample_step(a, which: str = "last") -> Column:
+    """One number of a path: its last, first or summed step, or the median, mean or trimmed mean of all."""
+    return {"last": F.element_at(col(a), -1), "first": F.get(col(a), F.lit(0)), "sum": F.aggregate(col(a), F.lit(0.0), lambda t, x: t + x), "median": array_quantile(a, 0.5), "mean": array_mean(a), "trimmed": trimmed_mean(a)}[which]
+
+
 # Texts, payloads --------------------------------------------------------------------------
 
 

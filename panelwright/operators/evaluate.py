@@ -239,3 +239,12 @@ def monotonicity(buckets: DataFrame, value: str, order: str, keys: list[str], sl
 def failure_auroc(daily: DataFrame, risk: str, keys: list[str]) -> DataFrame:
     """How well a risk measure ranks the dates on which the IC is negative."""
     return auroc(daily.withColumn("_bad", (F.col("rank_ic") < 0).cast("int")), "_bad", risk, keys)
+
+
+def align_scores(base: DataFrame, others: dict[str, DataFrame], on: list[str]) -> DataFrame:
+    """The base rows with each other table's score (NULL where it has none) under its name; keys of the others are made unique by
+    their mean."""
+    out = base
+    for name, d in others.items():
+        out = out.join(d.groupBy(*on).agg(F.avg("score").alias(name)), on, "left")
+    return out

@@ -82,11 +82,11 @@ def monthly_means(df: DataFrame, values: list[str], by: list[str], date: str) ->
     return df.groupBy(*by, F.trunc(date, "month").alias("month")).agg(*[F.avg(v).alias(v) for v in values], F.count(F.lit(1)).alias("n"))
 
 
-def window_statistics(df: DataFrame, windows: DataFrame, value: str, date: str, ic: str | None = None, least: float = 0.2) -> DataFrame:
+def window_statistics(df: DataFrame, windows: DataFrame, value: str, date: str, ic: str | None = None, least: float = 0.2, by: list[str] | None = None) -> DataFrame:
     """windows: name, start, end (a few).  Mean, median, extremes, share under ``least``, and the verdicts' IC."""
     d = df.join(F.broadcast(windows), F.col(date).between(F.col("start"), F.col("end")))
     aggs = [F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg((F.col(value) < least).cast("double")).alias("abstain_share")]
-    return d.groupBy("name").agg(*aggs, *([F.avg(ic).alias("mean_ic")] if ic else []))
+    return d.groupBy("name", *(by or [])).agg(*aggs, *([F.avg(ic).alias("mean_ic")] if ic else []))
 
 
 def adopt_or_retain(table: DataFrame, incumbent: str, metric: str = "sharpe", gain: float = 0.05, model: str = "model") -> DataFrame:

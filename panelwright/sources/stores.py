@@ -76,6 +76,10 @@ def write_labels(labels: DataFrame, path: str) -> None:
     labels.repartition("horizon", F.pmod(F.xxhash64("ticker"), F.lit(16))).write.mode("overwrite").partitionBy("horizon").parquet(path)
 
 
+def write_metadata(spark: SparkSession, values: dict[str, str], path: str) -> None:
+    spark.createDataFrame(list(values.items()), "key string, value string").coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     """Replace only the partitions that ``df`` has."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
