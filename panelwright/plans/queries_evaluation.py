@@ -296,3 +296,145 @@ def ticker_changes(v):
 def recency_block(v):
     f = v.statements.where("field = 'revenue' AND observed_at = filing_date").select("ticker", "filing_date")
     return events.recency(v.mbars.select("ticker", F.col("month").alias("date")), f)
+
+
+# More of the inventory ---------------------------------------------------------------------------
+
+
+@query("eligible_and_least_names", sql("SELECT as_of_date, count(*) AS n FROM ev WHERE as_of_date IN (SELECT as_of_date FROM ev GROUP BY 1 HAVING count(DISTINCT horizon) = 2) AND (as_of_date, horizon) IN (SELECT as_of_date, horizon FROM ev GROUP BY 1, 2 HAVING count(*) >= 50) GROUP BY 1", "ev"))
+def eligible_and_least_names(v):
+    d = labels.least_names(labels.eligible_dates(v.ev, 2), KEYS, 50)
+    return d.groupBy("as_of_date").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("future_sessions", sql("SELECT session, CAST(len(a) AS INTEGER) AS n, a[len(a)] AS last_session FROM (SELECT session, list(session) OVER (ORDER BY session_idx ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) AS a FROM cal) WHERE len(a) > 0", "bench", cal=CAL))
+def future_sessions(v):
+    d = labels.future_sessions(labels.sessions(v.bench), 20).where(F.size("next_sessions") > 0)
+    return d.select("session", F.size("next_sessions").alias("n"), F.element_at("next_sessions", -1).alias("last_session"))
+
+
+@query("snap_to_session", sql("SELECT d, (SELECT max(session) FROM cal WHERE session <= d) AS on_or_before, (SELECT min(session) FROM cal WHERE session >= d) AS on_or_after FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)", "bench", cal=CAL))
+def snap_to_session(v):
+    c = labels.sessions(v.bench)
+    d = v.table("orders").select(F.col("o_orderdate").cast("date").alias("d")).distinct()
+    return labels.snap(labels.snap(d, c, "d", "on_or_before"), c, "d", "on_or_after", True).select("d", "on_or_before", "on_or_after")
+
+
+@query("baseline_scores", sql("SELECT as_of_date, horizon, ticker, 'momentum_composite' AS baseline, round((mom_1m + score) / 2, 6) AS score FROM ev WHERE mom_1m IS NOT NULL UNION ALL SELECT as_of_date, horizon, ticker, 'mom_12m', round(score, 6) FROM ev UNION ALL SELECT as_of_date, horizon, ticker, 'short_term_strength', round(mom_1m, 6) FROM ev WHERE mom_1m IS NOT NULL", "ev"))
+def baseline_scores(v):
+    d = v.ev.withColumns({"mom_12m": F.col("score"), "mom_3m": F.lit(None).cast("double"), "mom_6m": F.lit(None).cast("double")})
+    return rounded(evaluate.baselines(d).where("baseline <> 'naive_random'").select("as_of_date", "horizon", "ticker", "baseline", "score"))
+
+
+@query("cost_survival", sql(f"SELECT horizon, round(avg((m > 0)::INT), 6) AS positive_folds, count(*) AS n_folds FROM (SELECT horizon, fold_id, quantile_cont(t, 0.5) AS m FROM (SELECT fold_id, horizon, as_of_date, avg(excess_return) FILTER (k <= 10) AS t FROM ({TOP}) WHERE n >= 10 GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1", "ev"))
+def cost_survival(v):
+    return rounded(evaluate.cost_survival(evaluate.per_date(v.ev), ["horizon"]))
+
+
+@query("signal_gates", sql(f"SELECT horizon, avg(rank_ic) >= 0.02 AS gate1, avg((rank_ic > 0)::INT) >= 0.55 AS gate2, avg(rank_ic) / stddev_samp(rank_ic) >= 0.1 AS gate3 FROM ({IC}) WHERE rank_ic IS NOT NULL GROUP BY 1", "ev"))
+def signal_gates(v):
+    return evaluate.signal_gates(evaluate.rank_ic(v.ev), ["horizon"]).select("horizon", "gate1", "gate2", "gate3")
+
+
+@query("churn_diagnostics", sql("SELECT horizon, count(*) AS n, round(quantile_cont(churn, 0.5), 6) AS median_churn, round(quantile_cont(churn, 0.9), 6) AS p90_churn, round(avg((churn > 0.5)::INT), 6) AS high_share FROM (SELECT b.horizon, b.as_of_date, 1 - count(p.ticker) / 10.0::DOUBLE AS churn FROM book b JOIN bp USING (horizon, as_of_date) LEFT JOIN book p ON p.horizon = b.horizon AND p.as_of_date = bp.prev AND p.ticker = b.ticker WHERE bp.prev IS NOT NULL GROUP BY 1, 2) GROUP BY 1", "ev", book=BOOK, bd=BOOKD, bp=BOOKP))
+def churn_diagnostics(v):
+    return rounded(evaluate.churn_diagnostics(evaluate.churn(v.ev, 10), ["horizon"]))
+
+
+@query("ic_stability_of_features", sql(f"SELECT feature, count(*) AS n_dates, round(avg(ic), 6) AS mean_ic, round(stddev_pop(ic), 6) AS std_ic FROM (SELECT feature, as_of_date, {corr('x', 'y')} AS ic, count(*) AS n FROM (SELECT feature, as_of_date, {ar('value', 'feature, as_of_date')} AS x, {ar('excess_return', 'feature, as_of_date')} AS y FROM (SELECT as_of_date, excess_return, 'adv' AS feature, adv AS value FROM ev WHERE horizon = 20 UNION ALL SELECT as_of_date, excess_return, 'mom_1m', mom_1m FROM ev WHERE horizon = 20) WHERE value IS NOT NULL) GROUP BY 1, 2) WHERE n >= 10 AND ic IS NOT NULL GROUP BY 1 HAVING count(*) >= 12", "ev"))
+def ic_stability_of_features(v):
+    d = evaluate.feature_ic(v.ev.where("horizon = 20"), ["adv", "mom_1m"], "excess_return", ["as_of_date"])
+    return rounded(evaluate.ic_stability(d, ["feature"]).select("feature", "n_dates", "mean_ic", "std_ic"))
+
+
+@query("neutralized_ic", sql(f"SELECT month, round({corr('x', 'y')}, 6) AS ic_sector FROM (SELECT month, {ar('e', 'month')} AS x, {ar('mom_1m', 'month')} AS y FROM (SELECT *, round(mom_12m - avg(mom_12m) OVER (PARTITION BY month, sector), 9) AS e, count(*) OVER (PARTITION BY month) AS n FROM mpanel WHERE mom_12m IS NOT NULL AND sector IS NOT NULL) WHERE n >= 5) GROUP BY 1", "mpanel"))
+def neutralized_ic(v):
+    from ..operators import cross
+
+    d = labels.least_names(v.mpanel.where("mom_12m IS NOT NULL AND sector IS NOT NULL"), ["month"], 5)
+    d = cross.neutralize(d, "mom_12m", ["month"], sector="sector").withColumn("neutral", F.round("neutral", 9))
+    return rounded(R.spearman(d, "neutral", "mom_1m", ["month"], "ic_sector").select("month", "ic_sector"))
+
+
+@query("confusion_by_horizon", sql("SELECT horizon, CAST(count(*) FILTER (y AND p) AS BIGINT) AS tp, CAST(count(*) FILTER (NOT y AND p) AS BIGINT) AS fp, round(count(*) FILTER (y AND p) / CAST(count(*) FILTER (p) AS DOUBLE), 6) AS precision, round(count(*) FILTER (y AND p) / CAST(count(*) FILTER (y) AS DOUBLE), 6) AS recall FROM (SELECT horizon, excess_return > 0 AS y, score > 0 AS p FROM ev) GROUP BY 1", "ev"))
+def confusion_by_horizon(v):
+    d = v.ev.withColumns({"y": (F.col("excess_return") > 0).cast("int"), "p": (F.col("score") > 0).cast("int")})
+    return rounded(R.confusion(d, "y", "p", ["horizon"]).select("horizon", "tp", "fp", "precision", "recall"))
+
+
+@query("ks_of_periods", sql("SELECT horizon, round(max(abs(ca / na - cb / nb)), 6) AS ks FROM (SELECT horizon, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER (PARTITION BY horizon) AS na, sum(b) OVER (PARTITION BY horizon) AS nb FROM (SELECT horizon, score, CAST(sum((as_of_date >= DATE '1998-01-01')::INT) AS DOUBLE) AS a, CAST(sum((as_of_date < DATE '1998-01-01')::INT) AS DOUBLE) AS b FROM ev GROUP BY 1, 2) WINDOW w AS (PARTITION BY horizon ORDER BY score ROWS UNBOUNDED PRECEDING)) GROUP BY 1", "ev"))
+def ks_of_periods(v):
+    d = v.ev.withColumn("late", F.col("as_of_date") >= F.lit("1998-01-01").cast("date"))
+    return rounded(R.ks_statistic(d, "score", "late", ["horizon"]).select("horizon", "ks"))
+
+
+@query("selective_ic", sql(f"SELECT horizon, count(*) AS n FROM (SELECT DISTINCT horizon, as_of_date FROM ls) GROUP BY 1", "ls"))
+def selective_ic(v):
+    d = uncertainty.selective_ic(v.ls, ["horizon"])
+    n = v.ls.select("horizon", "as_of_date").distinct().groupBy("horizon").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(d.select("horizon").distinct(), "horizon")
+
+
+@query("failure_auroc", sql("SELECT horizon, round((sum(rk) FILTER (y = 1) - p * (p + 1) / 2.0) / (p * q), 6) AS auroc FROM (SELECT horizon, y, rank() OVER (PARTITION BY horizon ORDER BY ehat_raw) + (count(*) OVER (PARTITION BY horizon, ehat_raw) - 1) / 2.0 AS rk, sum(y) OVER (PARTITION BY horizon) AS p, sum(1 - y) OVER (PARTITION BY horizon) AS q FROM (SELECT horizon, ehat_raw, (rank_loss > quantile_cont(rank_loss, 0.8) OVER (PARTITION BY horizon))::INT AS y FROM ls)) GROUP BY horizon, p, q", "ls"))
+def failure_auroc(v):
+    return rounded(uncertainty.failure_detection(v.ls, ["horizon"]).select("horizon", "auroc"))
+
+
+@query("archive_summary", sql("SELECT horizon, count(*) AS n, count(DISTINCT fold_id) AS n_folds, count(DISTINCT as_of_date) AS n_dates, count(DISTINCT ticker) AS n_tickers, round(avg(rank_loss), 6) AS mean_loss, round(quantile_cont(rank_loss, 0.5), 6) AS median_loss FROM ls GROUP BY 1", "ls"))
+def archive_summary(v):
+    from ..operators import audits
+
+    return rounded(audits.archive_summary(v.ls.withColumn("loss", F.col("rank_loss")), ["horizon"]))
+
+
+@query("identifier_intervals", "SELECT as_of, CAST(s_suppkey AS VARCHAR) AS stable_id, CASE WHEN s_suppkey % 3 = 0 AND as_of >= DATE '1996-07-01' THEN 'NEW-' || s_name ELSE s_name END AS ticker FROM supplier, (VALUES (DATE '1996-06-30'), (DATE '1996-07-01')) t(as_of)")
+def identifier_intervals(v):
+    return ticker_changes(v).select("as_of", "stable_id", "ticker")
+
+
+@query("survivors_missing", sql("SELECT ticker, max(month) AS last_seen FROM mbars WHERE ticker NOT IN (SELECT ticker FROM mbars WHERE month = (SELECT max(month) FROM mbars)) GROUP BY 1", "mbars"))
+def survivors_missing(v):
+    top = v.mbars.agg(F.max("month").alias("month"))
+    return pit.survivors_missing(v.mbars, v.mbars.join(top, "month"), "ticker", "month")
+
+
+@query("weight_turnover", sql("SELECT as_of_date, round(sum(abs(coalesce(a.w, 0) - coalesce(b.w, 0))) / 2, 6) AS turnover FROM (SELECT coalesce(a.as_of_date, b.nxt) AS as_of_date, a.w AS aw, b.w AS bw FROM (SELECT as_of_date, ticker, 0.1::DOUBLE AS w FROM book WHERE horizon = 20) a FULL JOIN (SELECT nxt, ticker, 0.1::DOUBLE AS w FROM book JOIN bn USING (horizon, as_of_date) WHERE horizon = 20 AND nxt IS NOT NULL) b ON a.as_of_date = b.nxt AND a.ticker = b.ticker) x, LATERAL (SELECT aw AS w) a, LATERAL (SELECT bw AS w) b WHERE as_of_date > (SELECT min(as_of_date) FROM bd WHERE horizon = 20) GROUP BY 1", "ev", book=BOOK, bd=BOOKD, bn="SELECT *, lead(as_of_date) OVER (PARTITION BY horizon ORDER BY as_of_date) AS nxt FROM bd"))
+def weight_turnover(v):
+    from ..operators import cross
+
+    d = v.ev.where("horizon = 20").withColumns({"_r": cross.deterministic_rank("score", "ticker", "as_of_date"), "_n": F.count("score").over(Window.partitionBy("as_of_date"))})
+    d = d.where("_r <= 10 AND _n >= 10").withColumn("w", F.lit(0.1))
+    return rounded(portfolio.weight_turnover(d, [], "as_of_date", "ticker", "w"))
+
+
+@query("surprise_features", sql("SELECT event_id, round(avg(value) OVER (PARTITION BY ticker ORDER BY observed_at, event_id ROWS 3 PRECEDING), 6) AS surprise_mean4, round(stddev_samp(value) OVER (PARTITION BY ticker ORDER BY observed_at, event_id ROWS 7 PRECEDING), 6) AS surprise_std8 FROM pe", "pe"))
+def surprise_features(v):
+    d = v.events.withColumn("at", F.struct("observed_at", "event_id"))
+    return rounded(events.surprise_features(d, date="at", value="value").select("event_id", "surprise_mean4", "surprise_std8"))
+
+
+@query("conformal_coverage", None)
+def conformal_coverage(v):
+    d = uncertainty.conformal(v.ls, "ehat", 0.1, 12, 6)
+    return rounded(uncertainty.coverage(d, ["horizon"]))
+
+
+@query("regime_trust", None)
+def regime_trust(v):
+    d = health.combine(health.realized(health.daily_ic(v.ev), 2, least=6), least=12)
+    return rounded(health.regime_trust(d, ["G_exposure", "H_combined"], ["horizon"]))
+
+
+@query("score_drift", None)
+def score_drift(v):
+    return rounded(health.score_drift(v.ev, dates=6, per_date=20))
+
+
+@query("pair_correlation_level", None)
+def pair_correlation_level(v):
+    return rounded(stats.mean_pair_correlation(v.mpanel, "mom_1m", "ticker", "month", 12))
+
+
+@query("variance_inflation", None)
+def variance_inflation(v):
+    return rounded(stats.vif(v.mpanel, ["mom_1m", "mom_3m", "mom_6m", "vol_6m"]))
