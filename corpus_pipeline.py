@@ -35,8 +35,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     id one stays; rows without an id stay."""
     found = near_duplicates(docs, SHINGLE, PERCENT)
     dropped = found.where("doc_id IS NOT NULL AND NOT kept").select("doc_id").distinct()
-    w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    one = docs.where("doc_id IS NOT NULL").join(dropped, "doc_id", "left_anti").select(*docs.columns).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    w = Window.partitionBy("doc_id").orderBy("_h")
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("_h"), F.struct(*docs.columns).alias("_row"))
+    one = rows.join(dropped, "doc_id", "left_anti").withColumn("_n", F.row_number().over(w)).where("_n = 1").select("_row.*")
     return one.unionByName(docs.where("doc_id IS NULL"))
 
 
@@ -48,10 +49,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the sources' budgets take."""
     _, cuts = mix(docs, share=MIX_SHARE, max_epochs=MIX_EPOCHS)
-    marked = docs.withColumn("domain", source_domain(F.col("source")))
-    taken = marked.join(stored(cuts, "cuts"), F.expr("domain <=> _domain AND lang <=> _lang AND source <=> _source"))
-    taken = taken.withColumn("_times", times_taken().cast("int")).where("_times > 0")
-    return taken.select(*docs.columns)
+    rows = docs.select("doc_id", "lang", "source", source_domain(F.col("source")).alias("domain"), F.struct(*docs.columns).alias("_row"))
+    taken = rows.join(stored(cuts, "cuts"), F.expr("domain <=> _domain AND lang <=> _lang AND source <=> _source"))
+    return taken.where(times_taken() > 0).select("_row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
