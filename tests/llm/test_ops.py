@@ -89,9 +89,10 @@ def varied(draw, base, changes):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("small,levels", [(384, 8), (8, 8), (8, 2)])
-def test_near_duplicates_match_brute_force(spark, monkeypatch, small, levels):
+@pytest.mark.parametrize("small,levels,block", [(2048, 8, 256), (8, 8, 6), (8, 2, 6), (2048, 8, 6)])
+def test_near_duplicates_match_brute_force(spark, monkeypatch, small, levels, block):
     monkeypatch.setattr(near_dups, "SMALL", small)
+    monkeypatch.setattr(near_dups, "BLOCK", block)
     monkeypatch.setattr(near_dups, "MOST_LEVELS", levels)
     draw = random.Random(small + levels)
     words = [f"v{i}" for i in range(200)]
