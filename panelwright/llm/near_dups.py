@@ -3,16 +3,20 @@
 Documents with equal shingle sets are one class; classes are joined.  In each of TREES
 independent trees a class walks down from the root: at a node it follows BRANCHES coordinates
 of its MinHash signature, chosen by the node, into the children named by its minwise tokens
-there.  Classes that meet in a small node are compared exhaustively (signatures first, then the
-full sets).  With two branches a pair at the threshold survives every level of a tree with
-probability 0.97 or more, so four trees miss about one in a million.
-
-A large node of mostly alike classes would never become small.  There a pivot is drawn; the
-ball around it (all that is more alike than NEAR to it) is settled by full sets: members are
-held against the pivot in chunks, and those that did not get linked to it against all others,
-block by block.  What lies outside the ball goes on branching; the two parts overlap by more
-than a linked pair can differ in its likeness to the pivot.  No group is ever larger than a
-chunk, and nothing is dropped.
+there.  Classes that meet in a small node are compared exhaustively: first by their sketches,
+and those which are near by their full sets.  With two branches a pair at the threshold survives
+every level of a tree with probability 0.97 or more, so four trees miss about one in a million.
+
+The join has two rounds.  The first looks at one coordinate only and finds most links cheaply.  The
+second walks all trees; pairs that the first round has connected need no further look, so whole
+nodes drop out.  What sizes and sketches cannot tell apart is held together by its full sets, in
+groups of a bounded number of texts that follow the pairs in question.
+
+A large node is first cut by set sizes (linked sets are nearly of one size).  One of mostly alike
+classes would never become small by branching: there a pivot is drawn, and the ball around it is
+settled in blocks like a family's; what lies outside goes on branching, and ball and rest overlap by
+more than a linked pair can differ in its likeness to the pivot.  No group is larger than SMALL, no
+group of texts larger than BLOCK, and nothing is dropped.
 """
 
 from __future__ import annotations
@@ -27,18 +31,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, table
+from .common import release, stored, table
 from .components import components
 
 SHINGLE, NUMERATOR = 3, 85
-COORDINATES, TREES, BRANCHES = 128, 4, 2
-SMALL = 48
+COORDINATES, TREES, BRANCHES = 192, 4, 2
+SMALL = 2048
+#: Texts of a group that is confirmed by full sets, at most.
+BLOCK = 256
 MOST_LEVELS = 8
-#: Signatures may fall short of the threshold by this much (4.5 standard errors).
-MARGIN = 0.15
-#: A node is dense if at least half of it is this near to its pivot; the ball and the rest overlap.
-DENSE_SHARE, BALL_FROM, REST_BELOW = 0.5, 0.5, 0.8
-CHUNK = 256
+#: Sketches may fall short of the threshold by this much (4.5 standard errors).
+MARGIN = 0.12
+#: A node is dense if at least half of it is near to its pivot; the ball and the rest overlap.
+DENSE_SHARE, BALL_FROM, REST_BELOW = 0.5, 0.4, 0.65
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _draw = np.random.default_rng(11)
@@ -157,46 +162,117 @@ def roots(n: int, pairs: Iterator[tuple[int, int]]) -> tuple[list[int], list[tup
     return [top(i) for i in range(n)], made
 
 
-def alike_groups(least: float):
-    """Per list of a small node: its classes that signatures cannot tell apart, by connected part."""
+def near_pairs(least: float, numerator: int, hubs: bool = False):
+    """Rows (lid, side, cid, comp, n, sketch) of lists, sorted by lid: of each list the classes with a partner of another component
+    that sizes and sketches cannot tell apart, in groups for ``confirmed`` (``hubs``: in whole connected parts).  Sides 1 and 2: only pairs across."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in runs_of(batches):
-            key, cid = frame["lid"].to_numpy(), frame["cid"].to_numpy()
+            key, cid, comp, side, n = (frame[c].to_numpy() for c in ("lid", "cid", "comp", "side", "n"))
             sketches = sketch_matrix(frame["sketch"])
+
+            def may(i, j):
+                return (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 0)) & (100 * np.minimum(n[i], n[j]) >= numerator * np.maximum(n[i], n[j]))
+
+            bounds = np.flatnonzero(np.diff(key, prepend=key[0] - 1, append=key[-1] + 1))
+            sizes = np.diff(bounds)
+            short = np.repeat(sizes <= 8, sizes)
             found_a, found_b = [], []
-            for step in range(1, SMALL):
-                at = np.flatnonzero(key[step:] == key[:-step])
-                if not len(at):
-                    break
+            for step in range(1, 8):  # short lists together, by the distance of their rows
+                at = np.flatnonzero((key[step:] == key[:-step]) & short[step:])
+                at = at[may(at, at + step)]
                 for k in range(0, len(at), 8192):
                     own = at[k : k + 8192]
                     near = own[(sketches[own] == sketches[own + step]).mean(1) >= least]
                     found_a.append(near)
                     found_b.append(near + step)
-            if not found_a:
+            for lo, hi in zip(bounds[:-1][sizes > 8], bounds[1:][sizes > 8]):
+                order = lo + np.argsort(n[lo:hi], kind="stable")
+                reach = np.searchsorted(n[order], n[order] * 100 // numerator, side="right")
+                for k in range(len(order) - 1):
+                    i, others = order[k], order[k + 1 : reach[k]]
+                    others = others[may(i, others)]
+                    if len(others):
+                        near = others[(sketches[others] == sketches[i]).mean(1) >= least]
+                        found_a.append(np.full(len(near), i))
+                        found_b.append(near)
+            a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (found_a, found_b))
+            if not len(a):
                 continue
-            a, b = np.concatenate(found_a), np.concatenate(found_b)
             used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
             part, _ = roots(len(used), zip(place[: len(a)].tolist(), place[len(a) :].tolist()))
-            members: dict[int, list[int]] = {}
-            for i, p in zip(used.tolist(), part):
-                members.setdefault(p, []).append(int(cid[i]))
-            gid, out = [], []
-            for m in members.values():
-                m.sort()
-                gid += [class_id(np.array(m, np.int64))] * len(m)
-                out += m
-            yield pa.RecordBatch.from_arrays([pa.array(gid, pa.int64()), pa.array(out, pa.int64())], ["gid", "cid"])
+            if hubs:  # whole connected parts, named by their smallest
+                gid, out = pd.Series(cid[used]).groupby(np.array(part)).transform("min").to_numpy(), cid[used]
+                sides = np.zeros(len(out), np.int32)
+            else:
+                gid, sides, out = text_groups(cid[used], np.array(part), place[: len(a)], place[len(a) :])
+            yield pa.RecordBatch.from_arrays([pa.array(gid, pa.int64()), pa.array(sides, pa.int32()), pa.array(out, pa.int64())], ["gid", "side", "cid"])
 
     return run
 
 
+def text_groups(cid: np.ndarray, part: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Groups (gid, side, cid) of BLOCK classes at most that hold both ends of every pair (a, b).
+
+    A connected part that fits is one group.  A larger one is put in breadth-first order and cut into halves of a block;
+    two halves are a group if a pair joins them."""
+    gid: list[int] = []
+    sides: list[int] = []
+    out: list[int] = []
+
+    def put(left: np.ndarray, right: np.ndarray | None = None) -> None:
+        every = np.sort(cid[left]) if right is None else np.concatenate([np.sort(cid[left]), [0], np.sort(cid[right])])
+        g = class_id(every.astype(np.int64))
+        for side, own in ((0, left),) if right is None else ((1, left), (2, right)):
+            gid.extend([g] * len(own))
+            sides.extend([side] * len(own))
+            out.extend(cid[own].tolist())
+
+    order = np.argsort(part, kind="stable")
+    bounds = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
+    large = np.zeros(len(cid), bool)
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        if hi - lo <= BLOCK:
+            put(order[lo:hi])
+        else:
+            large[order[lo:hi]] = True
+    if large.any():
+        keep = large[a]
+        x, y = np.concatenate([a[keep], b[keep]]), np.concatenate([b[keep], a[keep]])
+        by = np.argsort(x, kind="stable")
+        x, y = x[by], y[by]
+        starts = np.searchsorted(x, np.arange(len(cid) + 1))
+        rank, n = np.full(len(cid), -1), 0
+        for root in np.flatnonzero(large):
+            if rank[root] >= 0:
+                continue
+            rank[root], front = n, [root]
+            n += 1
+            while front:
+                near = np.unique(np.concatenate([y[starts[f] : starts[f + 1]] for f in front]))
+                front = near[rank[near] < 0].tolist()
+                rank[front] = np.arange(n, n + len(front))
+                n += len(front)
+        half = rank // (BLOCK // 2)
+        members = np.argsort(np.where(large, half, -1), kind="stable")
+        edge = np.searchsorted(np.where(large, half, -1)[members], np.arange(half.max() + 2))
+        i, j = half[a[keep]], half[b[keep]]
+        for h in np.unique(np.minimum(i, j) * (1 << 32) + np.maximum(i, j)).tolist():
+            p, q = h >> 32, h & 0xFFFFFFFF
+            put(members[edge[p] : edge[p + 1]], None if p == q else members[edge[q] : edge[q + 1]])
+    return gid, sides, out
+
+
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections: products of 0/1 matrices over the shingles both sides have."""
+    """Sizes of all intersections: products of 0/1 matrices over the shingles both sides have.  ``right`` may be ``left`` itself;
+    then the diagonal is not to be used."""
     ls, rs = np.array([len(s) for s in left]), np.array([len(s) for s in right])
     lc, rc = np.concatenate(left), np.concatenate(right)
-    common = np.intersect1d(np.unique(lc), np.unique(rc), assume_unique=True)
+    if left is right:  # of a set with itself nothing is asked, so shingles that only one has don't matter
+        found, counts = np.unique(lc, return_counts=True)
+        common = found[counts > 1]
+    else:
+        common = np.intersect1d(np.unique(lc), np.unique(rc), assume_unique=True)
     out = np.zeros((len(left), len(right)), np.float32)
     if not len(common):
         return out.astype(np.int64)
@@ -224,9 +300,9 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], numerator: int) -> n
 
 
 def confirmed(width: int, numerator: int):
-    """Groups (gid, side, cid, text): edges between classes that are linked by their full sets, a
-    spanning forest of each group.  With side 0 all pairs are compared, else those of sides 1
-    and 2.  A text that is not of its class (its doc_id repeats with other texts) is left out."""
+    """Groups (gid, side, cid, text): edges between classes that are linked by their full sets, a spanning forest of each group.
+    With side 0 all pairs are compared, else those of sides 1 and 2.  A text that is not of its class (its doc_id repeats with
+    other texts) is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -236,16 +312,16 @@ def confirmed(width: int, numerator: int):
             for lo, hi in zip(bounds[:-1], bounds[1:]):
                 g = frame.iloc[lo:hi]
                 sets = [shingle_set(t, width, memo) for t in g["text"]]
-                right = [class_id(s) == c for s, c in zip(sets, g["cid"])]
-                g, sets = g[right], [s for s, r in zip(sets, right) if r]
-                cid, side = g["cid"].to_numpy(), g["side"].to_numpy()
-                one, two = (np.arange(len(g)),) * 2 if not side.any() else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
+                right = np.array([class_id(s) == c for s, c in zip(sets, g["cid"])], bool)
+                cid, side, sets = g["cid"].to_numpy()[right], g["side"].to_numpy()[right], [s for s, r in zip(sets, right) if r]
+                one, two = (np.arange(len(cid)),) * 2 if not side.any() else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
                 if not len(one) or not len(two):
                     continue
-                hit = linked([sets[i] for i in one], [sets[i] for i in two], numerator)
-                i, j = np.nonzero(hit)
+                left = [sets[k] for k in one]
+                i, j = np.nonzero(linked(left, left if not side.any() else [sets[k] for k in two], numerator))
                 i, j = one[i], two[j]
-                _, made = roots(len(g), zip(i.tolist(), j.tolist()))
+                apart_ = cid[i] != cid[j]
+                _, made = roots(len(cid), zip(i[apart_].tolist(), j[apart_].tolist()))
                 a += [int(cid[x]) for x, _ in made]
                 b += [int(cid[y]) for _, y in made]
             if a:
@@ -258,9 +334,40 @@ def spread_by(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(key).sortWithinPartitions(key)
 
 
-def confirm(groups: DataFrame, texts: DataFrame, width: int, numerator: int) -> DataFrame:
-    rows = groups.join(texts, "cid").select("gid", "side", "cid", "text")
-    return spread_by(rows, "gid").mapInArrow(confirmed(width, numerator), "a long, b long")
+def near_groups(lists: DataFrame, sketches: DataFrame, least: float, numerator: int, hubs: bool = False) -> DataFrame:
+    """Groups (gid, side, cid) of what is near by sketch in lists (lid, side, cid, comp)."""
+    rows = spread_by(lists.join(sketches, "cid").select("lid", "side", "cid", "comp", "n", "sketch"), "lid")
+    return stored(rows.mapInArrow(near_pairs(least, numerator, hubs), "gid long, side int, cid long").distinct(), "groups")
+
+
+#: Bits of the map that sorts out most texts before a join; its size is fixed.
+MAP_BITS = 1 << 26
+
+
+def perhaps_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key may be among ``keys``: a bit map of hashed keys, of one size whatever there is, is built by Spark and broadcast;
+    the join that follows is exact, so a full map would only cost time."""
+    bit = F.pmod(F.xxhash64(key), F.lit(MAP_BITS))
+    maps = keys.select(bit.alias("b")).groupBy((F.col("b") / 32768).cast("long").alias("k")).agg(F.bitmap_construct_agg(F.col("b") % 32768).alias("m")).collect()
+    found = np.zeros(MAP_BITS // 8, np.uint8)
+    for r in maps:
+        found[r.k * 4096 : (r.k + 1) * 4096] = np.frombuffer(bytes(r.m), np.uint8)
+    sent = rows.sparkSession.sparkContext.broadcast(found)
+
+    @F.pandas_udf(T.BooleanType())
+    def set_(b: pd.Series) -> pd.Series:
+        x = b.to_numpy(np.int64)
+        return pd.Series((sent.value[x >> 3] >> (x & 7)) & 1 == 1)
+
+    return rows.where(F.col(key).isNotNull()).where(set_(bit))
+
+
+def confirm(groups: DataFrame, classes: DataFrame, source: DataFrame, width: int, numerator: int) -> DataFrame:
+    """Edges (a, b) of groups (gid, side, cid), by full sets; only the texts that are needed are read out."""
+    wanted = groups.select("cid").distinct().join(classes.select("cid", "doc_id"), "cid")
+    texts = stored(perhaps_in(source, wanted, "doc_id").join(wanted, "doc_id").select("cid", "text"), "texts", compression="zstd")
+    release(source.sparkSession)
+    return stored(spread_by(groups.join(texts, "cid").select("gid", "side", "cid", "text"), "gid").mapInArrow(confirmed(width, numerator), "a long, b long"), "links")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -282,10 +389,40 @@ def children(node: pd.Series, sketch: pd.Series) -> pd.Series:
     return pd.Series(list(np.stack(out, 1))) if len(key) else pd.Series([], dtype=object)
 
 
+def chunked(rows: DataFrame, most: int) -> DataFrame:
+    """rows (node, cid, size) as (lid, cid): nodes of over ``most`` in chunks of about that size that all hold the node's smallest."""
+    n = F.ceil(F.col("size") / (0.8 * most)).cast("long")
+    part = F.when(F.col("size") <= most, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("cid"), n))
+    own = rows.select("node", part.alias("part"), "cid")
+    large = rows.where(F.col("size") > most)
+    pivots = large.groupBy("node").agg(F.min("cid").alias("cid"), F.max(n).alias("n")).select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("part"), "cid")
+    return own.unionByName(pivots).distinct().select(F.xxhash64("node", "part").alias("lid"), "cid")
+
+
+def apart(rows: DataFrame) -> DataFrame:
+    """rows (node, cid, comp, ...): adds the node's size, without nodes of one component."""
+    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("node", "size")
+    return rows.join(sizes, "node")
+
+
 def small_lists(rows: DataFrame) -> DataFrame:
     """Distinct lists of classes that meet in a small node."""
-    met = rows.where(F.col("size") <= SMALL).groupBy("node").agg(F.sort_array(F.collect_set("cid")).alias("members"))
-    return met.where(F.size("members") > 1).select("members")
+    met = rows.where(F.col("size") <= SMALL).groupBy("node").agg(F.sort_array(F.collect_set(F.struct("cid", "comp"))).alias("members"))
+    return met.select("members")
+
+
+def blocks_of(members: DataFrame, group: str, main: str, most: int) -> DataFrame:
+    """members (group, main, cid, comp): lists (lid, side, cid, comp) of ``most`` or so that hold every class of another component
+    than ``main`` against every class of the group."""
+    half = 0.4 * most
+    n = members.groupBy(group).agg(F.count(F.lit(1)).alias("size"), F.ceil(F.count(F.lit(1)) / half).cast("long").alias("chunks"), F.ceil(F.sum((F.col("comp") != F.col(main)).cast("long")) / half).cast("long").alias("parts")).where("parts > 0")
+    d = members.join(n, group)
+    small = d.where(F.col("size") <= most).select(F.xxhash64(group).alias("lid"), F.lit(0).alias("side"), "cid", "comp")
+    d = d.where(F.col("size") > most)
+    chunk, part, zero = F.pmod(F.xxhash64("cid"), F.col("chunks")), F.pmod(F.xxhash64("cid", F.lit(1)), F.col("parts")), F.lit(0).cast("long")
+    mine = d.where(F.col("comp") != F.col(main)).withColumn("part", part).withColumn("chunk", F.explode(F.sequence(zero, F.col("chunks") - 1))).withColumn("side", F.lit(1))
+    theirs = d.withColumn("chunk", chunk).withColumn("part", F.explode(F.sequence(zero, F.col("parts") - 1))).withColumn("side", F.lit(2))
+    return mine.unionByName(theirs).select(F.xxhash64(group, "part", "chunk").alias("lid"), "side", "cid", "comp").unionByName(small)
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, numerator: int = NUMERATOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,69 +439,55 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, numerator: int = NUME
     sets = stored(documents_sets(docs, width, id_col, text_col), "sets")
     named = sets.where("cid IS NOT NULL AND doc_id IS NOT NULL")
     first = named.groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    classes = named.join(first, ["cid", "doc_id"]).select("cid", "doc_id", "sketch", "nodes")
-    sketches = classes.select("cid", "sketch")
-
-    rows = stored(sized(classes.select("cid", F.explode("nodes").alias("node")).distinct()), "nodes")
-    lists = [small_lists(rows)]
-    balls = []
-    rows = rows.where(F.col("size") > SMALL).join(sketches, "cid")
+    classes = stored(named.join(first, ["cid", "doc_id"]).select("cid", "doc_id", F.col("n_shingles").alias("n"), "sketch", "nodes"), "classes")
+    sketches = classes.select("cid", "n", "sketch")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+    one = chunked(sized(classes.select("cid", F.col("nodes")[0].alias("node")).distinct()), SMALL)
+    found = near_groups(one.select("lid", F.lit(0).alias("side"), "cid", F.col("cid").alias("comp")), sketches, least, numerator, hubs=True)
+    found = chunked(sized(found.select(F.col("gid").alias("node"), "cid").distinct()), BLOCK)
+    edges = confirm(found.select(F.col("lid").alias("gid"), F.lit(0).alias("side"), "cid"), classes, source, width, numerator)
+    release(docs.sparkSession)
+    known = components(edges).select(F.col("node").alias("cid"), "component")
+
+    comp = F.coalesce("component", "cid").alias("comp")
+    rows = classes.join(known, "cid", "left").select("cid", "n", comp, F.explode("nodes").alias("node")).distinct()
+    rows = stored(apart(rows), "nodes")
+    lists, balls = [small_lists(rows)], []
+    # linked sets differ by less than one step of this ladder of sizes
+    step = F.floor(F.log("n") / F.lit(float(np.log(100 / numerator)))).cast("long")
+    rows = rows.where(F.col("size") > SMALL).select("cid", "comp", F.explode(F.array(F.xxhash64("node", step), F.xxhash64("node", step + 1))).alias("node")).distinct()
+    rows = apart(rows)
+    lists.append(small_lists(rows))
+    rows = rows.where(F.col("size") > SMALL).join(sketches.drop("n"), "cid")
     for level in range(MOST_LEVELS):
-        rows = stored(rows.select("node", "cid", "sketch"), "large")
+        rows = stored(rows.select("node", "cid", "comp", "sketch"), "large")
         if rows.isEmpty():
             break
-        pivots = rows.groupBy("node").agg(F.min(F.struct(F.xxhash64("cid").alias("h"), F.col("cid").alias("pivot"), F.col("sketch").alias("psketch"))).alias("p")).select("node", "p.pivot", "p.psketch")
+        pivots = rows.groupBy("node").agg(F.min(F.struct(F.xxhash64("cid").alias("h"), F.col("cid").alias("pivot"), F.col("comp").alias("pivot_comp"), F.col("sketch").alias("psketch"))).alias("p")).select("node", "p.pivot", "p.pivot_comp", "p.psketch")
         near = rows.join(pivots, "node").withColumn("like", likeness("sketch", "psketch")).drop("psketch")
         last = level == MOST_LEVELS - 1
         dense = near.groupBy("node").agg((F.avg((F.col("like") >= least).cast("int")) >= (0.0 if last else DENSE_SHARE)).alias("dense"))
         near = stored(near.join(dense, "node"), "pivots")
-        balls.append(near.where(F.col("dense") & (F.lit(last) | (F.col("like") >= BALL_FROM))).select("pivot", "cid"))
+        balls.append(near.where(F.col("dense") & (F.lit(last) | (F.col("like") >= BALL_FROM))).select("pivot", "pivot_comp", "cid", "comp"))
         if last:
             break
-        below = near.where(~F.col("dense") | (F.col("like") < REST_BELOW)).select("cid", "sketch", F.explode(children("node", "sketch")).alias("node")).distinct()
-        below = stored(sized(below), "nodes")
+        below = near.where(~F.col("dense") | (F.col("like") < REST_BELOW)).select("cid", "comp", "sketch", F.explode(children("node", "sketch")).alias("node")).distinct()
+        below = stored(apart(below), "nodes")
         lists.append(small_lists(below))
         rows = below.where(F.col("size") > SMALL)
 
     met = lists[0]
     for more in lists[1:]:
         met = met.unionByName(more)
-    met = met.distinct().select(F.xxhash64("members").alias("lid"), F.explode("members").alias("cid"))
-    met = spread_by(met.join(sketches, "cid").select("lid", "cid", "sketch"), "lid")
-    groups = met.mapInArrow(alike_groups(least), "gid long, cid long").distinct().withColumn("side", F.lit(0))
-
-    ball = None
+    met = met.distinct().select(F.xxhash64("members").alias("lid"), F.lit(0).alias("side"), F.explode("members").alias("m")).select("lid", "side", "m.cid", "m.comp")
     if balls:
         ball = balls[0]
         for more in balls[1:]:
             ball = ball.unionByName(more)
-        ball = stored(ball.distinct(), "ball")
-        chunks = ball.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-        ball = ball.join(chunks, "pivot").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks").cast("long")).cast("int"))
-        ball = stored(ball, "ball")
-        gid = F.xxhash64("pivot", "chunk", F.lit("star"))
-        star = ball.select(gid.alias("gid"), "cid").unionByName(ball.select(gid.alias("gid"), F.col("pivot").alias("cid")).distinct()).distinct()
-        groups = groups.unionByName(star.withColumn("side", F.lit(0)))
-    groups = stored(groups.select("gid", "cid", "side").distinct(), "groups")
-
-    wanted = groups.select("cid").distinct().join(classes.select("cid", "doc_id"), "cid")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(wanted, "doc_id")
-    texts = stored(source.select("cid", "text"), "texts", compression="zstd")
-    edges = stored(confirm(groups, texts, width, numerator), "links")
-    if ball is not None:
-        linked_now = components(edges)
-        of = linked_now.select(F.col("node").alias("cid"), "component")
-        top = linked_now.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_component"))
-        loose = ball.join(of, "cid", "left").join(top, "pivot", "left").where("cid <> pivot AND NOT (coalesce(component, cid) <=> coalesce(pivot_component, pivot))").select("pivot", "chunks", "cid")
-        loose = stored(loose, "loose")
-        if not loose.isEmpty():
-            parts = loose.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
-            loose = stored(loose.join(parts, "pivot").withColumn("part", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("parts").cast("long")).cast("int")), "loose")
-            mine = loose.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-            theirs = ball.join(parts, "pivot").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            block = F.xxhash64("pivot", "part", "chunk")
-            blocks = mine.select(block.alias("gid"), "cid", F.lit(1).alias("side")).unionByName(theirs.select(block.alias("gid"), "cid", F.lit(2).alias("side")))
-            edges = edges.unionByName(confirm(blocks, texts, width, numerator))
+        met = met.unionByName(blocks_of(stored(ball.distinct(), "ball"), "pivot", "pivot_comp", SMALL))
+    release(docs.sparkSession)
+    edges = edges.unionByName(confirm(near_groups(met, sketches, least, numerator), classes, source, width, numerator))
 
     ids = classes.select("cid", "doc_id").distinct()
     shared = named.select("cid", "doc_id").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("a")).where("n > 1")
