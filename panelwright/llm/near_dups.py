@@ -215,7 +215,7 @@ def text_groups(cid: np.ndarray, part: np.ndarray, a: np.ndarray, b: np.ndarray)
     """Groups (gid, side, cid) of BLOCK classes at most that hold both ends of every pair (a, b).
 
     A connected part that fits is one group.  A larger one is put in breadth-first order and cut into halves of a block;
-    two halves are a group if a pair joins them."""
+    of each two halves, the classes that have a pair across are a group."""
     gid: list[int] = []
     sides: list[int] = []
     out: list[int] = []
@@ -254,12 +254,18 @@ def text_groups(cid: np.ndarray, part: np.ndarray, a: np.ndarray, b: np.ndarray)
                 rank[front] = np.arange(n, n + len(front))
                 n += len(front)
         half = rank // (BLOCK // 2)
-        members = np.argsort(np.where(large, half, -1), kind="stable")
-        edge = np.searchsorted(np.where(large, half, -1)[members], np.arange(half.max() + 2))
-        i, j = half[a[keep]], half[b[keep]]
-        for h in np.unique(np.minimum(i, j) * (1 << 32) + np.maximum(i, j)).tolist():
-            p, q = h >> 32, h & 0xFFFFFFFF
-            put(members[edge[p] : edge[p + 1]], None if p == q else members[edge[q] : edge[q + 1]])
+        i, j = a[keep], b[keep]
+        swap = half[i] > half[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        block = half[i] * (1 << 32) + half[j]
+        by = np.argsort(block, kind="stable")
+        i, j, block = i[by], j[by], block[by]
+        bounds = np.flatnonzero(np.diff(block, prepend=-1, append=-1))
+        for lo, hi in zip(bounds[:-1], bounds[1:]):  # of two halves, only what a pair in question names
+            if half[i[lo]] == half[j[lo]]:
+                put(np.unique(np.concatenate([i[lo:hi], j[lo:hi]])))
+            else:
+                put(np.unique(i[lo:hi]), np.unique(j[lo:hi]))
     return gid, sides, out
 
 
