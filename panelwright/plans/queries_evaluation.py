@@ -375,6 +375,14 @@ def selective_ic(v):
     return n.join(d.select("horizon").distinct(), "horizon")
 
 
+SELB = "SELECT *, CASE WHEN len(e) > 1 THEN CAST(len(list_filter(e[2:len(e)-1], lambda x: x < ehat_raw)) AS INTEGER) END AS bucket FROM (SELECT *, list_sort(list_distinct(quantile_cont(ehat_raw, [0::DOUBLE, 1/3::DOUBLE, 2/3::DOUBLE, 1::DOUBLE]) OVER (PARTITION BY as_of_date, horizon))) AS e FROM ls)"
+
+
+@query("selective_ic_buckets", sql(f"SELECT bucket, horizon, count(rank_ic) AS n_dates, round(avg(rank_ic), 6) AS mean_ic FROM (SELECT bucket, as_of_date, horizon, {corr('x', 'y')} AS rank_ic FROM (SELECT *, {ar('score', f'bucket, {K}')} AS x, {ar('excess_return', f'bucket, {K}')} AS y FROM selb WHERE bucket IS NOT NULL) GROUP BY 1, 2, 3) GROUP BY 1, 2", "ls", selb=SELB))
+def selective_ic_buckets(v):
+    return rounded(uncertainty.selective_ic(v.ls, ["horizon"]).select("bucket", "horizon", "n_dates", "mean_ic"))
+
+
 @query("failure_auroc", sql("SELECT horizon, round((sum(rk) FILTER (y = 1) - p * (p + 1) / 2.0) / (p * q), 6) AS auroc FROM (SELECT horizon, y, rank() OVER (PARTITION BY horizon ORDER BY ehat_raw) + (count(*) OVER (PARTITION BY horizon, ehat_raw) - 1) / 2.0 AS rk, sum(y) OVER (PARTITION BY horizon) AS p, sum(1 - y) OVER (PARTITION BY horizon) AS q FROM (SELECT horizon, ehat_raw, (rank_loss > quantile_cont(rank_loss, 0.8) OVER (PARTITION BY horizon))::INT AS y FROM ls)) GROUP BY horizon, p, q", "ls"))
 def failure_auroc(v):
     return rounded(uncertainty.failure_detection(v.ls, ["horizon"]).select("horizon", "auroc"))

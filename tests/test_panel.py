@@ -170,6 +170,17 @@ def test_rolling_quantile_looks_only_back(spark):
     assert got == [(2, 10.0, 6), (3, 20.0, 6), (4, 30.0, 6)]
 
 
+def test_selective_ic_gives_each_bucket_its_rank_ic(spark):
+    from panelwright import catalog
+
+    day = lambda d, sign: [(d, 20, f"t{i}", float(i), float(i if i < 3 else sign * i), i // 3 / 10.0) for i in range(6)]
+    ls = spark.createDataFrame(day(date(2020, 1, 1), -1) + day(date(2020, 2, 1), 1) + [(date(2020, 3, 1), 20, "t0", 1.0, 1.0, 0.5)], "as_of_date date, horizon int, ticker string, score double, excess_return double, ehat_raw double")
+    assert rows(uncertainty.selective_ic(ls, ["horizon"], 2), "bucket", "horizon", "mean_ic", "n_dates") == [(0, 20, 1.0, 2), (1, 20, 0.0, 2)]
+    assert {"selective_ic", "selective_ic_buckets"} <= set(catalog.QUERIES) & set(catalog.ORACLE_SQL)
+    got = catalog.QUERIES["selective_ic_buckets"](spark, "/root/testdata/sf0.001")
+    assert got.columns == ["bucket", "horizon", "n_dates", "mean_ic"] and {r.bucket for r in got.collect()} == {0, 1, 2}
+
+
 def test_neutralised_values_have_no_sector_mean_and_no_slope(spark):
     import random
 
