@@ -424,3 +424,28 @@ def test_contamination_matches_brute_force(spark):
     tables = decontaminate.benchmark_tables(bench)
     assert sorted(r.doc_id for r in decontaminate.contaminated_only(d, tables, True).collect()) == sorted(i for i, g in got.items() if g[-1])
     assert decontaminate.decontaminate(d, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_contamination_by_parts_is_that_of_the_whole_benchmark(spark):
+    draw = random.Random(10)
+    some = lambda n: " ".join(draw.choice(["a", "b", "c", "É", "d9"]) for _ in range(n))
+    long = some(300)
+    items = [(i, some(draw.choice([1, 5, 13, 14, 30]))) for i in range(30)] + [(77, None), (78, "--"), (79, long), (80, long), (None, some(20))]
+    texts = [some(draw.randrange(0, 60)) for _ in range(100)] + [None, "", long, items[-1][1], "x " * 200 + long[250:420]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    d = docs(spark, texts).unionByName(docs(spark, texts[-4:])).unionByName(docs(spark, texts[-3:]).withColumn("doc_id", F.lit(None).cast("long")))
+    parts = decontaminate.benchmark_tables(bench, most_bytes=250)
+    assert len(parts) > 4 and all(sum(len(" ".join(map(bytes.decode, p))) for t in own for p in t.items) for own in parts)
+    order = lambda found: sorted(map(tuple, found.collect()), key=repr)
+    assert order(decontaminate.decontaminate(d, bench, most_bytes=250)) == order(decontaminate.decontaminate(d, bench))
+    whole = decontaminate.benchmark_tables(bench)
+    for keep in (True, False):
+        got = decontaminate.contaminated_only(d, parts, keep)
+        assert got.columns == d.columns and order(got) == order(decontaminate.contaminated_only(d, whole, keep))
+
+
+def test_pieces_of_a_long_item_have_each_window_once():
+    text = " ".join(f"w{i}" for i in range(500))
+    windows = [tuple(w[i : i + 13]) for p in decontaminate.pieces(text, 13, 300) for w in [p.split()] for i in range(len(w) - 12)]
+    words = text.split()
+    assert windows == [tuple(words[i : i + 13]) for i in range(488)] and list(decontaminate.pieces("a b", 13, 1)) == ["a b"]
