@@ -6,7 +6,7 @@ again as the next stage's docs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm.common import stored, table
@@ -31,14 +31,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; of rows that repeat an
-    id one stays; rows without an id stay."""
-    found = near_duplicates(docs, SHINGLE, PERCENT)
-    dropped = found.where("doc_id IS NOT NULL AND NOT kept").select("doc_id").distinct()
-    w = Window.partitionBy("doc_id").orderBy("_h")
-    rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("_h"), F.struct(*docs.columns).alias("_row"))
-    one = rows.join(dropped, "doc_id", "left_anti").withColumn("_n", F.row_number().over(w)).where("_n = 1").select("_row.*")
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    """The row with the smallest id of each group of near-duplicates (null ids last).  Rows are told apart by a key
+    of their own, so rows that share an id, or have none, are judged by their texts like all others."""
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text", F.struct(*docs.columns).alias("_row")), "keyed", compression="zstd")
+    groups = near_duplicates(rows, SHINGLE, PERCENT, id_col="key").select(F.col("doc_id").alias("key"), "component_id")
+    own = rows.select("key", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("hash"), "key").alias("_o"))
+    groups = stored(groups.join(own, "key").select("key", "component_id", "_o"), "groups")
+    first = groups.groupBy("component_id").agg(F.min("_o").alias("_first"))
+    dropped = groups.join(first, "component_id").where(F.col("_o.key") != F.col("_first.key")).select("key")
+    return rows.join(dropped, "key", "left_anti").select("_row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

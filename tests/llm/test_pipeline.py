@@ -38,3 +38,23 @@ def test_stages(spark):
     assert mixed < clean and len(mixed) >= 0.6 * len(clean)
     tokens = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
     assert {r.doc_id for r in tokens} == mixed and sorted(r.start for r in tokens)[0] == 0
+
+
+def test_near_dedup_judges_rows_by_their_texts(spark):
+    draw = random.Random(12)
+    some = lambda n: " ".join(f"w{draw.randrange(10**9)}" for _ in range(n))
+    cut = lambda t, k: " ".join(t.split()[: 104 - k])
+    a, b, c, e, f, g = (some(104) for _ in range(6))  # 100 shingles each
+    rows = [
+        (1, a), (1, b), (1, a),  # one id, two texts, one of them twice
+        (2, c), (3, cut(c, 20)), (4, cut(c, 21)),  # 0.80 of the first: a near copy; 0.79 of the first, but 79 / 80 of the second
+        (5, e), (6, cut(e, 21)),  # 0.79
+        (None, f), (None, f), (None, cut(f, 20)), (None, some(30)),  # null ids
+        (None, g), (8, cut(g, 10)), (None, ""), (9, None),
+    ]
+    d = spark.createDataFrame([(i, t, "en", "src0", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_dedup(spark, d, "")
+    assert out.columns == d.columns
+    got = {r.n_chars for r in out.collect()}
+    assert got - {0, 2, 8, 9, 10} == {1, 3, 6, 7, 11, 13, 14, 15}
+    assert len(got & {0, 2}) == 1 and len(got & {8, 9, 10}) == 1
