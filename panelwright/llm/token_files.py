@@ -2,7 +2,8 @@
 
 Documents are dealt to partitions by ranges of doc_id and sorted; a partition is cut into shards
 of about SHARD_IDS ids.  In a shard the frequent pairs of neighbouring ids are replaced by new
-symbols, round after round (each round takes the most frequent pairs that do not overlap).  A
+symbols, round after round (each round takes the most frequent pairs that do not overlap), until
+no pair is found LEAST_COUNT times.  A
 file row is a shard: first symbol number, rules, the number of ids each rule expands to, the
 symbol sequence, and per document its id, first symbol and number of ids.  A document's ids are
 those of a range of whole symbols, because no pair spans two documents.  The files are Parquet
@@ -31,7 +32,7 @@ END_ID = 1
 SHARD_IDS = 1 << 20
 #: A shard also ends at so many documents, so that empty texts cannot fill one without end.
 SHARD_DOCS = 1 << 16
-ROUNDS, RULES_A_ROUND, LEAST_COUNT = 4, 2048, 8
+RULES_A_ROUND, LEAST_COUNT = 2048, 8
 #: Bits of the table in which pairs are counted.
 COUNT_BITS = 20
 #: Words whose ids a worker keeps between batches; others are encoded anew in each batch.
@@ -183,47 +184,65 @@ def gathered(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
+def frequent_pairs(key: np.ndarray, slot: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Of pairs ``key`` with their hash slots and the slots' counts: (positions, index of the pair at each, pairs), for the
+    RULES_A_ROUND or fewer pairs that are counted LEAST_COUNT times or more, exactly, in the heaviest slots.  None only if no
+    pair at all is."""
+    heavy = np.flatnonzero(counts >= LEAST_COUNT)
+    top = heavy[np.argpartition(-counts[heavy], RULES_A_ROUND)[:RULES_A_ROUND]] if len(heavy) > RULES_A_ROUND else heavy
+    for own in (top, heavy) if len(top) < len(heavy) else (top,):
+        rank = np.full(len(counts), -1, np.int32)
+        rank[own] = np.arange(len(own))
+        which = rank[slot]
+        at = np.flatnonzero(which >= 0)
+        which, k = which[at], key[at]
+        # one pair of each slot is counted by the slot, the few that share it with another by sorting
+        pairs = np.empty(len(own), np.int64)
+        pairs[which] = k
+        other = np.flatnonzero(pairs[which] != k)
+        more, place = np.unique(k[other], return_inverse=True)
+        which[other] = len(own) + place
+        pairs = np.concatenate([pairs, more])
+        n = np.bincount(which, minlength=len(pairs))
+        good = np.flatnonzero(n >= LEAST_COUNT)
+        if len(good):
+            if len(good) > RULES_A_ROUND:
+                good = good[np.argpartition(-n[good], RULES_A_ROUND)[:RULES_A_ROUND]]
+            new = np.full(len(pairs), -1, np.int64)
+            new[good] = np.arange(len(good))
+            which = new[which]
+            return at[which >= 0], which[which >= 0], pairs[good]
+    return None
+
+
 def re_pair(ids: np.ndarray, end_id: int, first_symbol: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules as pairs, ids each rule expands to).  Symbols from ``first_symbol`` on are
-    rules; pairs with ``end_id`` are left alone, so no symbol spans two documents."""
+    rules; pairs with ``end_id`` are left alone, so no symbol spans two documents.  Rounds go on
+    until no pair of neighbours is counted LEAST_COUNT times."""
     seq, rules = ids.astype(np.int64), np.empty((0, 2), np.int64)
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
-        a, b = seq[:-1], seq[1:]
+    while True:
+        free = np.flatnonzero((seq[:-1] != end_id) & (seq[1:] != end_id))
+        a, b = seq[free], seq[free + 1]
         slot = ((a * 0x9E3779B1 + b * 0x85EBCA77) >> 7) & ((1 << COUNT_BITS) - 1)
-        counts = np.bincount(slot, minlength=1 << COUNT_BITS)
-        heavy = np.flatnonzero(counts >= LEAST_COUNT)
-        if len(heavy) > RULES_A_ROUND:
-            heavy = heavy[np.argpartition(-counts[heavy], RULES_A_ROUND)[:RULES_A_ROUND]]
-        rank = np.full(1 << COUNT_BITS, -1, np.int32)
-        rank[heavy] = np.arange(len(heavy))
-        at = np.flatnonzero((rank[slot] >= 0) & (a != end_id) & (b != end_id))
-        if not len(at):
-            break
-        # of the pairs that share a slot, one stands for it
-        which, key = rank[slot[at]], (a[at] << 32) | b[at]
-        pairs = np.empty(len(heavy), np.int64)
-        pairs[which] = key
-        own = key == pairs[which]
-        at, which = at[own], which[own]
-        used = np.bincount(which, minlength=len(heavy)) >= LEAST_COUNT
-        if not used.any():
+        found = frequent_pairs((a << 32) | b, slot, np.bincount(slot, minlength=1 << COUNT_BITS))
+        if found is None:
             break
-        own = used[which]
-        good = np.flatnonzero(used)
-        at, which = at[own], (np.cumsum(used) - 1)[which[own]]
+        at, which, pairs = free[found[0]], found[1], found[2]
         # of overlapping occurrences (neighbouring positions), every second one of a run is taken
         breaks = np.concatenate([[True], np.diff(at) != 1])
         run_start = np.maximum.accumulate(np.where(breaks, np.arange(len(at)), 0))
         chosen = (np.arange(len(at)) - run_start) % 2 == 0
         at, which = at[chosen], which[chosen]
-        seq = seq.copy()
+        # a rule that too few occurrences are left to waits for a later round
+        uses = np.bincount(which, minlength=len(pairs))
+        kept = uses >= (LEAST_COUNT // 2 if uses.max() >= LEAST_COUNT // 2 else 1)
+        own = kept[which]
+        at, which = at[own], (np.cumsum(kept) - 1)[which[own]]
         seq[at] = first_symbol + len(rules) + which
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-        rules = np.concatenate([rules, np.stack([pairs[good] >> 32, pairs[good] & 0xFFFFFFFF], 1)])
+        rules = np.concatenate([rules, np.stack([pairs[kept] >> 32, pairs[kept] & 0xFFFFFFFF], 1)])
     lengths = np.ones(first_symbol + len(rules), np.int64)
     for k, (x, y) in enumerate(rules.tolist()):
         lengths[first_symbol + k] = lengths[x] + lengths[y]

@@ -368,6 +368,20 @@ def test_re_pair_round_trip_and_random_access():
         assert n < 100 or len(s) < 0.8 * n
 
 
+@pytest.mark.parametrize("bits, most", [(20, 2048), (2, 1)])
+def test_re_pair_goes_on_until_no_pair_is_frequent(monkeypatch, bits, most):
+    monkeypatch.setattr(token_files, "COUNT_BITS", bits)
+    monkeypatch.setattr(token_files, "RULES_A_ROUND", most)
+    g = np.random.default_rng(3)
+    passage = g.integers(10, 5000, 400)
+    ids = np.concatenate([x for _ in range(40) for x in (passage, g.integers(10, 5000, 20), [1])] + [np.tile([7, 8], 100)]).astype(np.uint32)
+    s, r, lengths = token_files.re_pair(ids, 1, 10_000)
+    pairs, n = np.unique(s[:-1].astype(np.int64) << 32 | s[1:], return_counts=True)
+    assert not [x for x, k in zip(pairs.tolist(), n) if k >= token_files.LEAST_COUNT and x >> 32 != 1 and x & 0xFFFFFFFF != 1]
+    assert lengths.max() > 16 and len(s) < 0.1 * len(ids)
+    assert (token_files.expand(s.astype(np.int64), r.astype(np.int64), lengths, 10_000) == ids).all()
+
+
 def test_token_files(spark, tokenizer):
     texts = [None, "", *ODD_TEXTS, "same text " * 500, "same text " * 500, "word " * 20_000]
     d = docs(spark, texts).unionByName(spark.createDataFrame([(None, "x", "en", "s", 1, "c", 1)], docs(spark, []).schema)).repartition(3)
