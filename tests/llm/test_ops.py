@@ -463,3 +463,12 @@ def test_pieces_of_a_long_item_have_each_window_once():
     windows = [tuple(w[i : i + 13]) for p in decontaminate.pieces(text, 13, 300) for w in [p.split()] for i in range(len(w) - 12)]
     words = text.split()
     assert windows == [tuple(words[i : i + 13]) for i in range(488)] and list(decontaminate.pieces("a b", 13, 1)) == ["a b"]
+
+
+def test_sketches_of_long_unrelated_texts_differ():
+    g = np.random.default_rng(4)
+    a, b, c = (g.integers(0, 1 << 63, 3000, dtype=np.uint64) for _ in range(3))
+    near = np.concatenate([a[:2850], c[:150]])  # 0.905
+    x, y, z = (near_dups.sketch_matrix([near_dups.sketch_of(near_dups.signature(np.sort(s)))]) for s in (a, b, near))
+    assert (x == y).mean() < 0.05 and (x == z).mean() > 0.8
+    assert len(np.unique(x)) > 80
