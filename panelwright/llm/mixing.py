@@ -76,7 +76,8 @@ def leaf_budgets(leaves: DataFrame, share: float, max_epochs: int) -> DataFrame:
     total = Window.partitionBy(F.lit(1))
     domains = domains.withColumn("t", F.sum("tokens").over(total)).withColumn("r", F.sum("room").over(total)).withColumn("b", F.expr(f"least(t * {percent} div 1000, r)"))
     domains = deal(domains, [], "b", "w_domain", "room", ["domain"]).select("domain", F.col("given").alias("b"))
-    langs = deal(langs.join(domains, "domain"), ["domain"], "b", "w_lang", "room", ["lang"]).select("domain", "lang", F.col("given").alias("b"))
+    langs = langs.alias("g").join(domains.alias("d"), F.expr("g.domain <=> d.domain")).select("g.*", "d.b")
+    langs = deal(langs, ["domain"], "b", "w_lang", "room", ["lang"]).select("domain", "lang", F.col("given").alias("b"))
     k = leaves.alias("l").join(langs.alias("g"), F.expr("l.domain <=> g.domain AND l.lang <=> g.lang")).select("l.*", "g.b")
     return deal(k, ["domain", "lang"], "b", "w_source", "room", ["source"]).withColumnRenamed("given", "budget").drop("b", "room")
 
@@ -86,7 +87,7 @@ def mix(docs: DataFrame, domain: Column | None = None, w_domain: Column | None =
     per leaf its budget, the number of whole epochs, and the cut (key, doc_id) in the last one.
 
     A document is taken in an epoch if it starts before the leaf's budget is used up; it is then
-    taken whole.  Null languages and sources are leaves of their own; null ids stand for one
+    taken whole.  Null domains, languages and sources are leaves of their own; null ids stand for one
     document; rows that repeat an id are taken together; null and empty texts have no tokens and
     are taken with what stands at their place in the order; an empty table gives empty results.
     """

@@ -36,7 +36,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> tuple[int, int]:
         if len(self) > 300_000:
             self.clear()
-        shape = RUN.sub(rb"\1+", word[:64].translate(SHAPES)) + (b"~" if len(word) > 64 else b"")
+        shape = RUN.sub(rb"\1+", word.translate(SHAPES))
         self[word] = out = (xxhash.xxh64_intdigest(word), xxhash.xxh64_intdigest(shape, 1))
         return out
 

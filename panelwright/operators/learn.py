@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,15 +90,37 @@ def lexicon_score(text) -> object:
     return F.coalesce(F.try_divide((p - n).cast("double"), p + n), F.lit(0.0))
 
 
+def text_windows(text: str | None, most: int) -> list[str]:
+    """A text in windows of at most ``most`` characters, cut after white space where a window has any; blank ones are left out."""
+    out, at = [], 0
+    while text and at < len(text):
+        to = at + most
+        if to < len(text):
+            found = re.search(r"\s\S*$", text[at:to])
+            to = at + found.start() + 1 if found else to
+        if text[at:to].strip():
+            out.append(text[at:to])
+        at = to
+    return out
+
+
 def score_texts(texts: DataFrame, scorer: Callable[[pd.Series], pd.Series] | None = None, text: str = "text", most: int = 400) -> DataFrame:
-    """Sentiment of valid texts, cut to ``most`` characters as the scoring models take them; ``scorer`` gets batches."""
+    """Sentiment of valid texts.  ``scorer`` gets batches of windows of ``most`` characters, as the scoring models take them; a text's
+    score is the mean of its windows' by their characters (windows without a score are left out)."""
     if scorer is None:
         return texts.withColumn("score", F.when(F.length(F.trim(text)) > 0, lexicon_score(text)))
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            yield scorer(b.str.slice(0, most)).astype(float)
+            parts = pd.Series([text_windows(t, most) for t in b], dtype=object).explode().dropna()
+            if not len(parts):
+                yield pd.Series([None] * len(b), dtype=float)
+                continue
+            scores = pd.Series(np.asarray(scorer(parts.reset_index(drop=True)), dtype=float), index=parts.index)
+            size = parts.str.len().where(scores.notna())
+            total = (scores * size).groupby(level=0).sum(min_count=1) / size.groupby(level=0).sum(min_count=1)
+            yield total.reindex(range(len(b))).astype(float)
 
     return texts.withColumn("score", F.when(F.length(F.trim(text)) > 0, run(F.col(text))))
 

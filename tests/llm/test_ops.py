@@ -198,6 +198,13 @@ def test_mixing_matches_plain_python(spark, monkeypatch, bucket):
         assert dict(map(tuple, out.collect())) == taken_by_hand(rows, share, most, mixing.SEED)
 
 
+def test_a_null_domain_has_a_budget(spark):
+    d = spark.createDataFrame([(i, "w " * 10, "en", f"src{i % 2}") for i in range(40)], "doc_id long, text string, lang string, source string")
+    keys, cuts = mixing.mix(d, domain=F.when(F.col("source") == "src0", "web"), share=0.5, max_epochs=1)
+    got = {r["_domain"]: r.budget for r in cuts.collect()}
+    assert set(got) == {"web", None} and sum(got.values()) in (199, 200) and got[None] > 0
+
+
 def test_mixing_of_nothing(spark):
     keys, cuts = mixing.mix(docs(spark, []).limit(0))
     assert keys.count() == 0 and cuts.count() == 0
@@ -320,6 +327,12 @@ def test_quality_on_held_out_rows(spark):
     assert quality.accepted_only(d, w).columns == d.columns
 
 
+def test_shape_of_a_long_word_is_of_the_whole_word():
+    memo = quality.WordHashes()
+    x, y, z = (memo[b"a" * 70 + tail] for tail in (b"1", b"B2", b"aa1"))
+    assert x[1] != y[1] and x[1] == z[1] and x[0] != z[0]
+
+
 def test_quality_without_labels(spark):
     w = quality.fit_quality(docs(spark, ["a b"]), spark.createDataFrame([], "doc_id long, quality int"))
     assert not w.any() and quality.score_quality(docs(spark, ["a b"]), w).first().score == 0.5

@@ -181,6 +181,17 @@ def test_selective_ic_gives_each_bucket_its_rank_ic(spark):
     assert got.columns == ["bucket", "horizon", "n_dates", "mean_ic"] and {r.bucket for r in got.collect()} == {0, 1, 2}
 
 
+def test_scorers_get_whole_texts_in_windows(spark):
+    text = "good " * 30 + "bad " * 70
+    d = spark.createDataFrame([(1, text), (2, "good"), (3, " "), (4, None), (5, "bad" * 200)], "i int, text string")
+    scorer = lambda b: b.str.count("good") - b.str.count("bad") if (b.str.len() <= 100).all() else None
+    got = {r.i: r.score for r in learn.score_texts(d, scorer, most=100).collect()}
+    parts = learn.text_windows(text, 100)
+    assert "".join(parts) == text and max(map(len, parts)) <= 100 and len(parts) > 4
+    assert math.isclose(got[1], sum((p.count("good") - p.count("bad")) * len(p) for p in parts) / len(text))
+    assert got[2] == 1 and got[3] is None and got[4] is None and got[5] < 0
+
+
 def test_neutralised_values_have_no_sector_mean_and_no_slope(spark):
     import random
 
