@@ -12,12 +12,11 @@ with binary columns, written and committed by Spark.
 
 from __future__ import annotations
 
-import gc
 import json
+import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +34,17 @@ SHARD_DOCS = 1 << 16
 RULES_A_ROUND, LEAST_COUNT = 2048, 8
 #: Bits of the table in which pairs are counted.
 COUNT_BITS = 20
-#: Words whose ids a worker keeps between batches; others are encoded anew in each batch.
-KEPT_WORDS, KEPT_PIECES = 600_000, 200_000
+#: Bytes of text that are encoded together, about (a longer text alone), and pieces of one call of the library.
+TEXT_BYTES, PIECES_A_CALL = 6_000_000, 50_000
 FILE_SCHEMA = "part int, shard int, n_docs int, n_ids long, first_symbol int, rules binary, lengths binary, symbols binary, doc_ids binary, doc_null binary, doc_symbols binary, doc_lengths binary"
 
 
 #: The tokenizer's settings under which words may be cut into pieces here.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = regex.compile(r"[\x21-\u012f\u0131-\u024f]+")
+#: Words of Latin letters with at most one of a few signs behind them: one piece, or two.
+SIMPLE = r"^[a-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}]+[.,;:!?]?$"
+MARKED = r"[.,;:!?]$"
 
 
 def byte_letters() -> list[str]:
@@ -53,121 +55,125 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(256 + next(rest)) for b in range(256)]
 
 
-class PieceIds(dict):
-    """piece of a word -> its ids, by the library's BPE model."""
-
-    def __init__(self, tokenizer) -> None:
-        self.model, self.letters = tokenizer.model, byte_letters()
-        self.numbers = list(range(tokenizer.get_vocab_size(with_added_tokens=True)))  # one object for each id
-
-    def __missing__(self, piece: str) -> list[int]:
-        if len(self) > KEPT_PIECES:
-            self.clear()
-        self[piece] = out = [self.numbers[t.id] for t in self.model.tokenize(piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()]))]
-        return out
-
-
 def cut_by_pieces(tokenizer) -> bool:
-    """Whether normalizer and pre-tokenizer are those that ``WordIds.new_ids`` knows."""
+    """Whether normalizer, pre-tokenizer and model are those that ``TextIds.word_ids`` knows."""
     j = json.loads(tokenizer.to_str())
     steps = [n.get("type") for n in (j["normalizer"] or {}).get("normalizers", [])]
     before = (j["pre_tokenizer"] or {}).get("pretokenizers", [])
-    return steps == ["NFC", "Replace", "Lowercase"] and len(before) == 2 and before[0].get("pattern") == {"Regex": PIECES} and before[0].get("invert") is True and before[1].get("type") == "ByteLevel" and not before[1].get("add_prefix_space")
+    return steps == ["NFC", "Replace", "Lowercase"] and len(before) == 2 and before[0].get("pattern") == {"Regex": PIECES} and before[0].get("invert") is True and before[1].get("type") == "ByteLevel" and not before[1].get("add_prefix_space") and bool(j["model"].get("end_of_word_suffix"))
 
 
-class WordIds(dict):
-    """bytes of a word -> its number; its ids are made by the tokenizers library.
+class TextIds:
+    """Ids of texts, by the tokenizers library.
 
     The tokenizer never joins text across white space (its pattern drops it), so a text's ids are
-    those of its words.  Words of Latin letters, digits and signs are cut into the tokenizer's
-    pieces here and given to the library's BPE model, which is several times as fast as whole
-    calls; all others go through whole calls.  A test holds both against whole texts."""
+    those of its words: Arrow splits the texts and numbers their distinct words.  Words of Latin
+    letters, digits and signs are cut into the tokenizer's pieces here, and the distinct pieces go
+    through the library's BPE model, thousands in one call; all other words go through whole
+    calls.  Nothing is kept from one batch to the next.  A test holds the ids against whole calls."""
 
     def __init__(self, tokenizer) -> None:
-        self.tokenizer, self.new = tokenizer, []
-        self.pieces, self.cut = PieceIds(tokenizer), regex.compile(PIECES) if cut_by_pieces(tokenizer) else None
-        self.ids, self.starts, self.sizes, self.filled = np.empty(1 << 20, np.uint32), np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64), 0
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
-
-    def new_ids(self, words: list[bytes]) -> list[list[int]]:
-        out: list[list[int]] = []
-        odd: list[tuple[int, str]] = []
-        pieces, cut = self.pieces, self.cut
-        for i, word in enumerate(words):
-            w = word.decode("utf-8", "surrogatepass")
-            if cut is not None and (w.isascii() or PLAIN.fullmatch(w) and unicodedata.is_normalized("NFC", w)):
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        self.tokenizer, self.cut = tokenizer, None
+        self.first_symbol = tokenizer.get_vocab_size(with_added_tokens=True)
+        if cut_by_pieces(tokenizer):
+            self.cut, self.model = regex.compile(PIECES), Tokenizer(tokenizer.model)
+            self.model.pre_tokenizer = WhitespaceSplit()
+            self.letters = dict(enumerate(byte_letters())) | {32: " "}
+            self.ends = np.zeros(self.first_symbol, bool)
+            self.ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith(tokenizer.model.end_of_word_suffix)]] = True
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number by text) by whole calls."""
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.empty(0, np.uint32), *found]), np.fromiter(map(len, found), np.int64, len(found))
+
+    def piece_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number by piece): a piece's last id is one that ends a word."""
+        out = [np.empty(0, np.uint32)]
+        for at in range(0, len(pieces), PIECES_A_CALL):
+            line = " ".join(pieces[at : at + PIECES_A_CALL])
+            if not line.isascii():
+                line = line.encode().decode("latin-1").translate(self.letters)
+            out.append(np.array(self.model.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.uint32))
+        ids = np.concatenate(out)
+        sizes = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        if len(sizes) != len(pieces) or int(sizes.sum()) != len(ids):
+            raise ValueError("the tokenizer's pieces and their ids differ in number")
+        return ids, sizes
+
+    def word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number by word) of distinct words whose A-Z are lower-cased."""
+        simple = pc.match_substring_regex(words, SIMPLE).to_numpy(zero_copy_only=False)
+        own = pc.utf8_lower(words.filter(pa.array(simple)))
+        marked = pc.match_substring_regex(own, MARKED).to_numpy(zero_copy_only=False)
+        stems = pc.if_else(pa.array(marked), pc.utf8_slice_codeunits(own, 0, -1), own)
+        marks = pc.utf8_slice_codeunits(own.filter(pa.array(marked)), -1, None)
+        cut_at, cut_sizes, cut, odd_at, odd = [], [], [], [], []
+        for i in np.flatnonzero(~simple).tolist():
+            w = words[i].as_py()
+            if w.isascii() or PLAIN.fullmatch(w) and unicodedata.is_normalized("NFC", w):
                 low = w.lower()
-                if low.isalpha():
-                    out.append(pieces[low])
-                    continue
-                if low[-1] in ".,;:!?" and low[:-1].isalpha():
-                    out.append(pieces[low[:-1]] + pieces[low[-1]])
-                    continue
-                if b"<|" not in word and low.isprintable():
-                    out.append([x for p in cut.findall(low) for x in pieces[p]])
+                if low.isprintable():
+                    found = self.cut.findall(low)
+                    cut_at.append(i), cut_sizes.append(len(found)), cut.extend(found)
                     continue
-            odd.append((i, w))
-            out.append([])
-        if odd:
-            for (i, _), e in zip(odd, self.tokenizer.encode_batch_fast([w for _, w in odd], add_special_tokens=False)):
-                out[i] = e.ids
-        return out
-
-    def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, each ended by end_id; number of ids of each text)."""
-        # the tokenizer lower-cases, but finds its special tokens before that
-        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        per_text = np.fromiter(map(len, words), np.int64, len(words))
-        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, int(per_text.sum()))
-        kept, filled, late = len(self) - len(self.new), self.filled, self.new
-        if self.new:
-            self._add()
-        sizes = self.sizes[numbers] if len(numbers) else np.empty(0, np.int64)
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        bounds = np.concatenate([[0], np.cumsum(per_text)])
-        counts = np.diff(ends[bounds])
-        ids = self.ids[gathered(self.starts[numbers], sizes)] if len(numbers) else np.empty(0, np.uint32)
-        if len(self) > KEPT_WORDS:
-            for word in late:
-                del self[word]
-            self.filled = filled
-            assert len(self) == kept
-        return np.insert(ids, np.cumsum(counts), np.uint32(end_id)).astype(np.uint32), counts + 1
-
-    def _add(self) -> None:
-        at = len(self) - len(self.new)
-        gc.disable()  # many small lists are made here, and none in cycles
-        try:
-            found = self.new_ids(self.new)
-        finally:
-            gc.enable()
-        self.new = []
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
-        while self.filled + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while at + len(found) > len(self.starts):
-            self.starts, self.sizes = np.concatenate([self.starts, np.empty_like(self.starts)]), np.concatenate([self.sizes, np.empty_like(self.sizes)])
-        self.ids[self.filled : self.filled + len(flat)] = flat
-        self.starts[at : at + len(found)] = self.filled + np.cumsum(sizes) - sizes
-        self.sizes[at : at + len(found)] = sizes
-        self.filled += len(flat)
-
-
-_WORDS: dict[str, WordIds] = {}
-
-
-def word_ids(tokenizer_file: str) -> WordIds:
-    """The word ids of this Python worker; a worker runs many tasks."""
-    if tokenizer_file not in _WORDS:
+            odd_at.append(i), odd.append(w)
+        every = pa.concat_arrays([stems, marks, pa.array(cut, words.type)]).dictionary_encode()
+        ids, sizes = self.piece_ids(every.dictionary.to_pylist())
+        more, more_sizes = self.whole(odd)
+        number = every.indices.to_numpy()
+        # a word's pieces one after the other; an odd word is a piece of its own
+        count = np.zeros(len(words), np.int64)
+        count[simple], count[cut_at], count[odd_at] = 1 + marked, cut_sizes, 1
+        start = np.cumsum(count) - count
+        piece = np.empty(int(count.sum()), np.int64)
+        first, n, m = start[simple], len(stems), len(marks)
+        piece[first], piece[first[marked] + 1] = number[:n], number[n : n + m]
+        piece[gathered(start[cut_at], np.array(cut_sizes, np.int64))] = number[n + m :]
+        piece[start[odd_at]] = len(sizes) + np.arange(len(odd))
+        ids, sizes = np.concatenate([ids, more]), np.concatenate([sizes, more_sizes])
+        begin, size = (np.cumsum(sizes) - sizes)[piece], sizes[piece]
+        reach = np.concatenate([[0], np.cumsum(size)])
+        return ids[gathered(begin, size)], reach[start + count] - reach[start]
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each ended by end_id; number of ids of each text, that one included)."""
+        # special tokens are looked for before lower-casing, and may stand inside words
+        special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False) if self.cut else np.ones(len(texts), bool)
+        plain = pc.if_else(pa.array(special), pa.scalar("", texts.type), texts)
+        split = pc.ascii_split_whitespace(pc.ascii_lower(plain))
+        bounds = split.offsets.to_numpy().astype(np.int64)
+        words = split.flatten().dictionary_encode()
+        if self.cut:
+            ids, sizes = self.word_ids(words.dictionary)
+        else:
+            ids, sizes = np.empty(0, np.uint32), np.zeros(len(words.dictionary), np.int64)
+        number = words.indices.to_numpy()
+        begin, size = (np.cumsum(sizes) - sizes)[number], sizes[number]
+        ids = ids[gathered(begin, size)]
+        reach = np.concatenate([[0], np.cumsum(size)])[bounds - bounds[0]]
+        counts, starts = np.diff(reach), reach[:-1]
+        if special.any():
+            more, more_counts = self.whole(texts.filter(pa.array(special)).to_pylist())
+            starts[special], counts[special] = len(ids) + np.cumsum(more_counts) - more_counts, more_counts
+            ids = np.concatenate([ids, more])[gathered(starts, counts)]
+        return np.insert(ids, np.cumsum(counts), np.uint32(end_id)), counts + 1
+
+
+_TOKENIZERS: dict[str, TextIds] = {}
+
+
+def text_ids(tokenizer_file: str) -> TextIds:
+    """The tokenizer of this Python worker; a worker runs many tasks, one at a time."""
+    if tokenizer_file not in _TOKENIZERS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _WORDS[tokenizer_file] = WordIds(Tokenizer.from_file(tokenizer_file))
-    return _WORDS[tokenizer_file]
+        _TOKENIZERS[tokenizer_file] = TextIds(Tokenizer.from_file(tokenizer_file))
+    return _TOKENIZERS[tokenizer_file]
 
 
 def gathered(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -184,8 +190,8 @@ def gathered(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
-def frequent_pairs(key: np.ndarray, slot: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Of pairs ``key`` with their hash slots and the slots' counts: (positions, index of the pair at each, pairs), for the
+def frequent_pairs(a: np.ndarray, b: np.ndarray, slot: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Of pairs (a, b) with their hash slots and the slots' counts: (positions, index of the pair at each, pairs), for the
     RULES_A_ROUND or fewer pairs that are counted LEAST_COUNT times or more, exactly, in the heaviest slots.  None only if no
     pair at all is."""
     heavy = np.flatnonzero(counts >= LEAST_COUNT)
@@ -195,7 +201,7 @@ def frequent_pairs(key: np.ndarray, slot: np.ndarray, counts: np.ndarray) -> tup
         rank[own] = np.arange(len(own))
         which = rank[slot]
         at = np.flatnonzero(which >= 0)
-        which, k = which[at], key[at]
+        which, k = which[at], (a[at].astype(np.int64) << 32) | b[at]
         # one pair of each slot is counted by the slot, the few that share it with another by sorting
         pairs = np.empty(len(own), np.int64)
         pairs[which] = k
@@ -208,7 +214,7 @@ def frequent_pairs(key: np.ndarray, slot: np.ndarray, counts: np.ndarray) -> tup
         if len(good):
             if len(good) > RULES_A_ROUND:
                 good = good[np.argpartition(-n[good], RULES_A_ROUND)[:RULES_A_ROUND]]
-            new = np.full(len(pairs), -1, np.int64)
+            new = np.full(len(pairs), -1, np.int32)
             new[good] = np.arange(len(good))
             which = new[which]
             return at[which >= 0], which[which >= 0], pairs[good]
@@ -218,13 +224,22 @@ def frequent_pairs(key: np.ndarray, slot: np.ndarray, counts: np.ndarray) -> tup
 def re_pair(ids: np.ndarray, end_id: int, first_symbol: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules as pairs, ids each rule expands to).  Symbols from ``first_symbol`` on are
     rules; pairs with ``end_id`` are left alone, so no symbol spans two documents.  Rounds go on
-    until no pair of neighbours is counted LEAST_COUNT times."""
-    seq, rules = ids.astype(np.int64), np.empty((0, 2), np.int64)
+    until no pair of neighbours is counted LEAST_COUNT times.
+
+    A pair's count only falls from round to round, except where a new symbol stands, so a place
+    whose pair is rare is looked at again only once a neighbour is replaced."""
+    seq, rules = ids.astype(np.uint32), np.empty((0, 2), np.int64)
+    alive = np.zeros(len(seq), bool)  # places whose pair with the next may be frequent
+    alive[:-1] = (seq[:-1] != end_id) & (seq[1:] != end_id)
     while True:
-        free = np.flatnonzero((seq[:-1] != end_id) & (seq[1:] != end_id))
+        free = np.flatnonzero(alive)
         a, b = seq[free], seq[free + 1]
-        slot = ((a * 0x9E3779B1 + b * 0x85EBCA77) >> 7) & ((1 << COUNT_BITS) - 1)
-        found = frequent_pairs((a << 32) | b, slot, np.bincount(slot, minlength=1 << COUNT_BITS))
+        slot = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(32 - COUNT_BITS)
+        counts = np.bincount(slot, minlength=1 << COUNT_BITS)
+        often = counts[slot] >= LEAST_COUNT
+        alive[free[~often]] = False
+        free, a, b, slot = free[often], a[often], b[often], slot[often]
+        found = frequent_pairs(a, b, slot, counts)
         if found is None:
             break
         at, which, pairs = free[found[0]], found[1], found[2]
@@ -241,23 +256,40 @@ def re_pair(ids: np.ndarray, end_id: int, first_symbol: int) -> tuple[np.ndarray
         seq[at] = first_symbol + len(rules) + which
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq = seq[keep]
+        seq, alive = seq[keep], alive[keep]
+        at = at - np.arange(len(at))
+        near = np.concatenate([at, at[at > 0] - 1])
+        near = near[near < len(seq) - 1]
+        alive[near] = (seq[near] != end_id) & (seq[near + 1] != end_id)
+        alive[-1] = False
         rules = np.concatenate([rules, np.stack([pairs[kept] >> 32, pairs[kept] & 0xFFFFFFFF], 1)])
-    lengths = np.ones(first_symbol + len(rules), np.int64)
+    lengths = [1] * len(rules)
     for k, (x, y) in enumerate(rules.tolist()):
-        lengths[first_symbol + k] = lengths[x] + lengths[y]
-    return seq.astype(np.uint32), rules.astype(np.uint32), lengths[first_symbol:].astype(np.uint32)
+        lengths[k] = (lengths[x - first_symbol] if x >= first_symbol else 1) + (lengths[y - first_symbol] if y >= first_symbol else 1)
+    return seq, rules.astype(np.uint32), np.array(lengths, np.uint32)
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first_symbol: int) -> np.ndarray:
     """The ids of a sequence of symbols."""
     starts = np.cumsum(lengths, dtype=np.int64) - lengths
     flat = np.empty(int(lengths.sum(dtype=np.int64)), np.uint32)
-    for k, (x, y) in enumerate(rules.tolist()):
-        at, split = starts[k], int(lengths[x - first_symbol]) if x >= first_symbol else 1
-        flat[at : at + split] = flat[starts[x - first_symbol] : starts[x - first_symbol] + split] if x >= first_symbol else x
-        rest = lengths[k] - split
-        flat[at + split : at + lengths[k]] = flat[starts[y - first_symbol] : starts[y - first_symbol] + rest] if y >= first_symbol else y
+    # rules of one depth together: their parts are ids or rules of less depth
+    depth = np.zeros(len(rules), np.int64)
+    deep: list[int] = []
+    for x, y in rules.tolist():
+        deep.append(1 + max(deep[x - first_symbol] if x >= first_symbol else 0, deep[y - first_symbol] if y >= first_symbol else 0))
+    depth[:] = deep
+    for d in range(1, int(depth.max(initial=0)) + 1):
+        level = np.flatnonzero(depth == d)
+        to = starts[level]
+        for part in (rules[level, 0], rules[level, 1]):
+            rule = part >= first_symbol
+            flat[to[~rule]] = part[~rule]
+            r = part[rule] - first_symbol
+            flat[gathered(to[rule], lengths[r].astype(np.int64))] = flat[gathered(starts[r], lengths[r].astype(np.int64))]
+            size = np.ones(len(level), np.int64)
+            size[rule] = lengths[r]
+            to = to + size
     # plain ids are looked up behind the rules' expansions, one each
     is_rule = symbols >= first_symbol
     source = np.concatenate([flat, symbols[~is_rule].astype(np.uint32)])
@@ -283,8 +315,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words = word_ids(tokenizer_file)
-        first = words.tokenizer.get_vocab_size(with_added_tokens=True)
+        tokenizer = text_ids(tokenizer_file)
+        first = tokenizer.first_symbol
         part, shard = TaskContext.get().partitionId(), 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         names = [x.split()[0] for x in FILE_SCHEMA.split(", ")]
@@ -304,16 +336,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
 
         n = docs_held = 0
         for batch in batches:
-            texts, doc_ids = batch.column(1).cast(pa.large_binary()), batch.column(0)
+            texts, doc_ids = batch.column(1), batch.column(0)
             null = doc_ids.is_null().to_numpy(zero_copy_only=False)
             numbers = pc.fill_null(doc_ids, 0).to_numpy(zero_copy_only=False)
+            reach = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
             at = 0
             while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and size < 6_000_000:
-                    size += len(texts[to].as_buffer())
-                    to += 1
-                ids, sizes = words.encode([t.as_py() for t in texts[at:to]], end_id)
+                to = at + 1 + int(np.searchsorted(reach[at + 1 :], (reach[at - 1] if at else 0) + TEXT_BYTES, side="right"))
+                ids, sizes = tokenizer.encode(texts.slice(at, to - at), end_id)
                 held.append((ids, sizes, numbers[at:to], null[at:to]))
                 n, docs_held, at = n + len(ids), docs_held + to - at, to
                 if n >= shard_ids or docs_held >= SHARD_DOCS:

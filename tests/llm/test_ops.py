@@ -3,9 +3,12 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -351,23 +354,28 @@ def tokenizer():
 ODD_TEXTS = ["It's we're I'd' 's ''s x'll <|endoftext|>A<|ENDOFTEXT|> Ab \x85 a b ÀÉ á ÅΣ ς 漢字 ½ ² ǅ ﬁ İ ı ß ẞ µ ª º \xad", "ABC\x1cdef\x00\x01 tab\tnl\r\n\x0b\x0c x", "🙂🙂 a🙂b ét́", "!!! ... a.b,c; 3rd 12,5 %%%"]
 
 
-def test_words_give_the_ids_of_whole_texts(tokenizer):
+def test_words_give_the_ids_of_whole_texts(tokenizer, monkeypatch):
     draw = random.Random(8)
     alphabet = "abcXYZéèßñÅ0159.,'!%|<>&-_ \n\t漢Σ"
-    texts = ODD_TEXTS + ["".join(draw.choice(alphabet) for _ in range(200)) for _ in range(200)] + ["", " "]
-    w = token_files.WordIds(tokenizer)
-    ids, sizes = w.encode([t.encode() for t in texts], 1)
-    at = 0
-    for t, n in zip(texts, sizes):
-        assert ids[at : at + n].tolist() == tokenizer.encode(t, add_special_tokens=False).ids + [1]
-        at += n
-
-
-def test_forgotten_words_are_encoded_again(tokenizer, monkeypatch):
-    monkeypatch.setattr(token_files, "KEPT_WORDS", 3)
-    w = token_files.WordIds(tokenizer)
-    for text in ("aa bb cc dd", "dd ee aa", "aa ff gg dd"):
-        assert w.encode([text.encode()], 1)[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [1]
+    texts = ODD_TEXTS + ["".join(draw.choice(alphabet) for _ in range(200)) for _ in range(200)] + ["", " ", "a" * 50_000, "word. " * 3000]
+    w = token_files.TextIds(tokenizer)
+    assert w.cut is not None
+    for most in (token_files.PIECES_A_CALL, 7):
+        monkeypatch.setattr(token_files, "PIECES_A_CALL", most)
+        ids, sizes = w.encode(pa.array(["x", *texts]).slice(1), 1)
+        at = 0
+        for t, n in zip(texts, sizes):
+            assert ids[at : at + n].tolist() == tokenizer.encode(t, add_special_tokens=False).ids + [1]
+            at += n
+        assert at == len(ids)
+    assert w.encode(pa.array([], pa.string()), 1)[0].tolist() == []
+
+
+def test_latin_letters_are_their_own_normal_form():
+    letters = [chr(c) for c in range(0x21, 0x250) if token_files.PLAIN.fullmatch(chr(c))]
+    assert all(unicodedata.is_normalized("NFC", a + b) for a in letters for b in "aé\u024f")
+    simple = pc.match_substring_regex(pa.array([c.lower() if c.isascii() else c for c in letters]), token_files.SIMPLE).to_pylist()
+    assert [c.isalpha() for c in letters] == simple
 
 
 def test_re_pair_round_trip_and_random_access():
