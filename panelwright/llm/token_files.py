@@ -35,7 +35,7 @@ RULES_A_ROUND, LEAST_COUNT = 2048, 8
 #: Bits of the table in which pairs are counted.
 COUNT_BITS = 20
 #: Bytes of text that are encoded together, about (a longer text alone), and pieces of one call of the library.
-TEXT_BYTES, PIECES_A_CALL = 6_000_000, 50_000
+TEXT_BYTES, PIECES_A_CALL = 3_000_000, 50_000
 FILE_SCHEMA = "part int, shard int, n_docs int, n_ids long, first_symbol int, rules binary, lengths binary, symbols binary, doc_ids binary, doc_null binary, doc_symbols binary, doc_lengths binary"
 
 
@@ -344,11 +344,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
             while at < len(texts):
                 to = at + 1 + int(np.searchsorted(reach[at + 1 :], (reach[at - 1] if at else 0) + TEXT_BYTES, side="right"))
                 ids, sizes = tokenizer.encode(texts.slice(at, to - at), end_id)
-                held.append((ids, sizes, numbers[at:to], null[at:to]))
-                n, docs_held, at = n + len(ids), docs_held + to - at, to
-                if n >= shard_ids or docs_held >= SHARD_DOCS:
-                    yield close()
-                    n = docs_held = 0
+                ends, k = np.cumsum(sizes), 0
+                while k < len(sizes):
+                    start = int(ends[k - 1]) if k else 0
+                    m = min(k + 1 + int(np.searchsorted(ends[k:], start + shard_ids - n)), k + SHARD_DOCS - docs_held, len(sizes))
+                    held.append((ids[start : ends[m - 1]], sizes[k:m], numbers[at + k : at + m], null[at + k : at + m]))
+                    n, docs_held, k = n + int(ends[m - 1]) - start, docs_held + m - k, m
+                    if n >= shard_ids or docs_held >= SHARD_DOCS:
+                        yield close()
+                        n = docs_held = 0
+                at = to
         if held:
             yield close()
 
