@@ -1,4 +1,8 @@
-"""Row-level columns: times of observation, costs, regimes, weights, texts, sample arrays."""
+"""Row-level columns: times of observation, costs, regimes, weights, texts, sample arrays.
+
+Fixed values, which results depend on: hours of the market, bounds and names of the classes, half-lives, cost constants, and the
+coefficients of the error function's approximation (Abramowitz and Stegun 7.1.26).
+"""
 
 from __future__ import annotations
 
@@ -337,10 +341,11 @@ def strip_html(x) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
-def item_section(x, item: str, most: int = 2000) -> Column:
-    """The text from ``Item n.`` to the next item; without such, the first ``most`` characters."""
+def item_section(x, item: str, most: int | None = None) -> Column:
+    """The text from ``Item n.`` to the next item; without such the whole text, or its first ``most`` characters if that is asked for."""
     found = F.regexp_extract(col(x), rf"(?is)item\s+{item}\.?\s*(.*?)(?=item\s+\d+[a-z]?\.|\Z)", 1)
-    return F.when(F.length(F.trim(found)) > 0, F.trim(found)).otherwise(F.substring(col(x), 1, most))
+    rest = col(x) if most is None else F.substring(col(x), 1, most)
+    return F.when(F.length(F.trim(found)) > 0, F.trim(found)).otherwise(rest)
 
 
 def valid_text(x) -> Column:

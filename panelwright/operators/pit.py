@@ -86,8 +86,10 @@ def terminal_price(events: DataFrame) -> DataFrame:
     return events.where("event_type = 'delisting'").groupBy("stable_id").agg(F.max_by("terminal_price", "event_date").alias("terminal_price"))
 
 
-def identifier_history(dim: DataFrame, stable_id: str) -> DataFrame:
-    return dim.where(F.col("stable_id") == stable_id).orderBy("valid_from")
+def identifier_history(dim: DataFrame, stable_ids: list[str] | None = None) -> DataFrame:
+    """The identifiers in the order of time, of some or all securities."""
+    d = dim.where(F.col("stable_id").isin(stable_ids)) if stable_ids else dim
+    return d.orderBy("stable_id", "valid_from")
 
 
 def first_after(periods: DataFrame, filings: DataFrame, entity: str = "ticker", days: int = 60) -> DataFrame:

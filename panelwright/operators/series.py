@@ -106,28 +106,40 @@ def level_change(x: str, n: int, w) -> Column:
     return F.col(x) - F.lag(x, n).over(w)
 
 
+def _decayed(d: DataFrame, entity: list[str], date: str, halflife: float, terms: dict[str, Column]) -> DataFrame:
+    """Each term's sum over the rows up to this one, weights halved every ``halflife`` rows (column _i numbers them).
+
+    Running sums in blocks of 500 half-lives, with exponents that start anew in each block, so none overflows or vanishes; a
+    row sees its own block and the one before: what is older weighs less than 2^-500."""
+    length = max(1, int(500 * halflife))
+    fade = 2.0 ** (-length / halflife)
+    block = F.floor((F.col("_i") - 1) / length)
+    d = d.withColumn("_b", block).withColumn("_x", F.pow(F.lit(2.0), (F.col("_i") - 1 - F.col("_b") * length) / F.lit(float(halflife))))
+    d = d.withColumns({f"_t_{n}": F.coalesce(c * F.col("_x"), F.lit(0.0)) for n, c in terms.items()})
+    inside = Window.partitionBy(*entity, "_b")
+    upto, before = inside.orderBy(date).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*entity).orderBy("_b").rangeBetween(-1, -1)
+    d = d.withColumns({f"_all_{n}": F.sum(f"_t_{n}").over(inside) for n in terms})
+    d = d.withColumns({n: (F.sum(f"_t_{n}").over(upto) + F.coalesce(F.max(f"_all_{n}").over(before), F.lit(0.0)) * fade) / F.col("_x") for n in terms})
+    return d.drop("_b", "_x", *[f"_t_{n}" for n in terms], *[f"_all_{n}" for n in terms])
+
+
 def ewma(df: DataFrame, x: str, entity: list[str], date: str, halflife: float, least: int = 1, name: str = "ewma") -> DataFrame:
-    """Weighted mean of all values so far, weights halved every ``halflife`` rows (missing values
-    keep their place); exact, by running sums with rebased exponents."""
-    w = Window.partitionBy(*entity).orderBy(date) if entity else Window.orderBy(date)
+    """Weighted mean of all values so far, weights halved every ``halflife`` rows (missing values keep their place)."""
+    entity = entity or [F.lit(1)]
+    w = Window.partitionBy(*entity).orderBy(date)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    d = df.withColumn("_i", F.row_number().over(w))
-    # exponents end at 0; a row 1000 half-lives before the series' end weighs nothing in any case
-    top = F.max("_i").over(Window.partitionBy(*entity) if entity else Window.partitionBy(F.lit(1)))
-    weight = F.when(F.col(x).isNotNull(), F.pow(F.lit(2.0), (F.col("_i") - top) / F.lit(float(halflife))))
-    d = d.withColumn("_w", weight)
-    total, norm = F.sum(F.col("_w") * F.col(x)).over(upto), F.sum("_w").over(upto)
-    return d.withColumn(name, F.when(F.count(x).over(upto) >= least, F.try_divide(total, norm))).drop("_i", "_w")
+    known = F.col(x).isNotNull()
+    d = _decayed(df.withColumn("_i", F.row_number().over(w)), entity, date, halflife, {"_sum": F.col(x), "_norm": F.when(known, 1.0)})
+    # without a value of its own a row has the mean of the row before: all weights have faded alike
+    mean = F.last(F.when(known, F.col("_sum") / F.col("_norm")), ignorenulls=True).over(upto)
+    return d.withColumn(name, F.when(F.count(x).over(upto) >= least, mean)).drop("_i", "_sum", "_norm")
 
 
 def ema(df: DataFrame, x: str, entity: list[str], date: str, halflife: float = 5.0, name: str = "ema") -> DataFrame:
-    """Recursive smoothing y = a x + (1 - a) y', a = 1 - 2^(-1/halflife), starting at the first value."""
-    w = Window.partitionBy(*entity).orderBy(date)
+    """Recursive smoothing y = a x + (1 - a) y', a = 1 - 2^(-1/halflife), starting at the first value; rows without a value are left out."""
     a = 1 - 2 ** (-1 / halflife)
-    d = df.where(F.col(x).isNotNull()).withColumn("_a", F.collect_list(x).over(w.rowsBetween(-int(60 * halflife), 0))).withColumn("_i", F.row_number().over(w))
-    # values older than 60 half-lives weigh less than 1e-18
-    value = F.aggregate(F.col("_a"), F.lit(None).cast("double"), lambda t, v: F.when(t.isNull(), v).otherwise(a * v + (1 - a) * t))
-    return d.withColumn(name, value).drop("_a", "_i")
+    d = df.where(F.col(x).isNotNull()).withColumn("_i", F.row_number().over(Window.partitionBy(*entity).orderBy(date)))
+    return _decayed(d, entity, date, halflife, {name: F.col(x) * F.when(F.col("_i") == 1, 1.0).otherwise(a)}).drop("_i")
 
 
 def matured(x: str, rows, w) -> Column:

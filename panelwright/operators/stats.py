@@ -114,12 +114,10 @@ def rolling_pooled_correlation(df: DataFrame, x: str, y: str, date: str, dates:
 
 
 def pair_report(df: DataFrame, pairs: list[tuple[str, str]], by: list[str]) -> DataFrame:
-    """Per pair and group: rank correlation, n, and the t statistic of the correlation."""
-    out = None
-    for a, b in pairs:
-        r = spearman(df, a, b, by, "rho").withColumns({"a": F.lit(a), "b": F.lit(b)})
-        out = r if out is None else out.unionByName(r)
-    return out.withColumn("t", F.try_divide(F.col("rho") * F.sqrt(F.col("n") - 2), F.sqrt(1 - F.col("rho") * F.col("rho"))))
+    """Per pair and group: rank correlation, n, and the t statistic of the correlation; all pairs from one scan."""
+    each = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("_x"), F.col(b).cast("double").alias("_y")) for a, b in pairs])
+    r = spearman(df.select(*by, F.inline(each)), "_x", "_y", ["a", "b", *by], "rho")
+    return r.withColumn("t", F.try_divide(F.col("rho") * F.sqrt(F.col("n") - 2), F.sqrt(1 - F.col("rho") * F.col("rho"))))
 
 
 def ols_residuals(df: DataFrame, y: str, x: list[str], keys: list[str], name: str = "residual") -> DataFrame:

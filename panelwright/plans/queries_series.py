@@ -25,11 +25,11 @@ def rank_ic_monthly(v: Views):
 W = "WINDOW w AS (PARTITION BY ticker ORDER BY date)"
 
 
-@query("bar_scan_range", sql("SELECT ticker, date, close, volume FROM bars WHERE date BETWEEN DATE '1995-01-01' AND DATE '1995-03-31' AND ticker IN (1, 2, 3)", "bars"))
+@query("bar_scan_range", sql("SELECT ticker, date, close, volume FROM bars WHERE date BETWEEN DATE '1993-01-01' AND DATE '1997-12-31'", "bars"))
 def bar_scan_range(v):
     from ..sources.stores import query_bars
 
-    return query_bars(v.bars, [1, 2, 3], "1995-01-01", "1995-03-31")
+    return query_bars(v.bars, None, "1993-01-01", "1997-12-31")
 
 
 @query("momentum_daily", sql("SELECT ticker, date, " + ", ".join(r(f"close / lag(close, {n}) OVER w - 1") + f" AS mom_{n}" for n in (21, 63, 126, 252)) + f" FROM bars {W}", "bars"))

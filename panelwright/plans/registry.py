@@ -8,7 +8,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import views
+from ..operators import labels
+from ..sources import scratch, views
+from .sqlparts import ar, corr, pr, r
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -35,6 +37,12 @@ class Views:
     statements = cached_property(lambda self: views.statements(self.spark, self.sf_dir))
     events = cached_property(lambda self: views.pit_events(self.spark, self.sf_dir))
 
+    labels = cached_property(lambda self: labels.forward_labels(self.bars, self.bench, [20, 60]))
+    calendar = cached_property(lambda self: labels.sessions(self.bench))
+
+    def folder(self, name: str) -> str:
+        return scratch.folder(self.spark, name)
+
     def dates(self, *days: str) -> DataFrame:
         return self.spark.createDataFrame([(d,) for d in days], "d string").select(F.col("d").cast("date").alias("as_of"))
 
@@ -54,18 +62,4 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 
 
-def ar(x: str, keys: str) -> str:
-    """Average rank in SQL."""
-    return f"(rank() OVER (PARTITION BY {keys} ORDER BY {x}) + (count(*) OVER (PARTITION BY {keys}, {x}) - 1) / 2.0)"
-
-
-def pr(x: str, keys: str) -> str:
-    return f"({ar(x, keys)} / count({x}) OVER (PARTITION BY {keys}))"
-
-
-def corr(a: str, b: str) -> str:
-    return f"CASE WHEN stddev_pop({a}) * stddev_pop({b}) > 1e-15 THEN covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) END"
-
-
-def r(x: str, digits: int = 6) -> str:
-    return f"round({x}, {digits})"
+__all__ = ["ORACLE_SQL", "QUERIES", "Views", "ar", "corr", "pr", "query", "r", "rounded"]

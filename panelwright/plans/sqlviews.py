@@ -1,5 +1,7 @@
 """The views of ``sources.views`` as SQL, for the queries' SQL."""
 
+from .sqlparts import ar, corr
+
 VIEWS = {
     "bars": "SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS date, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / (sum(l_quantity) * 100) AS close, sum(l_quantity) AS volume FROM lineitem GROUP BY 1, 2",
     "bench": "SELECT CAST(l_shipdate AS DATE) AS date, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / (sum(l_quantity) * 100) AS close FROM lineitem GROUP BY 1",
@@ -19,8 +21,11 @@ VIEWS = {
     "st0": "SELECT ticker, period_end, period_end + 45 AS filing_date, period_end + 45 AS observed_at, field, value FROM (UNPIVOT q0 ON revenue, income, equity INTO NAME field VALUE value)",
     "statements": "SELECT * FROM st0 UNION ALL SELECT ticker, period_end, filing_date, observed_at + 30, field, value * 1.5 FROM st0 WHERE field = 'revenue'",
     "pe": "SELECT event_id, user_id AS ticker, event_type, CAST(ts AS DATE) AS event_date, ts AS observed_at, props AS payload, value FROM events",
+    "fl": "SELECT as_of_date, ticker, horizon, p1 / p0 - b1.close / b0.close AS excess_return, exit_date FROM (SELECT date AS as_of_date, ticker, 20 AS horizon, close AS p0, lead(close, 20) OVER w AS p1, lead(date, 20) OVER w AS exit_date FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date) UNION ALL SELECT date, ticker, 60, close, lead(close, 60) OVER w, lead(date, 60) OVER w FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)) x JOIN bench b0 ON b0.date = as_of_date JOIN bench b1 ON b1.date = exit_date",
+    "cal": "SELECT date AS session, CAST(row_number() OVER (ORDER BY date) - 1 AS BIGINT) AS session_idx FROM (SELECT DISTINCT date FROM bench)",
+    "ic": f"SELECT as_of_date, horizon, {corr('x', 'y')} AS rank_ic, count(*) AS n FROM (SELECT *, {ar('score', 'as_of_date, horizon')} AS x, {ar('excess_return', 'as_of_date, horizon')} AS y FROM ev) GROUP BY 1, 2",
 }
-NEEDS = {"mbars": ["bars"], "mbench": ["bench"], "mp0": ["mbars"], "mpanel": ["mp0", "sectors"], "ev0": ["mpanel", "mbench"], "ev": ["ev0"], "ls0": ["ev"], "ls1": ["ls0"], "ls2": ["ls1"], "ls": ["ls2"], "market": ["bench"], "st0": ["q0"], "statements": ["st0"]}
+NEEDS = {"fl": ["bars", "bench"], "cal": ["bench"], "ic": ["ev"], "mbars": ["bars"], "mbench": ["bench"], "mp0": ["mbars"], "mpanel": ["mp0", "sectors"], "ev0": ["mpanel", "mbench"], "ev": ["ev0"], "ls0": ["ev"], "ls1": ["ls0"], "ls2": ["ls1"], "ls": ["ls2"], "market": ["bench"], "st0": ["q0"], "statements": ["st0"]}
 
 
 def sql(body: str, *views: str, **more: str) -> str:
