@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import unicodedata
 import zlib
 
@@ -276,6 +277,59 @@ def test_main_text(spark):
     assert got[2].text == "" and got[None].n_chars == 0 and got[3].n_chars == len(got[3].text) > 400_000
 
 
+PLANTED = {
+    "<body><p>Short text</p></body>": "Short text",
+    "<div class='share-story'><h1>Head</h1><p>An article of some length, with a comma and an end.</p><p>Another one that goes on for a while, then ends.</p></div>": "Head\nAn article of some length, with a comma and an end.\nAnother one that goes on for a while, then ends.",
+    "<p>A full paragraph of good length, it ends here and says something.</p><p>OK</p>": "A full paragraph of good length, it ends here and says something.\nOK",
+    "<p>Text of the article is here, it is long enough to be one.</p><ul><li><a href=1>Home</a></li><li>Contact</li><li><a href=2>More</a></li></ul>": "Text of the article is here, it is long enough to be one.",
+    "<form><article><p>In a form. All of it.</p></article><label>Mail</label></form>": "In a form. All of it.",
+    "<article><p>One.</p><p><a href=x>a link</a></p><div class='post-comments'><p>I liked this long article, thank you very much.</p></div></article>": "One.\na link",
+    "<div class=related><p>Read these other stories, they are very good ones.</p></div><p>x</p>": "x",
+    "<tr><td>a<td>b<tr><td>c</table></p>": "a\nb\nc",
+}
+
+
+def test_planted_pages():
+    for page, text in PLANTED.items():
+        assert html_text.main_text(page) == text, page
+
+
+def test_the_cut_decides_and_is_minimal():
+    flipped = 0
+    for page in PLANTED:
+        blocks = html_text.blocks_of(page)
+        prefer, edges = html_text.preferences(blocks, html_text.PLAIN_WEIGHTS), html_text.edges_of(blocks)
+        side = html_text.kept_blocks(blocks)
+        flipped += sum((p > 0) != s for p, s in zip(prefer, side))
+        cost = sum(abs(p) for p, s in zip(prefer, side) if (p > 0) != s) + sum(w for a, b, w in edges if side[a] != side[b])
+        assert cost == brute_cut(prefer, edges)
+    assert flipped >= 2  # a heading of a doubtful element, a line without a link in a list of links
+
+
+def test_deep_and_broken_pages():
+    t = time.process_time()
+    assert html_text.main_text("<div>x" * 50_000).count("x") == 50_000
+    assert html_text.main_text("<ul><li><div>" * 20_000 + "<li></li>" * 20_000) == ""
+    assert html_text.main_text("<p>a<b" + " c" * 100_000).startswith("a")
+    assert html_text.main_text("<p>a &amp; b</p></div></article>" * 20_000).count("\n") == 19_999
+    assert time.process_time() - t < 30
+
+
+def test_extraction_of_a_table(spark):
+    assert html_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    rows = [(i, "u", PAGE) for i in range(60)] + [(7, "u", PAGE), (None, None, None)]
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert len(got) == 62 and sum(r.text == "Head line\nFirst para <one> next line.\nSecond bold text." for r in got) == 61
+
+
+def test_text_classifier_is_trained():
+    g = np.random.default_rng(1)
+    x = np.stack([np.ones(4000), g.random(4000), g.integers(0, 2, 4000), g.integers(0, 2, 4000), g.random(4000)], 1)
+    y = (x[:, 1] - x[:, 4] + 0.3 * x[:, 2] + 0.2 * g.normal(size=4000) > 0).astype(float)
+    w = html_text.train_weights(x, y)
+    assert w[1] > 0 and w[2] > 0 and w[4] < 0 and (((x @ w) > 0) == y).mean() > 0.85
+
+
 # 7 -------------------------------------------------------------------------------------------
 
 
