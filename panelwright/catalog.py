@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import queries_evaluation, queries_panels, queries_series, queries_stores  # noqa: F401  (they register)
+from .plans import queries_evaluation, queries_models, queries_panels, queries_series, queries_stores  # noqa: F401  (they register)
 from .plans.registry import ORACLE_SQL, QUERIES
 
 

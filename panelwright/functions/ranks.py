@@ -140,6 +140,12 @@ def confusion(df: DataFrame, label: str, predicted: str, keys: list[str]) -> Dat
 def ks_statistic(df: DataFrame, value: str, is_first: str, keys: list[str], least: tuple[int, int] = (20, 5), name: str = "ks") -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance by key; NULL unless both sides have more than ``least`` values."""
     d = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(F.col(is_first).cast("long")).alias("_a"), F.sum((~F.col(is_first)).cast("long")).alias("_b"))
+    return ks_of_counts(d, value, keys, least, name)
+
+
+def ks_of_counts(df: DataFrame, value: str, keys: list[str], least: tuple[int, int] = (20, 5), name: str = "ks") -> DataFrame:
+    """The same of rows that hold how often a value is in the first (_a) and second (_b) sample."""
+    d = df.groupBy(*keys, value).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
     w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     t = Window.partitionBy(*keys)
     d = d.withColumns({"_na": F.sum("_a").over(t), "_nb": F.sum("_b").over(t)})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import col, median, zscore
 from ..functions.scalars import close_utc, payload, surprise_pct
-from .pit import asof_join, latest, neighbours_within
+from .pit import asof_join, latest, latest_within
 
 
 def visible_events(panel: DataFrame, events: DataFrame, entity: str = "ticker", date: str = "date", lookback: int = 90) -> DataFrame:
@@ -94,11 +94,8 @@ def valuation_history(df: DataFrame, pe: str, entity: str, date: str, least: int
 
 def peer_z(df: DataFrame, value: str, entity: str, sector: str, date: str, days: int = 90, least: int = 5) -> DataFrame:
     """z of a filing's metric against its sector's latest ones within ``days`` before, its own included."""
-    peers = neighbours_within(df.where(F.col(value).isNotNull()), entity, sector, date, value, days)
-    own = df.where(F.col(value).isNotNull()).select(entity, sector, date, F.col(entity).alias("other"), value)
-    g = own.unionByName(peers.select(entity, sector, date, "other", value)).groupBy(entity, sector, date)
-    g = g.agg(F.count(F.lit(1)).alias("_n"), F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
-    d = df.join(g, [entity, sector, date], "left")
+    g = latest_within(df, entity, sector, date, value, days).select(sector, date, F.col("n").alias("_n"), F.col("mean").alias("_m"), F.col("std").alias("_s"))
+    d = df.join(g, [sector, date], "left")  # a row a sector and day
     return d.withColumn(f"{value}_z", F.when((F.col("_n") >= least) & (F.col("_s") > 1e-8), (F.col(value) - F.col("_m")) / F.col("_s"))).drop("_n", "_m", "_s")
 
 

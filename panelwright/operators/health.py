@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import average_precision, auroc, bucket_by_edges, confusion, ks_statistic, spearman
+from ..functions.ranks import average_precision, auroc, bucket_by_edges, confusion, ks_of_counts, spearman
 from ..functions.scalars import exposure_gate, sigmoid
 from .evaluate import rank_ic
 from .series import ewma, expanding_mean, expanding_z, matured, reference_drift
@@ -30,15 +30,15 @@ def feature_drift(rows: DataFrame, features: list[str], by: list[str] = ["horizo
     return means.select(*by, date, reference_drift(features, Window.partitionBy(*by).orderBy(date), n, least).alias("feature_drift"))
 
 
-def score_drift(rows: DataFrame, by: list[str] = ["horizon"], date: str = "as_of_date", dates: int = 60, per_date: int = 20, value: str = "score") -> DataFrame:
-    """KS distance of a date's scores from those of the ``dates`` dates before, of which ``per_date`` names
-    a date are compared (fixed by hash: that bound is the definition of the reference sample)."""
+def score_drift(rows: DataFrame, by: list[str] = ["horizon"], date: str = "as_of_date", dates: int = 60, value: str = "score") -> DataFrame:
+    """KS distance of a date's scores from those of the ``dates`` dates before, all names of them.
+
+    Scores are first counted by date and value, and the counts copied forward to the dates that look back at them."""
     idx = date_index(rows, by, date)
-    d = rows.where(F.col(value).isNotNull()).join(idx, [*by, date])
-    own = d.select(*by, F.col("_i").alias("_t"), value, F.lit(True).alias("_today"))
-    few = d.withColumn("_k", F.row_number().over(Window.partitionBy(*by, date).orderBy(F.xxhash64("ticker"), "ticker"))).where(F.col("_k") <= per_date)
-    ref = few.withColumn("_t", F.explode(F.sequence(F.col("_i") + 1, F.col("_i") + dates))).select(*by, "_t", value, F.lit(False).alias("_today"))
-    k = ks_statistic(own.unionByName(ref), value, "_today", [*by, "_t"])
+    d = rows.where(F.col(value).isNotNull()).groupBy(*by, date, value).agg(F.count(F.lit(1)).alias("_c")).join(F.broadcast(idx), [*by, date])
+    own = d.select(*by, F.col("_i").alias("_t"), value, F.col("_c").alias("_a"), F.lit(0).cast("long").alias("_b"))
+    ref = d.select(*by, F.explode(F.sequence(F.col("_i") + 1, F.col("_i") + dates)).alias("_t"), value, F.lit(0).cast("long").alias("_a"), F.col("_c").alias("_b"))
+    k = ks_of_counts(own.unionByName(ref), value, [*by, "_t"])
     return k.join(idx.withColumnRenamed("_i", "_t"), [*by, "_t"]).select(*by, date, "ks")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import pct_rank
+from .pit import last_rows
 
 
 def fit_gbt(train: DataFrame, features: list[str], label: str, weight: str | None = None, **settings):
@@ -145,8 +146,7 @@ def forecast(sequences: DataFrame, model: Callable[[pd.Series], pd.Series] | Non
 
 def lookback_windows(bars: DataFrame, as_of: DataFrame, n: int, strict: bool = True, value: str = "close", entity: str = "ticker", date: str = "date") -> DataFrame:
     """as_of, entity, values: the last n values up to each as_of in date order; ``strict``: only full windows."""
-    seen = bars.join(as_of, F.col(date) <= F.col("as_of"))
-    d = seen.withColumn("_n", F.row_number().over(Window.partitionBy("as_of", entity).orderBy(F.col(date).desc()))).where(F.col("_n") <= n)
+    d = last_rows(bars.select(entity, date, value), as_of, entity, date, n)
     g = d.groupBy("as_of", entity).agg(F.transform(F.array_sort(F.collect_list(F.struct(date, value))), lambda x: x[value]).alias("values"))
     return g.where(F.size("values") == n) if strict else g
 

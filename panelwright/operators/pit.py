@@ -14,34 +14,55 @@ def latest(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def known_at(df: DataFrame, as_of: DataFrame, observed: str = "observed_at") -> DataFrame:
-    """Each row once for every as_of date at which it was known.  as_of: one column ``as_of``; it is
-    small, and rows are only kept where observed <= as_of."""
-    return df.join(as_of, F.col(observed) <= F.col("as_of"))
+def points_of(as_of: DataFrame) -> DataFrame:
+    """One row: the dates of ``as_of`` (one column of that name) in order, an array ``_points``.  They are dates that somebody asks
+    for, or those of a calendar: a few thousand at most, whatever the facts' size."""
+    return F.broadcast(as_of.agg(F.sort_array(F.collect_set("as_of")).alias("_points")))
+
+
+def dealt(df: DataFrame, as_of: DataFrame, when: str) -> DataFrame:
+    """Each row once, with the first date ``_t`` that sees it; rows that none sees are left out."""
+    d = df.crossJoin(points_of(as_of)).withColumn("_t", F.get("_points", F.size(F.filter("_points", lambda x: x < F.col(when)))))
+    return d.where(F.col("_t").isNotNull())
+
+
+def carried(df: DataFrame) -> DataFrame:
+    """Rows of ``dealt``, by now reduced, once for every date (as_of) that sees them."""
+    return df.withColumn("as_of", F.explode(F.filter("_points", lambda x: x >= F.col("_t")))).drop("_points", "_t")
 
 
 def read_bitemporal(facts: DataFrame, as_of: DataFrame, entity: str = "ticker", last_period_only: bool = True) -> DataFrame:
     """For each as_of, entity and field: the last revision known of each period, and of those the latest
-    period (or all)."""
-    seen = known_at(facts, as_of)
-    revision = latest(seen, ["as_of", entity, "field", "period_end"], [F.col("observed_at").desc(), F.col("value").desc()])
-    return latest(revision, ["as_of", entity, "field"], [F.col("period_end").desc()]) if last_period_only else revision
+    period (or all).
+
+    Facts are dealt to the first date that sees them and reduced there to one row a group; only those are carried on."""
+    order = ["period_end", "observed_at", "value"]
+    keys = [entity, "field"] + ([] if last_period_only else ["period_end"])
+    best = lambda d, k: d.groupBy(*k).agg(F.max_by("_row", F.struct(*[F.col(f"_row.{c}") for c in order])).alias("_row"))
+    d = dealt(facts, as_of, "observed_at").select(*keys, "_points", "_t", F.struct(*facts.columns).alias("_row"))
+    d = d.groupBy(*keys, "_t").agg(F.max_by("_row", F.struct(*[F.col(f"_row.{c}") for c in order])).alias("_row"), F.first("_points").alias("_points"))
+    return best(carried(d), ["as_of", *keys]).select("as_of", "_row.*")
 
 
 def last_value(df: DataFrame, as_of: DataFrame, entity: str, date: str, value: str) -> DataFrame:
     """as_of, entity, value of the last date not after as_of.
 
     One pass: rows are dealt to the first as_of that sees them, reduced there, and carried on."""
-    points = as_of.select(F.col("as_of").alias("_t"))
-    first = df.join(points, F.col(date) <= F.col("_t")).groupBy(entity, "_t")
-    return first.agg(F.max_by(value, date).alias(value), F.max(date).alias(date)).withColumnRenamed("_t", "as_of")
+    best = lambda d, k, *more: d.groupBy(*k).agg(F.max_by(value, date).alias(value), F.max(date).alias(date), *more)
+    d = best(dealt(df.select(entity, date, value), as_of, date), [entity, "_t"], F.first("_points").alias("_points"))
+    return best(carried(d), ["as_of", entity])
+
+
+def last_rows(df: DataFrame, as_of: DataFrame, entity: str, date: str, n: int) -> DataFrame:
+    """The last n rows of each entity up to each as_of: the last n of those a date is the first to see, carried on, and of them the last n."""
+    recent = lambda d, t: d.withColumn("_n", F.row_number().over(Window.partitionBy(t, entity).orderBy(F.col(date).desc()))).where(F.col("_n") <= n).drop("_n")
+    return recent(carried(recent(dealt(df, as_of, date), "_t")), "as_of")
 
 
 def average_of_last(df: DataFrame, as_of: DataFrame, entity: str, date: str, value: str, n: int) -> DataFrame:
     """Mean of the last n rows up to each as_of."""
-    seen = df.join(as_of, F.col(date) <= F.col("as_of"))
-    ranked = seen.withColumn("_n", F.row_number().over(Window.partitionBy("as_of", entity).orderBy(F.col(date).desc()))).where(F.col("_n") <= n)
-    return ranked.groupBy("as_of", entity).agg(F.avg(value).alias(f"avg_{value}"), F.count(F.lit(1)).alias("n_rows"))
+    d = last_rows(df.select(entity, date, value), as_of, entity, date, n)
+    return d.groupBy("as_of", entity).agg(F.avg(value).alias(f"avg_{value}"), F.count(F.lit(1)).alias("n_rows"))
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, values: list[str], strict: bool = False, within_days: int | None = None) -> DataFrame:
@@ -59,26 +80,39 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, ri
     return d.select("_l.*", *[F.col(f"_last.{v}").alias(v) for v in values])
 
 
-def neighbours_within(df: DataFrame, entity: str, group: str, date: str, value: str, days: int = 90) -> DataFrame:
-    """For every row, the latest row of each other entity of its group within ``days`` before or on its date.
+def latest_within(df: DataFrame, entity: str, group: str, date: str, value: str, days: int = 90) -> DataFrame:
+    """group, date, n, mean, std over the group's entities of their latest value within ``days`` before or on each date that has a row.
+
+    A value counts from its date until the entity's next one or until ``days`` have passed: it is added on the one day and taken
+    away on the other, and running sums over the days of a group give all statistics; no pairs are made.  Of several rows of an
+    entity and day the largest value counts."""
+    one = df.where(F.col(value).isNotNull()).groupBy(entity, group, date).agg(F.max(value).cast("double").alias("_v"))
+    gone = F.least(F.lead(date).over(Window.partitionBy(group, entity).orderBy(date)), F.date_add(date, days + 1))
+    # values less their group's mean: sums of squares of small numbers
+    centre = one.groupBy(group).agg(F.avg("_v").alias("_c"))
+    d = one.withColumn("_gone", gone).join(F.broadcast(centre), group).withColumn("_x", F.col("_v") - F.col("_c"))
+    moves = d.select(group, F.inline(F.array(F.struct(F.col(date).alias("_d"), F.lit(1).alias("_k"), F.col("_x").alias("_s"), (F.col("_x") * F.col("_x")).alias("_q")), F.struct(F.col("_gone").alias("_d"), F.lit(-1).alias("_k"), (-F.col("_x")).alias("_s"), (-F.col("_x") * F.col("_x")).alias("_q")))))
+    byday = moves.groupBy(group, "_d").agg(F.sum("_k").alias("_k"), F.sum("_s").alias("_s"), F.sum("_q").alias("_q"))
+    w = Window.partitionBy(group).orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)  # a row a day
+    run = byday.select(group, F.col("_d").alias(date), F.sum("_k").over(w).alias("n"), F.sum("_s").over(w).alias("_s"), F.sum("_q").over(w).alias("_q"))
+    var = F.greatest(F.col("_q") - F.col("_s") * F.col("_s") / F.col("n"), F.lit(0.0)) / (F.col("n") - 1)
+    run = run.where("n > 0").join(F.broadcast(centre), group)
+    return run.select(group, date, "n", (F.col("_s") / F.col("n") + F.col("_c")).alias("mean"), F.when(F.col("n") > 1, F.sqrt(var)).alias("std"))
+
 
-    A range join by buckets of ``days``: a row meets its own and the previous bucket only."""
-    b = F.floor(F.datediff(F.col(date), F.lit("1970-01-01").cast("date")) / days)
-    me = df.select(F.col(entity).alias("e"), F.col(group).alias("g"), F.col(date).alias("d"), F.explode(F.array(b, b - 1)).alias("b"))
-    you = df.select(F.col(entity).alias("oe"), F.col(group).alias("g"), F.col(date).alias("od"), F.col(value).alias("ov"), b.alias("b"))
-    met = me.join(you, ["g", "b"]).where((F.col("oe") != F.col("e")) & (F.col("od") <= F.col("d")) & (F.datediff("d", "od") <= days))
-    return met.groupBy(F.col("e").alias(entity), F.col("g").alias(group), F.col("d").alias(date), F.col("oe").alias("other")).agg(F.max_by("ov", "od").alias(value))
+def within_interval(dim: DataFrame, as_of: DataFrame) -> DataFrame:
+    """Each row once for every as_of with valid_from <= as_of <= valid_to (open if NULL)."""
+    seen = F.filter("_points", lambda x: (x >= F.col("valid_from")) & (F.col("valid_to").isNull() | (x <= F.col("valid_to"))))
+    return dim.crossJoin(points_of(as_of)).withColumn("as_of", F.explode(seen)).drop("_points")
 
 
 def identifier_at(dim: DataFrame, as_of: DataFrame, key: str = "ticker", value: str = "stable_id") -> DataFrame:
     """Effective-dated lookup: valid_from <= as_of <= valid_to (open if NULL), the latest valid_from wins."""
-    met = dim.join(as_of, (F.col("valid_from") <= F.col("as_of")) & (F.col("as_of") <= F.coalesce(F.col("valid_to"), F.lit("9999-12-31").cast("date"))))
-    return latest(met, ["as_of", key], [F.col("valid_from").desc(), F.col(value)]).select("as_of", key, value)
+    return latest(within_interval(dim, as_of), ["as_of", key], [F.col("valid_from").desc(), F.col(value)]).select("as_of", key, value)
 
 
 def active_at(dim: DataFrame, as_of: DataFrame) -> DataFrame:
-    met = dim.join(as_of, (F.col("valid_from") <= F.col("as_of")) & (F.col("as_of") <= F.coalesce(F.col("valid_to"), F.lit("9999-12-31").cast("date"))))
-    return met.where("is_active").select("as_of", "ticker").distinct()
+    return within_interval(dim.where("is_active"), as_of).select("as_of", "ticker").distinct()
 
 
 def terminal_price(events: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def date_index(rows: DataFrame, by: list[str], date: str) -> DataFrame:
 
 def forward_copies(rows: DataFrame, dates: int, by: list[str], date: str) -> DataFrame:
     """Each row once for each of the next ``dates`` dates (_t): grouping by _t then looks back."""
-    d = rows.join(date_index(rows, by, date), [*by, date])
+    d = rows.join(F.broadcast(date_index(rows, by, date)), [*by, date])  # a row a date
     return d.withColumn("_t", F.explode(F.sequence(F.col("_i") + 1, F.col("_i") + dates)))
 
 
@@ -166,14 +166,14 @@ def nonconformity(kind: str, loss: str = "rank_loss", vol: str = "vol_6m", ehat:
 def rolling_quantile(rows: DataFrame, value: str, alpha: float, dates: int = 60, least: int = 30, by: list[str] = ["horizon"], date: str = "as_of_date") -> DataFrame:
     """by, date, threshold: the ceil((n + 1)(1 - alpha))-th smallest of all values of the ``dates`` dates before.
 
-    Rows are copied forward to the dates that see them, counted by distinct value there, and the value is picked where
+    Rows are counted by date and value, the counts copied forward to the dates that see them and added up there, and the value is picked where
     the running count reaches the rank: no list of a window is ever built."""
-    seen = forward_copies(rows.where(F.col(value).isNotNull()).select(*by, date, value), dates, by, date)
-    counts = seen.groupBy(*by, "_t", value).agg(F.count(F.lit(1)).alias("_c"))
+    own = rows.where(F.col(value).isNotNull()).groupBy(*by, date, value).agg(F.count(F.lit(1)).alias("_c"))
+    counts = forward_copies(own, dates, by, date).groupBy(*by, "_t", value).agg(F.sum("_c").alias("_c"))
     w = Window.partitionBy(*by, "_t")
     counts = counts.withColumns({"_upto": F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_c").over(w)})
     rank = F.least(F.ceil((F.col("_n") + 1) * (1 - alpha)), F.col("_n"))
-    n_dates = seen.groupBy(*by, "_t").agg(F.count_distinct("_i").alias("n_dates"))
+    n_dates = forward_copies(own.select(*by, date).distinct(), dates, by, date).groupBy(*by, "_t").agg(F.count(F.lit(1)).alias("n_dates"))
     g = counts.where(F.col("_upto") >= rank).groupBy(*by, "_t").agg(F.min(value).alias("threshold"), F.max("_n").alias("n_values"))
     g = g.join(n_dates.where(F.col("n_dates") >= least), [*by, "_t"])
     return named_dates(g, rows, by, date).select(*by, date, "threshold", "n_values", "n_dates")

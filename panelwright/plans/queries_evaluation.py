@@ -225,11 +225,6 @@ def health_realized(v):
     return rounded(d.select("horizon", "as_of_date", "matured_ic"))
 
 
-@query("health_gate", None)
-def health_gate(v):
-    return rounded(health.combine(health.realized(health.daily_ic(v.ev), 2, least=6), least=12).select("horizon", "as_of_date", "H_realized", "H_combined", "G_exposure"))
-
-
 @query("early_warning", sql(f"SELECT horizon, round({corr('x', 'y')}, 6) AS rho FROM (SELECT horizon, rank() OVER (PARTITION BY horizon ORDER BY m) + (count(*) OVER (PARTITION BY horizon, m) - 1) / 2.0 AS x, rank() OVER (PARTITION BY horizon ORDER BY ic) + (count(*) OVER (PARTITION BY horizon, ic) - 1) / 2.0 AS y FROM (SELECT as_of_date, horizon, quantile_cont(g_pred, 0.5) AS m FROM ls GROUP BY 1, 2) JOIN (SELECT as_of_date, horizon, round(coalesce(rank_ic, 0), 9) AS ic FROM ({IC})) USING (as_of_date, horizon)) GROUP BY 1", "ls"))
 def early_warning(v):
     d = health.early_warning(v.ls, health.daily_ic(v.ev).withColumn("daily_ic", F.round("daily_ic", 9)))
@@ -285,17 +280,17 @@ def lexicon_sentiment(v):
     return rounded(learn.score_texts(v.table("documents")).where("score IS NOT NULL").select("doc_id", "score"))
 
 
-@query("ticker_changes", None)
+@query("ticker_changes", "SELECT as_of, CAST(s_suppkey AS VARCHAR) AS stable_id, CASE WHEN s_suppkey % 3 = 0 AND as_of >= DATE '1996-07-01' THEN 'NEW-' || s_name ELSE s_name END AS ticker FROM supplier, (VALUES (DATE '1996-06-30'), (DATE '1996-07-01')) t(as_of)")
 def ticker_changes(v):
     dim = v.table("supplier").select(F.col("s_suppkey").cast("string").alias("stable_id"), F.col("s_name").alias("ticker"), F.lit("1990-01-01").cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"), F.lit(True).alias("is_active"))
     changes = dim.where("stable_id % 3 = 0").select("stable_id", F.concat(F.lit("NEW-"), "ticker").alias("new_ticker"), F.lit("1996-07-01").cast("date").alias("change_date"))
     return pit.identifier_at(pit.apply_ticker_changes(dim, changes), v.dates("1996-06-30", "1996-07-01"), "stable_id", "ticker")
 
 
-@query("recency_block", None)
+@query("recency_block", sql("SELECT ticker, month AS date, last_filing, CAST(month - last_filing AS INTEGER) AS days_since_filing, coalesce(month - last_filing <= 63, FALSE) AS in_window, CAST(greatest(last_filing + CAST(round(spacing) AS INTEGER) - month, 0) AS INTEGER) AS days_to_next FROM (SELECT m.ticker, m.month, f.filing_date AS last_filing, f.spacing FROM mbars m ASOF LEFT JOIN fs f ON m.ticker = f.ticker AND m.month >= f.filing_date)", "mbars", "st0", fd="SELECT DISTINCT ticker, filing_date FROM st0", fg="SELECT *, CASE WHEN filing_date - lag(filing_date) OVER w BETWEEN 60 AND 120 THEN filing_date - lag(filing_date) OVER w END AS gap FROM fd WINDOW w AS (PARTITION BY ticker ORDER BY filing_date)", fs="SELECT ticker, filing_date, coalesce(CAST(list_sum(g[greatest(len(g) - 3, 1):]) AS DOUBLE) / nullif(least(len(g), 4), 0), 91.0) AS spacing FROM (SELECT ticker, filing_date, list(gap) FILTER (gap IS NOT NULL) OVER (PARTITION BY ticker ORDER BY filing_date ROWS UNBOUNDED PRECEDING) AS g FROM fg)"))
 def recency_block(v):
     f = v.statements.where("field = 'revenue' AND observed_at = filing_date").select("ticker", "filing_date")
-    return events.recency(v.mbars.select("ticker", F.col("month").alias("date")), f)
+    return events.recency(v.mbars.select("ticker", F.col("month").alias("date")), f).select("ticker", "date", "last_filing", "days_since_filing", "in_window", "days_to_next")
 
 
 # More of the inventory ---------------------------------------------------------------------------
@@ -421,28 +416,6 @@ def surprise_features(v):
     return rounded(events.surprise_features(d, date="at", value="value").select("event_id", "surprise_mean4", "surprise_std8"))
 
 
-@query("conformal_coverage", None)
-def conformal_coverage(v):
-    d = uncertainty.conformal(v.ls, "ehat", 0.1, 12, 6)
-    return rounded(uncertainty.coverage(d, ["horizon"]))
-
-
-@query("regime_trust", None)
-def regime_trust(v):
-    d = health.combine(health.realized(health.daily_ic(v.ev), 2, least=6), least=12)
-    return rounded(health.regime_trust(d, ["G_exposure", "H_combined"], ["horizon"]))
-
-
-@query("score_drift", None)
-def score_drift(v):
-    return rounded(health.score_drift(v.ev, dates=6, per_date=20))
-
-
-@query("pair_correlation_level", None)
-def pair_correlation_level(v):
-    return rounded(stats.mean_pair_correlation(v.mpanel, "mom_1m", "ticker", "month", 12))
-
-
 @query("variance_inflation", None)
 def variance_inflation(v):
     return rounded(stats.vif(v.mpanel, ["mom_1m", "mom_3m", "mom_6m", "vol_6m"]))
