@@ -5,9 +5,13 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver see: ``spark.checkpoint.dir``.
 
-    Only where a session has none (local tests) a folder of our own is set."""
+    A local session may have none, then a folder of our own is set; on a cluster that is an error, since an executor's own disk is
+    not seen by the others."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -48,5 +55,27 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Bits of the map that sorts out most rows before a join; its size is fixed.
+MAP_BITS = 1 << 26
+
+
+def perhaps_among(keys: DataFrame, key: str) -> Callable[[str], Column]:
+    """A test whether a column's value may be among ``keys``: a bit map of hashed keys, of one size whatever there is, is built by Spark
+    and broadcast.  A join that follows must be exact; a full map would only cost time."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    maps = keys.select(bit(key).alias("b")).groupBy((F.col("b") / 32768).cast("long").alias("k")).agg(F.bitmap_construct_agg(F.col("b") % 32768).alias("m")).collect()
+    found = np.zeros(MAP_BITS // 8, np.uint8)
+    for r in maps:
+        found[r.k * 4096 : (r.k + 1) * 4096] = np.frombuffer(bytes(r.m), np.uint8)
+    sent = keys.sparkSession.sparkContext.broadcast(found)
+
+    @F.pandas_udf(T.BooleanType())
+    def set_(b: pd.Series) -> pd.Series:
+        x = b.to_numpy(np.int64)
+        return pd.Series((sent.value[x >> 3] >> (x & 7)) & 1 == 1)
+
+    return lambda c: set_(bit(c))
+
+
 def text_or_empty(name: str):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import release, stored, table
+from .common import perhaps_among, release, stored, table
 from .components import components
 
 SHINGLE, NUMERATOR = 3, 85
@@ -352,32 +352,10 @@ def near_groups(lists: DataFrame, sketches: DataFrame, least: float, numerator:
     return stored(rows.mapInArrow(near_pairs(least, numerator, hubs), "gid long, side int, cid long").distinct(), "groups")
 
 
-#: Bits of the map that sorts out most texts before a join; its size is fixed.
-MAP_BITS = 1 << 26
-
-
-def perhaps_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows whose key may be among ``keys``: a bit map of hashed keys, of one size whatever there is, is built by Spark and broadcast;
-    the join that follows is exact, so a full map would only cost time."""
-    bit = F.pmod(F.xxhash64(key), F.lit(MAP_BITS))
-    maps = keys.select(bit.alias("b")).groupBy((F.col("b") / 32768).cast("long").alias("k")).agg(F.bitmap_construct_agg(F.col("b") % 32768).alias("m")).collect()
-    found = np.zeros(MAP_BITS // 8, np.uint8)
-    for r in maps:
-        found[r.k * 4096 : (r.k + 1) * 4096] = np.frombuffer(bytes(r.m), np.uint8)
-    sent = rows.sparkSession.sparkContext.broadcast(found)
-
-    @F.pandas_udf(T.BooleanType())
-    def set_(b: pd.Series) -> pd.Series:
-        x = b.to_numpy(np.int64)
-        return pd.Series((sent.value[x >> 3] >> (x & 7)) & 1 == 1)
-
-    return rows.where(F.col(key).isNotNull()).where(set_(bit))
-
-
 def confirm(groups: DataFrame, classes: DataFrame, source: DataFrame, width: int, numerator: int) -> DataFrame:
     """Edges (a, b) of groups (gid, side, cid), by full sets; only the texts that are needed are read out."""
     wanted = groups.select("cid").distinct().join(classes.select("cid", "doc_id"), "cid")
-    texts = stored(perhaps_in(source, wanted, "doc_id").join(wanted, "doc_id").select("cid", "text"), "texts", compression="zstd")
+    texts = stored(source.where("doc_id IS NOT NULL").where(perhaps_among(wanted, "doc_id")("doc_id")).join(wanted, "doc_id").select("cid", "text"), "texts", compression="zstd")
     release(source.sparkSession)
     return stored(spread_by(groups.join(texts, "cid").select("gid", "side", "cid", "text"), "gid").mapInArrow(confirmed(width, numerator), "a long, b long"), "links")
 

@@ -1,14 +1,17 @@
 """WARC: revisit resolution and deduplicated archives.
 
-Only headers (id, digest, length) are shuffled by payload digest; the decision (response, or
-revisit of which record) goes back to the payloads by id.  Archives are written by Spark's text
-sink: a record is one value, and the line separator is the blank line that ends a WARC record,
-so the files of a table are plain WARC files (gzip), committed by Spark like any table.
+Headers (id, digest, length) are shuffled by payload digest and give, of each digest that more than one record has, the record
+that stays a response.  Payloads are shuffled only if their digest may be such a one; all others go straight into the
+archives.  An archive file begins with a warcinfo record, every record is a gzip member of its own, and files end at a number
+of bytes.  Files are written and committed by Spark's text sink, a file a value; the line end behind a value is an empty gzip
+member.
 """
 
 from __future__ import annotations
 
 import hashlib
+import time
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -16,78 +19,124 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table, text_or_empty
+from .common import perhaps_among, scratch, stored, table, text_or_empty
 
 #: Payloads of fewer bytes are always stored as responses.
 LEAST_BYTES = 1000
-#: Records of one archive file at most; with the size of a partition this bounds a file.
-RECORDS_A_FILE = 20_000
+#: A file ends at so many bytes (a longer record alone).
+FILE_BYTES = 16_000_000
+#: Parts that the records of one digest are dealt to.
+SALTS = 16
 END = "\r\n\r\n"
 READ_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"
 
 
-def resolve_revisits(headers: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """headers: id, digest, length.  Returns id, digest, refers_to for the revisits alone.
-
-    Of the records with one digest and ``least_bytes`` or more, the one with the largest id is
-    the response.  Rows that repeat the response's id are responses too; null ids count as the
-    smallest, so a null id revisits any other, and null ids alone are responses."""
+def repeated_digests(headers: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """headers: id, digest, length.  digest, refers_to: of the records with one digest and ``least_bytes`` or more, the one with the
+    largest id, for digests that more than one record has.  Null ids count as the smallest; null ids alone are left out."""
     big = headers.where(F.col("length") >= least_bytes)
-    first = big.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 AND refers_to IS NOT NULL").select("digest", "refers_to")
-    return big.join(first, "digest").where(~F.col("id").eqNullSafe(F.col("refers_to"))).select("id", "digest", "refers_to").distinct()
+    g = big.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
+    return g.where("n > 1 AND refers_to IS NOT NULL").select("digest", "refers_to")
+
+
+def resolved(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """rows (id, digest, ...) with ``refers_to`` (null for responses); the records of a digest are dealt to SALTS parts."""
+    salt = F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    d = rows.withColumn("salt", salt).join(first.select("digest", "refers_to", every), ["digest", "salt"], "left").drop("salt")
+    return d.withColumn("refers_to", F.when(~F.col("id").eqNullSafe(F.col("refers_to")), F.col("refers_to")))
 
 
 def record_id(column):
     return F.concat(F.lit("<urn:x-page:"), F.coalesce(column.cast("string"), F.lit("null")), F.lit(">"))
 
 
-def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """One column ``value``: the text of each page's WARC record, without the two line ends that
-    close it.  A revisit has fresh headers and no payload.  Null html is an empty payload."""
+def warc_records(pages: DataFrame, date: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """head, body: each page's WARC record, its headers made anew, without the two line ends that close it.  A revisit has no payload.
+    Null html is an empty payload."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), text_or_empty(html_col).alias("html"))
     rows = rows.withColumns({"digest": F.sha1(F.encode("html", "UTF-8")), "length": F.octet_length("html").cast("long")})
-    revisits = resolve_revisits(rows.select("id", "digest", "length"), least_bytes)
-    seen = revisits.withColumnsRenamed({"id": "rid", "digest": "rdigest"})
-    rows = rows.join(seen, F.col("id").eqNullSafe(F.col("rid")) & (F.col("digest") == F.col("rdigest")), "left")
+    first = stored(repeated_digests(rows.select("id", "digest", "length"), least_bytes), "digests")
+    may = perhaps_among(first, "digest")
+    rows = rows.withColumn("_may", (F.col("length") >= least_bytes) & may("digest"))
+    alone = rows.where(~F.col("_may")).withColumn("refers_to", F.lit(None).cast("long"))
+    rows = alone.unionByName(resolved(rows.where("_may"), first))
     again = F.col("refers_to").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("length"), F.lit(END))
-    block = F.concat(http, F.when(again, F.lit("")).otherwise(F.col("html")))
-    url = F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")
+    body = F.when(again, F.lit("")).otherwise(F.col("html"))
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "),
         F.when(again, F.lit("revisit")).otherwise(F.lit("response")),
         F.lit("\r\nWARC-Record-ID: "),
         record_id(F.col("id")),
-        F.lit("\r\nWARC-Target-URI: "),
-        url,
+        F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Target-URI: "),
+        F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20"),
         F.lit("\r\nWARC-Payload-Digest: sha1:"),
         F.col("digest"),
         F.when(again, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), record_id(F.col("refers_to")))).otherwise(F.lit("")),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "),
-        F.octet_length(block),
+        F.octet_length(http) + F.octet_length(body),
         F.lit(END),
+        http,
     )
-    return rows.select(F.concat(head, block).alias("value"))
+    return rows.select(head.alias("head"), body.alias("body"))
+
+
+def member(*parts: bytes) -> bytes:
+    c = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return b"".join([*(c.compress(p) for p in parts), c.flush()])
+
 
+def warcinfo(date: str) -> bytes:
+    body = b"software: panelwright\r\nformat: WARC File Format 1.1\r\n"
+    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(body)}{END}"
+    return member(head.encode(), body, END.encode())
 
-def write_archives(records: DataFrame, path: str, records_a_file: int = RECORDS_A_FILE) -> None:
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_a_file).text(path)
+
+def write_archives(records: DataFrame, path: str, date: str, file_bytes: int = FILE_BYTES) -> None:
+    """Records (head, body) as archive files of about ``file_bytes``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [warcinfo(date)], 0
+        for batch in batches:
+            for head, body in zip(batch.column(0), batch.column(1)):
+                held.append(member(head.as_buffer(), body.as_buffer(), END.encode()))
+                size += len(held[-1])
+                if size >= file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["value"])
+                    held, size = [warcinfo(date)], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["value"])
+
+    files = records.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))  # the sink writes the bytes as they are
+    files.write.option("lineSep", member().decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path)
+
+
+def _members(data: bytes) -> Iterator[bytes]:
+    view = memoryview(data)
+    while view:
+        d = zlib.decompressobj(31)
+        out = d.decompress(view) + d.flush()
+        if not d.eof:
+            raise ValueError("an archive ends inside a record")
+        view = view[len(view) - len(d.unused_data) :]
+        yield out
 
 
 def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
+    """(headers, block) of the records of a file."""
+    for m in _members(data):
+        if not m:
+            continue
+        end = m.index(b"\r\n\r\n")
+        lines = m[:end].decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError("a member does not begin with a WARC record")
         head = dict(line.split(": ", 1) for line in lines[1:])
         size = int(head["Content-Length"])
-        yield head, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
-        if data[at : at + 4] != b"\r\n\r\n":
-            raise ValueError(f"a WARC record is not closed at byte {at}")
-        at += 4
+        if m[end + 4 + size :] != b"\r\n\r\n":
+            raise ValueError(f"record {head['WARC-Record-ID']} is not closed after its length")
+        yield head, m[end + 4 : end + 4 + size]
 
 
 def _number(uri: str | None) -> int | None:
@@ -102,7 +151,9 @@ def parse_archives(payloads: bool):
         for batch in batches:
             for content in batch.column(0):
                 rows, held = [], 0
-                for head, block in _records(zlib.decompress(content.as_py(), 31)):
+                for head, block in _records(content.as_buffer()):
+                    if head["WARC-Type"] == "warcinfo":
+                        continue
                     http, body = block.split(b"\r\n\r\n", 1)
                     digest, revisit = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"] == "revisit"
                     length = int(dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])["Content-Length"])
@@ -126,11 +177,19 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
     return files.mapInArrow(parse_archives(payloads), READ_SCHEMA)
 
 
+def archive(pages: DataFrame, path: str, date: str | None = None, file_bytes: int = FILE_BYTES, **columns) -> None:
+    """Write deduplicated archives of the pages.  ``date``: the records' WARC-Date, by default the time of the call.
+
+    Null html is an empty payload; a null page_id counts as the smallest; repeated rows give a record each, and those that repeat
+    the response's page_id are responses; very long pages are records of their own length; an empty table gives no record; other
+    columns are ignored."""
+    date = date or time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
+    write_archives(warc_records(pages, date, **columns), path, date, file_bytes)
+
+
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null html is an empty payload; a null page_id counts as the smallest; repeated rows give a
-    record each, and those that repeat the response's page_id are responses."""
     path = scratch(spark, "warc")
-    write_archives(warc_records(table(spark, sf_dir, "pages")), path)
+    archive(table(spark, sf_dir, "pages"), path)
     return read_archives(spark, path).drop("payload")
 
 

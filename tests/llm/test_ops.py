@@ -1,5 +1,6 @@
 """The corpus operators against brute force, and at the borders: nulls, empty and long texts, ties, repeats, clashing names."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -132,9 +133,10 @@ def test_components(spark):
 
 def test_warc_round_trip_and_revisits(spark):
     big, odd = "x" * 1500, "é\r\n\r\nWARC/1.1\r\n\x00" * 120
-    rows = [(1, "http://a/ b", big), (2, None, big), (3, "u", big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (7, "u", ""), (8, "u", odd), (None, "u", odd), (3, "u", big)]
+    rows = [(1, "http://a/ b", big), (2, None, big), (3, "u", big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (7, "u", ""), (8, "u", odd), (None, "u", odd), (3, "u", big), (9, "u", "long " * 400_000)]
     path = scratch(spark, "test")
-    warc.write_archives(warc.warc_records(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))), path, 3)
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("digest", "salt", "refers_to", "_may", "head")})
+    warc.archive(d, path, "2020-01-02T03:04:05Z", 2000)
     got = warc.read_archives(spark, path, payloads=True).collect()
     assert len(got) == len(rows)
     by = {}
@@ -142,10 +144,29 @@ def test_warc_round_trip_and_revisits(spark):
         by.setdefault(r.page_id, []).append((r.record_type, r.refers_to, r.payload_bytes))
     assert by[1] == [("revisit", 3, 1500)] and by[2] == [("revisit", 3, 1500)] and by[3] == [("response", None, 1500)] * 2
     assert by[4] == by[5] == [("response", None, 5)] and by[6] == by[7] == [("response", None, 0)] and by[None][0][:2] == ("revisit", 8)
-    assert [r.payload for r in got if r.page_id == 8] == [odd]
+    assert [r.payload for r in got if r.page_id == 8] == [odd] and by[9] == [("response", None, 2_000_000)]
     assert next(r for r in got if r.page_id == 1).payload_digest == hashlib.sha1(big.encode()).hexdigest()
 
 
+def test_archive_files_are_valid(spark):
+    rows = [(i, f"http://a/{i}", str(i) * 3000) for i in range(40)]
+    path = scratch(spark, "test")
+    warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path, file_bytes=1000)
+    files = [bytes(r.content) for r in spark.read.format("binaryFile").load(path).where("length > 0").collect()]
+    assert len(files) > 4 and all(len(f) < 2500 for f in files)
+    seen = set()
+    for data in files:
+        members = list(warc._members(data))
+        assert members[-1] == b"" and gzip.decompress(data) == b"".join(members)  # the file as a whole, too, is gzip
+        heads = [h for h, _ in warc._records(data)]
+        assert heads[0]["WARC-Type"] == "warcinfo" and all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", h["WARC-Date"]) for h in heads)
+        seen |= {h["WARC-Record-ID"] for h in heads[1:]}
+    assert len(seen) == 40
+    empty = scratch(spark, "test")
+    warc.archive(spark.createDataFrame([], "page_id long, url string, html string"), empty)
+    assert warc.read_archives(spark, empty).count() == 0
+
+
 # 4 -------------------------------------------------------------------------------------------
 
 
