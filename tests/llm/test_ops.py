@@ -354,14 +354,17 @@ def test_text_classifier_is_trained():
 # 7 -------------------------------------------------------------------------------------------
 
 
-def test_nearest_against_brute_force(spark):
+@pytest.mark.parametrize("rows_a_block, queries_a_block, rerank", [(32_768, 8192, 1024), (700, 40, 64)])
+def test_nearest_against_brute_force(spark, monkeypatch, rows_a_block, queries_a_block, rerank):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", rows_a_block)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", queries_a_block)
     g = np.random.default_rng(1)
     x = g.normal(size=(3000, 30)).astype(np.float32)
     x[100:160] = x[100]  # equal vectors: ties go to the smaller id
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5020, [0.0] * 30), (5040, [float("nan")] * 30), (5060, [None] * 30), (None, x[0].tolist()), (0, x[0].tolist())]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
     got = {}
-    for r in ann.nearest(d, d.where("vec_id % 20 = 0")).collect():
+    for r in ann.nearest(d, d.where("vec_id % 20 = 0"), rerank=rerank).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     x = x.astype(float)
     assert set(got) == set(range(0, 3000, 20))
@@ -381,6 +384,8 @@ def test_nearest_with_few_rows(spark):
     d = spark.createDataFrame([(0, [1.0, 0.0, 2.0]), (1, [1.0, 1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.vec_id, r.score) for r in ann.nearest(d, d.where("vec_id = 0")).collect()] == [(0, 1, 1.0)]
     assert ann.nearest(d.limit(0), d).count() == 0
+    mixed = spark.createDataFrame([(0, [1.0, 0.0, 2.0]), (1, [1.0, 1.0, 0.0]), (2, [2.0, 1.0]), (20, [1.0, 1.0]), (40, [5.0])], "vec_id long, embedding array<double>")
+    assert sorted((r.query_id, r.vec_id, r.score) for r in ann.nearest(mixed, mixed.where("vec_id % 20 = 0")).collect()) == [(0, 1, 1.0), (20, 2, 3.0)]
 
 
 # 8 -------------------------------------------------------------------------------------------
