@@ -24,6 +24,8 @@ BUCKET_DOCS = 4096
 #: The budget is this share of all tokens.
 SHARE = 0.6
 MAX_EPOCHS = 3
+#: Parts that a leaf's documents are dealt to in a join with the leaves.
+SALTS = 32
 #: (domain, weight) of the query below; languages and sources weigh as LANG_WEIGHTS says and 1.
 DOMAIN_WEIGHTS = {"web": 5, "forum": 3, "books": 2}
 LANG_WEIGHTS = {"en": 5, "de": 2, "fr": 2, "es": 2}
@@ -82,6 +84,14 @@ def leaf_budgets(leaves: DataFrame, share: float, max_epochs: int) -> DataFrame:
     return deal(k, ["domain", "lang"], "b", "w_source", "room", ["source"]).withColumnRenamed("given", "budget").drop("b", "room")
 
 
+def join_leaves(rows: DataFrame, leaves: DataFrame, leaf: tuple[str, str, str] = ("_domain", "_lang", "_source")) -> DataFrame:
+    """rows (domain, lang, source, doc_id, ...) with their leaf's row.  A leaf may hold a third of all rows: where the leaves are too
+    many to be sent to all tasks, the rows of each are dealt to SALTS parts by their id."""
+    salted = leaves.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = " AND ".join(f"{a} <=> {b}" for a, b in zip(LEAF, leaf))
+    return rows.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, F.expr(f"{same} AND _part = _salt")).drop("_part", "_salt")
+
+
 def mix(docs: DataFrame, domain: Column | None = None, w_domain: Column | None = None, w_lang: Column | None = None, w_source: Column | None = None, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """(keys, cuts).  keys: one row per input row with doc_id, domain, lang, source, n_tokens; cuts:
     per leaf its budget, the number of whole epochs, and the cut (key, doc_id) in the last one.
@@ -102,8 +112,8 @@ def mix(docs: DataFrame, domain: Column | None = None, w_domain: Column | None =
     })
     leaves = leaf_budgets(leaves, share, max_epochs)
     cut_in = leaves.select(*(F.col(c).alias(f"_{c}") for c in LEAF), "budget", "tokens", F.expr("if(tokens > 0, budget div tokens, 0)").alias("epochs"), F.expr("if(tokens > 0, budget % tokens, 0)").alias("rest"), F.greatest(F.lit(1), F.expr(f"docs div {BUCKET_DOCS}")).alias("n_buckets"))
-    same = F.expr("domain <=> _domain AND lang <=> _lang AND source <=> _source")
-    o = keys.join(cut_in.where("rest > 0"), same).withColumn("key", order_key(F.col("epochs"), F.col("doc_id"), seed))
+    cut_in = stored(cut_in, "leaves")  # a row a leaf, of a size that the planner then knows
+    o = join_leaves(keys, cut_in.where("rest > 0")).withColumn("key", order_key(F.col("epochs"), F.col("doc_id"), seed))
     o = o.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) * F.col("n_buckets")).cast("long"))
     o = o.groupBy("_domain", "_lang", "_source", "rest", "bucket", "key", "doc_id").agg(F.sum("n_tokens").alias("n"))
     g = ["_domain", "_lang", "_source"]
@@ -117,7 +127,7 @@ def mix(docs: DataFrame, domain: Column | None = None, w_domain: Column | None =
     taken = last.withColumn("at", at).where("at < rest").groupBy(*g).agg(F.max(F.struct("key", F.coalesce("doc_id", F.lit(-(1 << 62))).alias("id"))).alias("cut"))
     t = taken.select(*(F.col(c).alias(f"t{c}") for c in g), "cut")
     cuts = cut_in.join(t, F.expr("_domain <=> t_domain AND _lang <=> t_lang AND _source <=> t_source"), "left").select(*g, "budget", "tokens", "epochs", "cut")
-    return keys, cuts
+    return keys, stored(cuts, "cuts")
 
 
 def times_taken(cuts_epochs: str = "epochs", seed: int = SEED) -> Column:
@@ -130,7 +140,7 @@ def times_taken(cuts_epochs: str = "epochs", seed: int = SEED) -> Column:
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its leaf, its tokens, the leaf's budget, and how often it is taken."""
     keys, cuts = mix(table(spark, sf_dir, "documents"))
-    out = keys.join(cuts, F.expr("domain <=> _domain AND lang <=> _lang AND source <=> _source"))
+    out = join_leaves(keys, cuts)
     return out.select("doc_id", "domain", "lang", "source", "n_tokens", F.col("budget").alias("leaf_budget"), times_taken().cast("long").alias("times"))
 
 

@@ -2,9 +2,11 @@
 
 A host is turned round (``blog.example.org`` -> ``org,example,blog,``), so that a rule's host
 is a prefix of the keys it covers: an interval.  Urls and rules are cut into the same key
-ranges and sorted; one sweep over a range keeps a stack of the rules that are open at the
-current key, which are nested.  Every rule is copied into the ranges that its interval meets,
-so no range needs another one's state, and a key that fills many ranges is dealt among them.
+ranges, a partition each, and sorted; one sweep over a range keeps a stack of the hosts whose rules are
+open at the current key, which are nested.  A host's own rules are sorted by path, each with the
+longest other one that it lies in, so those that cover a url are found by one binary search and
+a walk outwards.  Every rule is copied into the ranges that its interval meets, so no range needs
+another one's state, and a key that fills many ranges is dealt among them.
 """
 
 from __future__ import annotations
@@ -49,37 +51,65 @@ def host_key(host):
 
 
 def key_bounds(keys: DataFrame, ranges: int) -> list[str]:
-    """At most ``ranges - 1`` bounds, quantiles of a sample of fixed size (repeats stay: they
+    """At most ``ranges - 1`` bounds, quantiles of a sample of fixed size, drawn by hash in one pass (repeats stay: they
     mark a key that fills several ranges)."""
-    n = keys.count()
-    drawn = keys.sample(min(1.0, 1.2 * SAMPLE_KEYS / n), seed=7).limit(2 * SAMPLE_KEYS) if n else keys
+    drawn = keys.select("key", F.xxhash64("salt", F.lit(7)).alias("_h")).orderBy("_h").limit(SAMPLE_KEYS)
     found = sorted(r[0] for r in drawn.collect())
     return [found[len(found) * i // ranges] for i in range(1, ranges)] if found else []
 
 
+class HostRules:
+    """The rules of one host: (layer, path, host, verdict)."""
+
+    def __init__(self, key: str) -> None:
+        self.key, self.rules, self.paths = key, [], None
+
+    def sort(self) -> None:
+        best: dict[str, tuple] = {}
+        for rule in self.rules:  # in (layer, host, path, verdict) order: the first of a path wins
+            best.setdefault(rule[1], rule)
+        self.paths = sorted(best)
+        self.best, self.around = [best[p] for p in self.paths], []
+        open_: list[int] = []
+        for i, p in enumerate(self.paths):
+            while open_ and not p.startswith(self.paths[open_[-1]]):
+                open_.pop()
+            self.around.append(open_[-1] if open_ else -1)
+            open_.append(i)
+
+    def covering(self, path: str) -> Iterator[tuple]:
+        """The rules whose path the url's starts with, from the longest."""
+        if self.paths is None:
+            self.sort()
+        i = bisect_right(self.paths, path) - 1
+        while i >= 0:
+            if path.startswith(self.paths[i]):
+                yield self.best[i]
+            i = self.around[i]
+
+
 def sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows (part, key, mark, id, host, path, layer, verdict) sorted by part, key, mark; rules
     (mark 0) stand before the urls (mark 1) that they cover."""
-    part, stack = None, []  # stack: (host key, [(layer, path, host, verdict), ...])
+    part, stack = None, []
     for rows in frames:
         out = []
         for p, key, mark, i, host, path, layer, verdict in rows.itertuples(index=False, name=None):
             if p != part:
                 part, stack = p, []
-            while stack and not key.startswith(stack[-1][0]):
+            while stack and not key.startswith(stack[-1].key):
                 stack.pop()
             if mark == 0:
-                if not stack or stack[-1][0] != key:
-                    stack.append((key, []))
-                stack[-1][1].append((layer, path, host, verdict))
+                if not stack or stack[-1].key != key:
+                    stack.append(HostRules(key))
+                stack[-1].rules.append((layer, path, host, verdict))
                 continue
             best = None
-            for _, rules in stack:
-                for rule in rules:
-                    if path.startswith(rule[1]):
-                        rank = (-rule[0], len(rule[2]) + len(rule[1]))
-                        if best is None or rank > best[0]:
-                            best = (rank, rule)
+            for level in stack:
+                for rule in level.covering(path):
+                    rank = (-rule[0], len(rule[2]) + len(rule[1]))
+                    if best is None or rank > best[0]:
+                        best = (rank, rule)
             out.append((i, host, path, best and best[1][2] + best[1][1], best and best[1][3], best and best[1][0]))
         yield pd.DataFrame(out, columns=["id", "host", "path", "rule", "verdict", "layer"]).astype({"id": "Int64", "layer": "Int64"})
 
@@ -92,15 +122,15 @@ def judge_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_c
     first in (layer, host, path, verdict) order).  Returns id, host, path, rule, verdict, layer;
     without a fitting rule, rule and layer are null and the verdict is ``default``.  Null urls
     and urls without ``://`` have an empty host and path and take the default; repeated rows and
-    null ids stay, one result row each; other columns are ignored; rules with a null part never
-    fit; empty tables give empty results.
+    null ids stay, one result row each; very long urls are taken whole; other columns are ignored; rules
+    with a null part never fit; empty tables give empty results.
     """
     spark = urls.sparkSession
     left = urls.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("u"))
     host, path = split_url(F.col("u"))
     left = left.select("id", host.alias("host"), path.alias("path"), F.xxhash64("id", "u").alias("salt")).withColumn("key", host_key(F.col("host")))
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = key_bounds(left.select("key"), ranges)
+    bounds = key_bounds(left, ranges)
 
     @F.pandas_udf("int")
     def part_of(key: pd.Series, salt: pd.Series) -> pd.Series:
@@ -119,7 +149,7 @@ def judge_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_c
     rows = right.select("part", "key", F.lit(0).alias("mark"), F.lit(None).cast("long").alias("id"), "host", "path", "layer", "verdict").unionByName(
         left.withColumn("part", part_of("key", "salt")).select("part", "key", F.lit(1).alias("mark"), "id", "host", "path", F.lit(None).cast("int").alias("layer"), F.lit(None).cast("string").alias("verdict"))
     )
-    swept = rows.repartition(ranges, "part").sortWithinPartitions("part", "key", "mark", "layer", "host", "path", "verdict").mapInPandas(sweep, "id long, host string, path string, rule string, verdict string, layer int")
+    swept = rows.repartitionById(ranges, "part").sortWithinPartitions("part", "key", "mark", "layer", "host", "path", "verdict").mapInPandas(sweep, "id long, host string, path string, rule string, verdict string, layer int")
     return swept.select("id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"), "layer")
 
 

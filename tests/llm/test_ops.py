@@ -257,6 +257,24 @@ def test_url_rules_match_brute_force(spark):
         assert (got[i].rule, got[i].verdict) == ((best[2] + best[3], best[4]) if best else (None, "allow")) or (best and sum(f[:2] == best[:2] for f in fit) > 1)
 
 
+def test_path_rules_of_a_host():
+    draw = random.Random(4)
+    for _ in range(200):
+        paths = {"".join(draw.choice("ab/") for _ in range(draw.randrange(0, 7))) for _ in range(draw.randrange(1, 30))}
+        h = url_filters.HostRules("k")
+        h.rules = [(0, p, "h", "allow") for p in paths]
+        url = "".join(draw.choice("ab/") for _ in range(draw.randrange(0, 10)))
+        assert [r[1] for r in h.covering(url)] == sorted((p for p in paths if url.startswith(p)), key=len, reverse=True)
+
+
+def test_long_urls_repeats_and_hot_keys(spark):
+    rows = [(i % 3 or None, "http://one.org/" + "x" * (100_000 if i == 5 else 3)) for i in range(300)]
+    d = spark.createDataFrame(rows, "page_id long, url string").repartition(5)
+    got = url_filters.judge_urls(d, spark.createDataFrame(url_filters.CONTRACT_RULES, url_filters.RULE_SCHEMA), ranges=6)
+    assert got.count() == 300 and got.where("rule = 'org/'").count() == 300 and got.where("id IS NULL").count() == 100
+    assert got.where("length(path) = 100001").count() == 1
+
+
 def test_urls_of_nothing(spark):
     d = spark.createDataFrame([], "page_id long, url string")
     assert url_filters.judge_urls(d, spark.createDataFrame(url_filters.CONTRACT_RULES, url_filters.RULE_SCHEMA)).count() == 0
