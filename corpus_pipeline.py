@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.common import stored, table
 from panelwright.llm.decontaminate import benchmark_tables, contaminated_only
-from panelwright.llm.mixing import mix, source_domain, times_taken
+from panelwright.llm.mixing import join_leaves, mix, source_domain, times_taken
 from panelwright.llm.near_dups import near_duplicates
 from panelwright.llm.quality import accepted_only, fit_quality
 from panelwright.llm.token_files import token_output
@@ -51,8 +51,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the sources' budgets take."""
     _, cuts = mix(docs, share=MIX_SHARE, max_epochs=MIX_EPOCHS)
     rows = docs.select("doc_id", "lang", "source", source_domain(F.col("source")).alias("domain"), F.struct(*docs.columns).alias("_row"))
-    taken = rows.join(stored(cuts, "cuts"), F.expr("domain <=> _domain AND lang <=> _lang AND source <=> _source"))
-    return taken.where(times_taken() > 0).select("_row.*")
+    return join_leaves(rows, cuts).where(times_taken() > 0).select("_row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
