@@ -36,7 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path for an intermediate table in the shared folder."""
-    return f"{shared_dir(spark)}/panelwright-{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/panelwright-{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def stored(df: DataFrame, name: str, **options) -> DataFrame:
@@ -48,6 +49,33 @@ def stored(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Intermediate tables of this session, in the order they were made.
+_made: list[str] = []
+
+
+def mark() -> int:
+    """The place in the session's list of intermediate tables from which ``discard`` goes on."""
+    return len(_made)
+
+
+def discard(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
+    """Delete the intermediate tables made since ``mark``, but those to ``keep``.  To be called only once nothing reads them any more:
+    when the result is itself a stored table."""
+    old = [p for p in _made[since:] if p not in keep]
+    _made[since:] = [p for p in _made[since:] if p in keep]
+    sc = spark.sparkContext
+    for path in old:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def finished(df: DataFrame, name: str, since: int) -> DataFrame:
+    """``df`` as a stored table; the intermediate tables made since ``mark`` are deleted behind it."""
+    out = stored(df, name)
+    discard(df.sparkSession, since, (_made[-1],))
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Let go of shuffle files of steps that are over: Spark removes them when the driver collects garbage, which in a long
     chain of jobs may be late."""

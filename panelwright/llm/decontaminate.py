@@ -9,7 +9,6 @@ those two words lists the strings that may end there, and a direct comparison co
 from __future__ import annotations
 
 import hashlib
-import pickle
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,7 +24,8 @@ WINDOW = 13
 SHARE = 20
 #: Bytes of benchmark text that the pattern tables of one part may hold; a larger benchmark is cut
 #: into parts of this size by Spark and searched one part after the other, so what is broadcast is bounded.
-PART_BYTES = 32_000_000
+#: A byte of text takes some 100 bytes of tables, so a part takes some 0.4 GB in each Python worker.
+PART_BYTES = 4_000_000
 #: A-Z become a-z, other ASCII bytes but digits and letters become blanks; UTF-8 stays.
 WORD_BYTES = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 else 32 for c in range(256))
 OUT_SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -184,10 +184,10 @@ def benchmark_tables(benchmark: DataFrame, item_col: str = "item_id", text_col:
 
 
 def searched(docs: DataFrame, id_col: str, text_col: str, tables: list[WuManber]) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(tables))
+    sent = docs.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = pickle.loads(sent.value)
+        found = sent.value
         for batch in batches:
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -215,10 +215,10 @@ def searched_in_parts(keyed: DataFrame, parts: Parts) -> DataFrame:
     by row, and only then counted."""
     found = None
     for k, tables in enumerate(parts):
-        sent = keyed.sparkSession.sparkContext.broadcast(pickle.dumps(tables))
+        sent = keyed.sparkSession.sparkContext.broadcast(tables)
 
         def run(batches: Iterator[pa.RecordBatch], every: bool = k == 0, sent=sent) -> Iterator[pa.RecordBatch]:
-            own = pickle.loads(sent.value)
+            own = sent.value
             for batch in batches:
                 rows = []
                 for key, i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -247,7 +247,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """Per document: words, words inside an occurrence of a window, items, their digest, and
     whether one word in SHARE is hit.  A null or empty text has no words and is clean; null ids
     and repeated rows stay, one result row each; items with equal windows all count; a null item
-    id counts as the item "None"; other columns are ignored; an empty benchmark hits nothing.  A
+    id counts as the item "None"; other columns are ignored; very long texts are searched whole; an empty table gives no rows and an
+    empty benchmark hits nothing.  A
     benchmark of more than ``most_bytes`` is searched in parts, with the same results."""
     parts = benchmark_tables(benchmark, window=window, most_bytes=most_bytes)
     if len(parts) == 1:
@@ -262,10 +263,10 @@ def contaminated_only(docs: DataFrame, parts: Parts, keep: bool, text_col: str =
         rows = stored(docs.select(F.monotonically_increasing_id().alias("key"), F.col(text_col).cast("string").alias("text"), F.struct(*docs.columns).alias("_row")), "documents")
         hit = searched_in_parts(rows.select("key", F.lit(None).cast("long").alias("doc_id"), "text"), parts).where("contaminated").select("key")
         return rows.join(hit, "key", "left_semi" if keep else "left_anti").select("_row.*")
-    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(next(iter(parts))))
+    sent = docs.sparkSession.sparkContext.broadcast(next(iter(parts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = pickle.loads(sent.value)
+        found = sent.value
         for batch in batches:
             mask = []
             for text in batch.column(text_col):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import perhaps_among, release, stored, table
+from .common import finished, mark, perhaps_among, release, stored, table
 from .components import components
 
 SHINGLE, NUMERATOR = 3, 85
@@ -425,7 +425,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, numerator: int = NUME
     each get a row; a null id never names a component (its component is that of equal texts, or
     null).  Other columns are ignored; an empty table gives no rows.
     """
-    least = numerator / 100 - MARGIN
+    least, since = numerator / 100 - MARGIN, mark()
     sets = stored(documents_sets(docs, width, id_col, text_col), "sets")
     named = sets.where("cid IS NOT NULL AND doc_id IS NOT NULL")
     first = named.groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
@@ -489,7 +489,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, numerator: int = NUME
     of_class = of_class.groupBy("cid").agg(F.min("least").alias("component_id"))
     out = sets.select("doc_id", "n_shingles", "cid").join(of_class, "cid", "left")
     component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return finished(out, "near-duplicates", since)
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

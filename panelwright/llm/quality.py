@@ -120,8 +120,8 @@ def scorer(weights: np.ndarray):
 
 def score_quality(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score.  The model has a fixed size and is broadcast.  Null and empty texts score
-    the intercept; null ids and repeated rows stay, one result row each; other columns are
-    ignored."""
+    the intercept; very long texts are scored whole; null ids and repeated rows stay, one result row each; other columns are
+    ignored; an empty table gives no rows."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

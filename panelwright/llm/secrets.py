@@ -91,7 +91,8 @@ def secret_spans(text: str | None, automaton: ahocorasick.Automaton) -> list[tup
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document the counts of base secrets, the SHA-256 of their ``kind:start:end`` list and
     all spans as such a list.  Null and empty texts have none (an empty list); null ids and
-    repeated rows stay, one result row each; other columns are ignored."""
+    repeated rows stay, one result row each; very long texts are scanned whole; other columns are ignored; an empty table gives no
+    rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = keyword_automaton()

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import math
 import random
 import re
 import time
@@ -63,6 +64,14 @@ def test_checksummed_tokens_only_with_a_right_checksum():
     assert [s[2] for s in secrets.secret_spans(f"x {good} y", a)] == ["github"] and secrets.secret_spans(f"x {bad} y", a) == []
 
 
+def test_secrets_of_long_texts_repeats_and_nothing(spark):
+    long = "token " * 300_000 + "password=abcdef1 " + "0" * 100_000
+    d = docs(spark, [long, "password: hunter22"]).unionByName(docs(spark, [None, "password: hunter22"]).where("doc_id = 1"))
+    got = secrets.scan_secrets(d).orderBy("doc_id").collect()
+    assert got[0].spans == "assign:1800000:1800016,hex:1800017:1900017" and [r.n_assign for r in got] == [1, 1, 1]
+    assert secrets.scan_secrets(docs(spark, [])).count() == 0
+
+
 # 2 -------------------------------------------------------------------------------------------
 
 
@@ -434,6 +443,51 @@ def test_shape_of_a_long_word_is_of_the_whole_word():
     assert x[1] != y[1] and x[1] == z[1] and x[0] != z[0]
 
 
+def plain_ftrl(rows, epochs):
+    """Follow-the-regularised-leader as it is written down: one coordinate at a time, no arrays."""
+    z, n = {}, {}
+
+    def weight(k):
+        if abs(z.get(k, 0.0)) <= quality.L1:
+            return 0.0
+        return -(z[k] - math.copysign(quality.L1, z[k])) / ((quality.BETA + math.sqrt(n[k])) / quality.ALPHA + quality.L2)
+
+    order = np.random.default_rng(5)
+    for _ in range(epochs):
+        for r in order.permutation(len(rows)):
+            slots, x, y = rows[r]
+            w = {k: weight(k) for k in slots.tolist()}
+            p = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w[k] * v for k, v in zip(slots.tolist(), x.tolist()))))))
+            for k, v in zip(slots.tolist(), x.tolist()):
+                g = (p - y) * v
+                sigma = (math.sqrt(n.get(k, 0.0) + g * g) - math.sqrt(n.get(k, 0.0))) / quality.ALPHA
+                z[k] = z.get(k, 0.0) + g - sigma * w[k]
+                n[k] = n.get(k, 0.0) + g * g
+    return {k: weight(k) for k in z}
+
+
+def test_training_is_the_plain_algorithm():
+    g = np.random.default_rng(2)
+    rows = []
+    for i in range(60):
+        slots = np.append(np.unique(g.integers(0, 40, 8)), quality.SLOTS)
+        rows.append((slots, np.append(g.random(len(slots) - 1), 1.0), i % 2))
+    w, plain = quality.train_ftrl(rows, 3), plain_ftrl(rows, 3)
+    assert set(np.flatnonzero(w).tolist()) == {k for k, v in plain.items() if v}
+    assert all(w[k] == pytest.approx(v, abs=1e-9) for k, v in plain.items())
+
+
+def test_scores_are_sparse_products_of_whole_texts(spark):
+    g = np.random.default_rng(3)
+    w = g.normal(size=quality.SLOTS + 1)
+    texts = ["One two two two, THREE 4.", "x", "", None, "long word " * 60_000]
+    got = {r.doc_id: r.score for r in quality.score_quality(docs(spark, texts), w).collect()}
+    for i, t in enumerate(texts):
+        slots, x = quality.counted(t, quality.WordHashes())
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w[k] * v for k, v in zip(slots.tolist(), x.tolist())))))))
+    assert quality.score_quality(docs(spark, []), w).count() == 0
+
+
 def test_quality_without_labels(spark):
     w = quality.fit_quality(docs(spark, ["a b"]), spark.createDataFrame([], "doc_id long, quality int"))
     assert not w.any() and quality.score_quality(docs(spark, ["a b"]), w).first().score == 0.5
@@ -526,6 +580,13 @@ def test_token_files_of_nothing(spark):
 # 10 ------------------------------------------------------------------------------------------
 
 
+def test_decontamination_of_nothing(spark):
+    items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    assert decontaminate.decontaminate(docs(spark, []), items).count() == 0
+    got = decontaminate.decontaminate(docs(spark, ["a b c", "word " * 200_000 + "a b c"]), items).orderBy("doc_id").collect()
+    assert [(r.n_hit, r.contaminated) for r in got] == [(3, True), (3, False)]
+
+
 def brute_contamination(text, items):
     low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))

@@ -58,3 +58,23 @@ def test_near_dedup_judges_rows_by_their_texts(spark):
     got = {r.n_chars for r in out.collect()}
     assert got - {0, 2, 8, 9, 10} == {1, 3, 6, 7, 11, 13, 14, 15}
     assert len(got & {0, 2}) == 1 and len(got & {8, 9, 10}) == 1
+
+
+def test_stages_with_nulls_and_clashing_names(spark):
+    """Columns named like the stages' working columns, nulls everywhere, and tables without rows."""
+    folder = scratch(spark, "sf")
+    draw = random.Random(13)
+    some = lambda n: " ".join("".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    rows = [(i if i % 9 else None, None if i % 10 == 0 else "" if i % 10 == 1 else some(40), None if i % 4 == 0 else "en", None if i % 5 == 0 else "src0", i, "c", i, "d", None) for i in range(60)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row string, key long, domain string, component_id long"
+    spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(None, None), (1, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, schema)
+        for name, f in corpus_pipeline.STAGES[:-1]:
+            out = f(spark, docs, folder)
+            assert out.columns == docs.columns, name
+            path = scratch(spark, "stage")
+            out.write.parquet(path)
+            docs = spark.read.parquet(path)
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == docs.count() and (docs.count() > 20) == bool(data)
