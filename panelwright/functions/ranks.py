@@ -1,6 +1,6 @@
 """Cross-sectional window columns and rank statistics: average ranks, correlation, buckets.
 
-Missing values are NULL throughout; NaN is turned into NULL by ``clean``.
+Missing values are NULL throughout.
 """
 
 from __future__ import annotations
@@ -13,12 +13,6 @@ def col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def clean(x) -> Column:
-    """NaN and infinities become NULL."""
-    c = col(x).cast("double")
-    return F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
-
-
 def xs(*keys):
     """A cross-section."""
     return Window.partitionBy(*keys)
@@ -67,12 +61,6 @@ def spearman(df: DataFrame, x: str, y: str, keys: list[str], name: str = "rho",
     return found.withColumn(name, F.when(F.col("n") >= least, F.col(name)))
 
 
-def pearson(df: DataFrame, x: str, y: str, keys: list[str], name: str = "r", least: int = 2) -> DataFrame:
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    found = both.groupBy(*keys).agg(safe_corr(x, y).alias(name), F.count(F.lit(1)).alias("n"))
-    return found.withColumn(name, F.when(F.col("n") >= least, F.col(name)))
-
-
 def zscore(x, *keys, ddof: int = 1, least: int = 1, floor: float = 0.0, degenerate: float | None = 0.0) -> Column:
     """(x - mean) / std by key; ``degenerate`` where the spread is not over ``floor`` or fewer than
     ``least`` values are known; NULL for NULL."""

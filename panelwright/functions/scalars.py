@@ -70,11 +70,6 @@ def trading_days(days) -> Column:
     return F.floor(col(days) * 252 / F.lit(365.0)).cast("int")
 
 
-def observation_visible(observed_at, date) -> Column:
-    """Known at the market close of the date."""
-    return col(observed_at) <= close_utc(date)
-
-
 # Ratios, costs -------------------------------------------------------------------------------
 
 

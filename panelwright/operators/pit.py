@@ -177,10 +177,6 @@ def wide_to_long(df: DataFrame, ids: list[str], fields: list[str]) -> DataFrame:
     return df.unpivot(ids, fields, "field", "value").where("value IS NOT NULL")
 
 
-def event_key(*parts: str) -> Column:
-    return F.concat_ws("_", *[F.col(p).cast("string") for p in parts])
-
-
 def high_water(df: DataFrame, entity: str, date: str) -> DataFrame:
     """The last date of each entity and the day to go on from."""
     return df.groupBy(entity).agg(F.max(date).alias("last_date")).withColumn("next_start", F.date_add("last_date", 1))

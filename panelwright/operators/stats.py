@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import avg_rank, pearson, safe_corr, spearman
+from ..functions.ranks import avg_rank, safe_corr, spearman
 from .cross import neutralize
 
 
@@ -179,4 +179,4 @@ def mean_pair_correlation(df: DataFrame, x: str, entity: str, date: str, dates:
     return g.join(F.broadcast(idx.withColumnRenamed("_i", "_t")), "_t").select(date, "mean_corr", "n_entities")
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "pearson")]
+__all__ = [n for n in dir() if not n.startswith("_") and n != "annotations"]

@@ -327,3 +327,31 @@ def read_stream(v):
 def event_stream_sentiment(v):
     d = streams.run_to_memory(streams.rolling_sentiment(read_stream(v)), "event_sentiment_" + v.folder("m").rpartition("-")[2], v.folder("checkpoint"), "complete")
     return d.select("ticker", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("mean_value", 9).alias("mean_value"))
+
+
+@query("event_stream_ingest", sql("SELECT event_id, ticker, value FROM pe", "pe"))
+def event_stream_ingest(v):
+    """The events come twice; each id is taken in once."""
+    stream = read_stream(v)
+    d = streams.run_to_memory(streams.ingest(stream.unionByName(read_stream(v))), "event_ingest_" + v.folder("m").rpartition("-")[2], v.folder("checkpoint"))
+    return d.select("event_id", "ticker", "value")
+
+
+@query("event_stream_scores", sql("SELECT event_id, round(value / 100, 6) AS score FROM pe", "pe"))
+def event_stream_scores(v):
+    path = v.folder("scores")
+    q = streams.score_sink(read_stream(v), lambda batch: batch.select("event_id", (F.col("value") / 100).alias("score")), path, v.folder("checkpoint")).start()
+    q.awaitTermination()
+    return rounded(v.spark.read.parquet(path).select("event_id", "score"))
+
+
+@query("event_stream_ema", sql("SELECT a.ticker, a.observed_at, round(sum(b.value * CASE WHEN b.i = 1 THEN 1 ELSE 1 - pow(2.0, -1 / 5.0) END * pow(2.0, (b.i - a.i) / 5.0)), 6) AS ema FROM x a JOIN x b ON a.ticker = b.ticker AND b.i <= a.i GROUP BY a.ticker, a.observed_at, a.i", "pe", x="SELECT ticker, observed_at, value, row_number() OVER (PARTITION BY ticker ORDER BY observed_at, value) AS i FROM pe WHERE value IS NOT NULL"))
+def event_stream_ema(v):
+    d = streams.run_to_memory(streams.ema_state(read_stream(v)), "event_ema_" + v.folder("m").rpartition("-")[2], v.folder("checkpoint"))
+    return d.select("ticker", F.col("observed_at").cast("timestamp_ntz").alias("observed_at"), F.round("ema", 6).alias("ema"))
+
+
+@query("usable_features", sql(" UNION ALL ".join(f"SELECT '{f}' AS feature FROM mpanel HAVING avg(({f} IS NOT NULL)::INT) > 0.9" for f in ("mom_1m", "mom_3m", "mom_6m", "mom_12m")), "mpanel"))
+def usable_features(v):
+    names = uncertainty.usable_features(v.mpanel, ["mom_1m", "mom_3m", "mom_6m", "mom_12m"], 0.9)
+    return v.spark.createDataFrame([(n,) for n in names], "feature string")

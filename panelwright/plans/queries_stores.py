@@ -277,6 +277,16 @@ def window_coverage(v):
     return rounded(learn.window_coverage(learn.lookback_windows(v.bars, v.dates("1995-06-30", "1996-06-30", "1997-03-31"), 250, strict=False), 250))
 
 
+@query("partitions_replaced", sql("SELECT sector, count(*) AS n, round(sum(adv), 2) AS adv FROM (SELECT sector, CASE WHEN sector = 'ASIA' THEN adv * 2 ELSE adv END AS adv FROM mpanel WHERE sector IS NOT NULL) GROUP BY 1", "mpanel"))
+def partitions_replaced(v):
+    """Only the partition that is written again is replaced."""
+    path = v.folder("by-sector")
+    d = v.mpanel.where("sector IS NOT NULL").select("ticker", "month", "adv", "sector")
+    stores.write_partitions(d, path, ["sector"])
+    stores.write_partitions(d.where("sector = 'ASIA'").withColumn("adv", F.col("adv") * 2), path, ["sector"])
+    return stores.scan(v.spark, path).groupBy("sector").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("adv"), 2).alias("adv"))
+
+
 # Labels ----------------------------------------------------------------------------------------
 
 DIV = "SELECT ticker, CAST(date_trunc('quarter', date) AS DATE) + 14 AS date, round(avg(close) * 0.01, 6) AS dividend FROM bars GROUP BY 1, 2"
@@ -334,6 +344,11 @@ def sampling_grid(v):
     return labels.sampling_grid(v.calendar, v.sectors.select("ticker"), 6)
 
 
+@query("sessions_between", sql("SELECT as_of_date, ticker, horizon, b.session_idx - a.session_idx AS n_sessions FROM fl JOIN cal a ON a.session = as_of_date JOIN cal b ON b.session = exit_date", "fl", "cal"))
+def sessions_between(v):
+    return labels.sessions_between(v.labels, v.calendar, "as_of_date", "exit_date").select("as_of_date", "ticker", "horizon", "n_sessions")
+
+
 @query("optional_columns", sql("SELECT ticker, month, CAST(NULL AS DOUBLE) AS short_interest, round(adv, 4) AS adv FROM mpanel", "mpanel"))
 def optional_columns(v):
     return labels.optional_columns(v.mpanel, {"adv": "double", "short_interest": "double"}).select("ticker", "month", "short_interest", F.round("adv", 4).alias("adv"))
@@ -465,6 +480,12 @@ def order_costs(v):
     return d.select("l_orderkey", "l_linenumber", F.round(cost, 6).alias("cost_bps"), F.round(S.participation("value", "l_extendedprice"), 6).alias("participation"), F.round(S.net_return(F.lit(0.01), cost), 8).alias("net"), S.survives(F.lit(0.01), cost).alias("survives"), F.round(S.surprise_pct("l_discount", "l_tax"), 6).alias("surprise"), F.round(S.safe_divide("l_tax", "l_discount"), 6).alias("ratio"), F.round(S.expected_move_pct("l_discount", "l_quantity"), 6).alias("move_pct"), S.new_position("before", "now").alias("opened"), S.closed_position("before", "now").alias("closed"), S.adjustment_holds("l_extendedprice", F.col("l_extendedprice") / 2 + F.col("l_tax"), F.lit(2.0)).alias("adjusted"))
 
 
+@query("fund_flows", "SELECT o_orderkey, round((o_totalprice - c_acctbal) / nullif(c_acctbal, 0) * 100, 4) AS flow_pct FROM orders JOIN customer ON o_custkey = c_custkey")
+def fund_flows(v):
+    d = v.table("orders").join(v.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return d.select("o_orderkey", F.round(S.flow_pct(F.col("o_totalprice") - F.col("c_acctbal"), "c_acctbal"), 4).alias("flow_pct"))
+
+
 @query("identifier_choice", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'CIK:' || c_custkey WHEN c_custkey % 3 = 1 THEN 'FIGI:' || c_name ELSE 'TICKER:' || c_mktsegment END AS stable_id, 'model-' || greatest(1990, least(1996, 1990 + c_custkey % 12 - 1)) AS vintage FROM customer")
 def identifier_choice(v):
     d = v.table("customer").withColumns({"cik": F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey").cast("string")), "figi": F.when(F.col("c_custkey") % 3 == 1, F.col("c_name"))})

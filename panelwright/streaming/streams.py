@@ -40,12 +40,16 @@ def score_sink(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame], path
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-def ema_state(stream: DataFrame, halflife: float = 5.0, entity: str = "ticker", time: str = "observed_at", value: str = "value") -> DataFrame:
+def ema_state(stream: DataFrame, halflife: float = 5.0, entity: str = "ticker", time: str = "observed_at", value: str = "value", late: str = "30 days", idle_days: float = 365.0) -> DataFrame:
     """entity, observed_at, ema: smoothing carried from batch to batch; rows of a batch in time order; rows older than the state
-    are left out (they came too late to be smoothed in order)."""
+    are left out (they came too late to be smoothed in order).  The state of an entity that has nothing for ``idle_days`` of
+    event time is dropped, and it begins anew."""
     a = 1 - 2 ** (-1 / halflife)
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         level, last = state.get if state.exists else (None, None)
         rows = pd.concat(list(frames)).sort_values([time, value])
         out = []
@@ -57,10 +61,11 @@ def ema_state(stream: DataFrame, halflife: float = 5.0, entity: str = "ticker",
             out.append((key[0], t, level))
         if level is not None:
             state.update((level, last))
+            state.setTimeoutTimestamp(max(int(last * 1000), state.getCurrentWatermarkMs()) + int(idle_days * 86_400_000))
         yield pd.DataFrame(out, columns=[entity, time, "ema"])
 
     kind = stream.schema[entity].dataType.simpleString()
-    return stream.select(entity, time, value).groupBy(entity).applyInPandasWithState(update, f"{entity} {kind}, {time} timestamp, ema double", "level double, last double", "append", GroupStateTimeout.NoTimeout)
+    return stream.select(entity, time, value).withWatermark(time, late).groupBy(entity).applyInPandasWithState(update, f"{entity} {kind}, {time} timestamp, ema double", "level double, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_memory(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
