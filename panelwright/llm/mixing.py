@@ -20,7 +20,7 @@ from .common import stored, table
 
 SEED = 17
 #: Documents of a leaf that one bucket of its order holds, about.
-BUCKET_DOCS = 4096
+BUCKET_DOCS = 512
 #: The budget is this share of all tokens.
 SHARE = 0.6
 MAX_EPOCHS = 3
