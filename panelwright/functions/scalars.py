@@ -343,8 +343,9 @@ def item_section(x, item: str, most: int | None = None) -> Column:
     return F.when(F.length(F.trim(found)) > 0, F.trim(found)).otherwise(rest)
 
 
-def valid_text(x) -> Column:
-    return F.coalesce(F.length(F.trim(col(x))) > 0, F.lit(False))
+def valid_text(x, least: int = 10) -> Column:
+    """Whether a text has ``least`` characters or more between its outer blanks."""
+    return F.coalesce(F.length(F.trim(col(x))) >= least, F.lit(False))
 
 
 def truncated(x, most: int = 400) -> Column:

@@ -71,12 +71,19 @@ def money_volume(close: str, volume: str, n: int, w, variant: str = "store") ->
     return F.when(F.count(money).over(frame) == n, F.avg(money).over(frame))
 
 
+def moving_sum(c: Column, n: int, w) -> Column:
+    """Sum of the last n rows as the difference of two running sums: both frames only grow, so the work does not depend on n."""
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -n)
+    return F.coalesce(F.sum(c).over(upto), F.lit(0)) - F.coalesce(F.sum(c).over(before), F.lit(0))
+
+
 def beta(ret: str, market_ret: str, n: int, w, least: int | None = None) -> Column:
     """Covariance with the benchmark over its variance; both joined by date before."""
-    frame = over_rows(w, n)
     both = F.col(ret).isNotNull() & F.col(market_ret).isNotNull()
     a, b = F.when(both, F.col(ret)), F.when(both, F.col(market_ret))
-    return F.when(F.count(a).over(frame) >= (least or n), F.try_divide(F.covar_samp(a, b).over(frame), F.var_samp(b).over(frame)))
+    k, sa, sb = moving_sum(both.cast("long"), n, w), moving_sum(a, n, w), moving_sum(b, n, w)
+    var = moving_sum(b * b, n, w) - sb * sb / k
+    return F.when((k >= (least or n)) & (k > 1) & (var > 1e-15), (moving_sum(a * b, n, w) - sa * sb / k) / var)
 
 
 def vol_adjusted_volume(adv: str, vol: str) -> Column:

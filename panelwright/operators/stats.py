@@ -18,13 +18,12 @@ def pooled_ic(df: DataFrame, x: str, y: str, least: int = 30) -> DataFrame:
     return d.agg(F.count(F.lit(1)).alias("n"), safe_corr("_rx", "_ry").alias("rho")).withColumn("rho", F.when(F.col("n") >= least, F.col("rho")))
 
 
-def global_ranks(df: DataFrame, x: str, name: str, bins: int = 4096) -> DataFrame:
-    """x, name: average rank over the whole table, by range bins: counts are added up over bins, and inside a
-    bin over its distinct values."""
+def global_ranks(df: DataFrame, x: str, name: str, bins: int = 256) -> DataFrame:
+    """x, name: average rank over the whole table, by ranges of about equally many distinct values (however they are spread): counts
+    are added up over the ranges, and inside a range over its values."""
     values = df.groupBy(x).agg(F.count(F.lit(1)).alias("_c"))
-    lo_hi = values.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    v = values.crossJoin(F.broadcast(lo_hi))  # one row
-    v = v.withColumn("_b", F.coalesce(F.floor(F.try_divide(F.col(x) - F.col("_lo"), F.col("_hi") - F.col("_lo")) * bins), F.lit(0)))
+    edges = df.agg(F.array_distinct(F.percentile_approx(x, [i / bins for i in range(1, bins)], 20 * bins)).alias("_edges"))
+    v = values.crossJoin(F.broadcast(edges)).withColumn("_b", F.size(F.filter("_edges", lambda e: e < F.col(x)))).drop("_edges")  # one row
     totals = v.groupBy("_b").agg(F.sum("_c").alias("_n"))
     totals = totals.withColumn("_before", F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).drop("_n")
     upto = Window.partitionBy("_b").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)

@@ -66,7 +66,7 @@ def conditional_range(train: DataFrame, rows: DataFrame, features: list[str], la
     fine = t.groupBy(*every).agg(iqr.alias("_v2"), F.count(F.lit(1)).alias("_n2"))
     coarse = t.groupBy(every[0]).agg(iqr.alias("_v1"), F.count(F.lit(1)).alias("_n1"))
     whole = t.agg(iqr.alias("_v0"))
-    d = mark(rows).join(F.broadcast(fine), every, "left").join(F.broadcast(coarse), every[0], "left").crossJoin(F.broadcast(whole))  # cells: cells ** features rows
+    d = mark(rows).join(fine, every, "left").join(F.broadcast(coarse), every[0], "left").crossJoin(F.broadcast(whole))  # ``cells`` rows, and one
     a = F.when(F.col("_n2") >= least, F.col("_v2")).when(F.col("_n1") >= least, F.col("_v1")).otherwise(F.col("_v0"))
     return d.withColumn("a_value", a).drop(*every, "_v2", "_n2", "_v1", "_n1", "_v0")
 

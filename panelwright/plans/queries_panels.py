@@ -317,6 +317,14 @@ def pair_report(v):
     return d.select("a", "b", "sector", F.round("rho", 6).alias("rho"), "n", F.round("t", 4).alias("t"))
 
 
+PAIRS = (("adv", "mom_1m"), ("adv", "vol_6m"), ("mom_1m", "vol_6m"))
+
+
+@query("feature_rank_correlations", sql(" UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round({corr('x', 'y')}, 6) AS rho, count(*) AS n FROM (SELECT r{a} AS x, r{b} AS y FROM rk WHERE {a} IS NOT NULL AND {b} IS NOT NULL)" for a, b in PAIRS), "mpanel", rk="SELECT *, " + ", ".join(f"rank() OVER (ORDER BY {f} NULLS LAST) + (count(*) OVER (PARTITION BY {f}) - 1) / 2.0 AS r{f}" for f in ("adv", "mom_1m", "vol_6m")) + " FROM mpanel"))
+def feature_rank_correlations(v):
+    return rounded(stats.correlation_pairs(v.mpanel, ["adv", "mom_1m", "vol_6m"]))
+
+
 @query("residual_spread", sql("SELECT month, round(quantile_cont(es - coalesce(k, 0) * bs, 0.75) - quantile_cont(es - coalesce(k, 0) * bs, 0.25), 6) AS residual_iqr, count(*) AS n FROM (SELECT *, (sum(bs * es) OVER (PARTITION BY month)) / nullif(sum(bs * bs) OVER (PARTITION BY month), 0) AS k FROM ne WHERE n >= 5) GROUP BY 1", "mpanel", ne=NEUT))
 def residual_spread(v):
     d = labels.least_names(v.mpanel.where("mom_12m IS NOT NULL AND vol_6m IS NOT NULL AND sector IS NOT NULL AND mom_1m IS NOT NULL"), ["month"], 5)

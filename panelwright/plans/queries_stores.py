@@ -505,7 +505,7 @@ def outperform_probability(v):
     return v.mpanel.select("ticker", "month", p.isNotNull().alias("known"), F.when(p > 0.5, "above").when(p < 0.5, "below").when(p == 0.5, "half").alias("side"))
 
 
-@query("text_columns", "SELECT doc_id, text IS NOT NULL AND length(trim(text, ' ')) > 0 AS valid, length(substr(text, 1, 400)) AS n_short FROM documents")
+@query("text_columns", "SELECT doc_id, text IS NOT NULL AND length(trim(text, ' ')) >= 10 AS valid, length(substr(text, 1, 400)) AS n_short FROM documents")
 def text_columns(v):
     return v.table("documents").select("doc_id", S.valid_text("text").alias("valid"), F.length(S.truncated("text")).cast("long").alias("n_short"))
 

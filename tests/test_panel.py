@@ -247,3 +247,42 @@ def test_order_of_rows_does_not_matter(spark):
 def test_empty_tables(spark):
     d = spark.createDataFrame([], "as_of_date date, horizon int, ticker string, score double, excess_return double")
     assert evaluate.rank_ic(d).count() == 0 and evaluate.churn(d, 3).count() == 0 and portfolio.long_short(d, 3, ["horizon"]).count() == 0
+
+
+def test_exponential_means_of_long_series(spark):
+    n, h = 8000, 5.0
+    d = spark.range(n).select(F.lit("a").alias("g"), F.col("id").cast("int").alias("i"), F.when(F.col("id") % 7 == 3, None).when(F.col("id").between(4000, 7000), None).otherwise((F.col("id") % 11).cast("double")).alias("x"))
+    got = rows(series.ewma(d, "x", ["g"], "i", h), "i", "ewma")
+    fade, s, w = 2 ** (-1 / h), 0.0, 0.0
+    for i, value in got:
+        s, w = s * fade, w * fade
+        if not (i % 7 == 3 or 4000 <= i <= 7000):
+            s, w = s + i % 11, w + 1
+        if w > 1e-200:
+            want = s / w
+        assert value == pytest.approx(want, rel=1e-9)
+    a, level = 1 - fade, None
+    known = rows(series.ema(d, "x", ["g"], "i", h), "i", "ema")
+    assert len(known) == sum(not (i % 7 == 3 or 4000 <= i <= 7000) for i in range(n))
+    for i, value in known:
+        level = float(i % 11) if level is None else a * (i % 11) + (1 - a) * level
+        assert value == pytest.approx(level, rel=1e-9, abs=1e-12)
+
+
+def test_reads_at_dates_deal_rows_once(spark):
+    day = lambda k: date(2024, 1, k)
+    d = spark.createDataFrame([("a", day(1), 1.0), ("a", day(3), 3.0), ("a", day(9), 9.0), ("b", day(4), 4.0), (None, day(1), 0.5)], "ticker string, date date, x double")
+    at = spark.createDataFrame([(day(2),), (day(5),), (day(8),), (day(5),)], "as_of date")
+    got = {(r.as_of.day, r.ticker): r.x for r in pit.last_value(d, at, "ticker", "date", "x").collect()}
+    assert got == {(2, "a"): 1.0, (5, "a"): 3.0, (8, "a"): 3.0, (5, "b"): 4.0, (8, "b"): 4.0, (2, None): 0.5, (5, None): 0.5, (8, None): 0.5}
+    assert pit.last_value(d, at.limit(0), "ticker", "date", "x").count() == 0
+    two = {(r.as_of.day, r.ticker): (r.avg_x, r.n_rows) for r in pit.average_of_last(d, at, "ticker", "date", "x", 2).collect()}
+    assert two[(5, "a")] == (2.0, 2) and two[(2, "a")] == (1.0, 1) and two[(8, "b")] == (4.0, 1)
+
+
+def test_statistics_of_the_latest_values(spark):
+    day = lambda k: date(2024, 1, k)
+    rows_ = [("a", day(1), 1.0), ("b", day(2), 5.0), ("a", day(4), 3.0), ("c", day(20), 7.0), ("b", day(20), None)]
+    d = spark.createDataFrame([(e, "g", t, x) for e, t, x in rows_], "e string, g string, d date, x double")
+    got = {r.d.day: (r.n, r.mean) for r in pit.latest_within(d, "e", "g", "d", "x", 10).collect()}
+    assert got[1] == (1, pytest.approx(1.0)) and got[2] == (2, pytest.approx(3.0)) and got[4] == (2, pytest.approx(4.0)) and got[20] == (1, pytest.approx(7.0))
