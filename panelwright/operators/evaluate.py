@@ -248,3 +248,13 @@ def align_scores(base: DataFrame, others: dict[str, DataFrame], on: list[str]) -
     for name, d in others.items():
         out = out.join(d.groupBy(*on).agg(F.avg("score").alias(name)), on, "left")
     return out
+
+
+def concat(frames: dict[str, DataFrame], name: str) -> DataFrame:
+    """All rows of several frames (folds, horizons, models, tickers), the frame they come from in column ``name``; columns that a
+    frame lacks are NULL.  What is evaluated by keys then runs once for all of them."""
+    out = None
+    for key, d in frames.items():
+        d = d.withColumn(name, F.lit(key))
+        out = d if out is None else out.unionByName(d, allowMissingColumns=True)
+    return out

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ranks as R
 from ..functions import scalars as S
 from ..operators import evaluate, events, health, labels, learn, pit, policy, portfolio, series, stats, uncertainty, universe
+from .queries_models import GRID, GROW, PBOOK, PDAY, PROW, PSER, PVAR, fixed_gate
 from .registry import Views, ar, corr, pr, query, r, rounded
 from .sqlviews import sql
 
@@ -237,14 +238,14 @@ def policy_conflict(v):
     return rounded(policy.conflict_deciles(d, 5).select("bucket", "mean_abs_score", "mean_loss", "n"))
 
 
-@query("policy_variants", None)
+@query("policy_variants", sql("SELECT variant, as_of_date, flat, round(turnover, 6) AS turnover, round(0.002 * turnover, 6) AS cost, round(ls_return, 6) AS ls_return, round(ls_return - 0.002 * turnover, 6) AS ls_return_net FROM ps", "ls", pin=fixed_gate("CASE WHEN month(as_of_date) % 3 = 0 THEN 0.1 ELSE 0.9 END"), pv=PVAR, pr=PROW, pb=PBOOK, pd=PDAY, ps=PSER))
 def policy_variants(v):
     h = v.ev.select("as_of_date").distinct().withColumns({"G_exposure": F.when(F.month("as_of_date") % 3 == 0, 0.1).otherwise(0.9), "H_realized": F.lit(0.1)})
     d = policy.policy_inputs(v.ls, v.ls, h, 20)
     return rounded(policy.policy_series(policy.variant_scores(d), 10))
 
 
-@query("policy_grid", None)
+@query("policy_grid", sql("SELECT lam, cap_percentile, cap_weight, round(sharpe, 6) AS sharpe, n, row_number() OVER (ORDER BY sharpe DESC NULLS LAST, lam, cap_percentile) = 1 AS best FROM (SELECT lam, cap AS cap_percentile, 0.7::DOUBLE AS cap_weight, avg(x) / stddev_samp(x) * sqrt(12) AS sharpe, count(*) AS n FROM (SELECT variant, ls_return - 0.002 * turnover AS x FROM ps) JOIN grid USING (variant) GROUP BY 1, 2)", "ls", pin=fixed_gate("1.0"), grid=GRID, pr=GROW.replace("2000-01-01", "1998-01-01"), pb=PBOOK, pd=PDAY, ps=PSER))
 def policy_grid(v):
     h = v.ev.select("as_of_date").distinct().withColumns({"G_exposure": F.lit(1.0), "H_realized": F.lit(0.1)})
     grid = v.spark.createDataFrame([(l_, p, w) for l_ in (0.0, 0.5) for p in (0.8, 0.9) for w in (0.7,)], "lam double, cap_percentile double, cap_weight double")

@@ -235,7 +235,17 @@ def policy_on_health(v):
     return rounded(policy.policy_series(scored, 10).select("variant", "as_of_date", "flat", "turnover", "ls_return", "ls_return_net"))
 
 
-@query("policy_grid_on_health", None)
+def fixed_gate(g: str) -> str:
+    """Policy inputs with a given gate, in SQL."""
+    return f"SELECT *, {g} AS g, 0.1 AS hr FROM ls WHERE horizon = 20"
+
+
+GRID = "SELECT * FROM (VALUES ('a', 0.0::DOUBLE, 0.8::DOUBLE), ('b', 0.0, 0.9), ('c', 0.5, 0.8), ('d', 0.5, 0.9)) t(variant, lam, cap)"
+GROW = "SELECT as_of_date, ticker, excess_return, variant, cs + lam * g_pred AS lo, cs - lam * g_pred AS sh, g >= 0.2 AS active FROM (SELECT *, score * CASE WHEN percent_rank() OVER (PARTITION BY as_of_date, variant ORDER BY ehat_raw) > cap THEN 0.7 ELSE 1 END AS cs FROM pin, grid WHERE as_of_date < DATE '2000-01-01')"
+GSQL = HEALTH | {"pin": PIN, "grid": GRID, "pr": GROW, "pb": PBOOK, "pd": PDAY, "ps": PSER}
+
+
+@query("policy_grid_on_health", sql("SELECT lam, cap_percentile, cap_weight, round(sharpe, 6) AS sharpe, n, row_number() OVER (ORDER BY sharpe DESC NULLS LAST, lam, cap_percentile) = 1 AS best FROM (SELECT lam, cap AS cap_percentile, 0.7::DOUBLE AS cap_weight, avg(x) / stddev_samp(x) * sqrt(12) AS sharpe, count(*) AS n FROM (SELECT variant, ls_return - 0.002 * turnover AS x FROM ps) JOIN grid USING (variant) GROUP BY 1, 2)", "ls", "ic", **GSQL))
 def policy_grid_on_health(v):
     grid = v.spark.createDataFrame([(l_, p, w) for l_ in (0.0, 0.5) for p in (0.8, 0.9) for w in (0.7,)], "lam double, cap_percentile double, cap_weight double")
     return rounded(policy.calibrate(real_policy_inputs(v), grid, 10, "2000-01-01"))

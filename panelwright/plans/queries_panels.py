@@ -404,6 +404,12 @@ def fusion_gate(v):
     return evaluate.fusion_gate(f, single, ["horizon"]).select("horizon", F.round("mean_ic", 6).alias("mean_ic"), "gate4")
 
 
+@query("concatenated_models", sql("SELECT model, horizon, count(*) AS n, count(vol_6m) AS n_vol, round(avg(score), 6) AS mean_score FROM (SELECT 'momentum' AS model, horizon, score, NULL AS vol_6m FROM ev UNION ALL SELECT 'reversal', horizon, -score, vol_6m FROM ev) GROUP BY 1, 2", "ev"))
+def concatenated_models(v):
+    d = evaluate.concat({"momentum": v.ev.drop("vol_6m"), "reversal": v.ev.withColumn("score", -F.col("score"))}, "model")
+    return rounded(d.groupBy("model", "horizon").agg(F.count(F.lit(1)).alias("n"), F.count("vol_6m").alias("n_vol"), F.avg("score").alias("mean_score")))
+
+
 @query("signal_orthogonality", sql(f"SELECT as_of_date, horizon, CASE WHEN n >= 10 THEN round(rho, 6) END AS rho, n FROM ({rank_corr('ev', 'score', 'mom_1m', K)})", "ev"))
 def signal_orthogonality(v):
     on = [*KEYS, "ticker"]
