@@ -289,26 +289,37 @@ def stacked_scores(v):
 GF = ["score", "adv", "mom_1m"]
 
 
+def stored_rows(v):
+    """The rows that every fold's job reads: written once."""
+    path = v.folder("rows")
+    v.ev.where("horizon = 20").drop("fold_id").write.parquet(path)
+    return v.spark.read.parquet(path)
+
+
 @query("walk_forward_gbt", None)
 def walk_forward_gbt(v):
     """Weighted trees by fold: each fold's model is fitted on the rows before it, with an embargo, and scores the fold."""
     from ..functions.scalars import decay_weight, half_life_years
 
-    spans = v.spark.createDataFrame([(f"y{y}", f"{y}-01-01", f"{y + 1}-01-01") for y in (1998, 1999)], "fold_id string, a string, b string").select("fold_id", F.col("a").cast("date").alias("a"), F.col("b").cast("date").alias("b"))
-    rows = v.ev.where("horizon = 20").drop("fold_id").join(F.broadcast(spans), F.col("as_of_date") < F.col("b"))
+    first, last = v.ev.agg(F.year(F.min("as_of_date")), F.year(F.max("as_of_date"))).first()
+    years = range(first + 1, last + 1)
+    spans = v.spark.createDataFrame([(f"y{y}", f"{y}-01-01", f"{y + 1}-01-01") for y in years], "fold_id string, a string, b string").select("fold_id", F.col("a").cast("date").alias("a"), F.col("b").cast("date").alias("b"))
+    rows = stored_rows(v).join(F.broadcast(spans), F.col("as_of_date") < F.col("b"))
     rows = rows.withColumn("part", F.when(F.col("as_of_date") >= F.col("a"), "val").when(F.col("as_of_date") < F.date_sub("a", 60), "train")).where("part IS NOT NULL")
     rows = rows.withColumn("w", decay_weight("as_of_date", "a", half_life_years("horizon")))
     fit = lambda train: learn.fit_gbt(train, GF, "excess_return", "w")
-    d = learn.walk_forward(rows, fit, lambda m, val: learn.score_gbt(m, val, GF, "pred"), ["y1998", "y1999"])
+    d = learn.walk_forward(rows, fit, lambda m, val: learn.score_gbt(m, val, GF, "pred"), [f"y{y}" for y in years])
     return d.select("fold_id", "as_of_date", "ticker", F.round("pred", 6).alias("pred"))
 
 
 @query("error_model_by_fold", None)
 def error_model_by_fold(v):
     """Expected losses of each year from a model of the years before."""
-    d = v.ls.where("horizon = 20 AND fold_id <= 'f1999'").drop("g_pred")
+    path = v.folder("losses")
+    uncertainty.error_features(v.ls.where("horizon = 20").drop("g_pred")).write.parquet(path)
+    d = v.spark.read.parquet(path)
     folds = sorted(r[0] for r in d.select("fold_id").distinct().collect())  # a name a year
-    return learn.error_model(uncertainty.error_features(d), ["abs_score", "score_pct", "vol_6m"], folds).select("fold_id", "as_of_date", "ticker", F.round("g_pred", 6).alias("g_pred"))
+    return learn.error_model(d, ["abs_score", "score_pct", "vol_6m"], folds).select("fold_id", "as_of_date", "ticker", F.round("g_pred", 6).alias("g_pred"))
 
 
 @query("variance_inflation_of_three", sql("SELECT f AS feature, round(CASE f WHEN 'mom_1m' THEN (1 - c * c) / d WHEN 'mom_3m' THEN (1 - b * b) / d ELSE (1 - a * a) / d END, 5) AS vif FROM (SELECT *, 1 + 2 * a * b * c - a * a - b * b - c * c AS d FROM (SELECT {ab} AS a, {ac} AS b, {bc} AS c FROM mpanel WHERE mom_1m IS NOT NULL AND mom_3m IS NOT NULL AND vol_6m IS NOT NULL)), (VALUES ('mom_1m'), ('mom_3m'), ('vol_6m')) t(f)".format(ab=corr("mom_1m", "mom_3m"), ac=corr("mom_1m", "vol_6m"), bc=corr("mom_3m", "vol_6m")), "mpanel"))
