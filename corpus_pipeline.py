@@ -38,7 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = rows.select("key", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("hash"), "key").alias("_o"))
     groups = stored(groups.join(own, "key").select("key", "component_id", "_o"), "groups")
     first = groups.groupBy("component_id").agg(F.min("_o").alias("_first"))
-    dropped = groups.join(first, "component_id").where(F.col("_o.key") != F.col("_first.key")).select("key")
+    dropped = groups.select("key").join(first.select(F.col("_first.key").alias("key")), "key", "left_anti")
     return rows.join(dropped, "key", "left_anti").select("_row.*")
 
 
