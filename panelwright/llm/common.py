@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -36,8 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path for an intermediate table in the shared folder."""
-    _made.append(f"{shared_dir(spark)}/panelwright-{name}-{uuid.uuid4().hex}")
-    return _made[-1]
+    _made.paths.append(f"{shared_dir(spark)}/panelwright-{name}-{uuid.uuid4().hex}")
+    return _made.paths[-1]
 
 
 def stored(df: DataFrame, name: str, **options) -> DataFrame:
@@ -49,20 +50,26 @@ def stored(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Intermediate tables of this session, in the order they were made.
-_made: list[str] = []
+class _Made(threading.local):
+    """Intermediate tables of this thread, in the order they were made: queries that run side by side don't see each other's."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_made = _Made()
 
 
 def mark() -> int:
-    """The place in the session's list of intermediate tables from which ``discard`` goes on."""
-    return len(_made)
+    """The place in the list of intermediate tables from which ``discard`` goes on."""
+    return len(_made.paths)
 
 
 def discard(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
     """Delete the intermediate tables made since ``mark``, but those to ``keep``.  To be called only once nothing reads them any more:
     when the result is itself a stored table."""
-    old = [p for p in _made[since:] if p not in keep]
-    _made[since:] = [p for p in _made[since:] if p in keep]
+    old = [p for p in _made.paths[since:] if p not in keep]
+    _made.paths[since:] = [p for p in _made.paths[since:] if p in keep]
     sc = spark.sparkContext
     for path in old:
         at = sc._jvm.org.apache.hadoop.fs.Path(path)
@@ -72,7 +79,7 @@ def discard(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None
 def finished(df: DataFrame, name: str, since: int) -> DataFrame:
     """``df`` as a stored table; the intermediate tables made since ``mark`` are deleted behind it."""
     out = stored(df, name)
-    discard(df.sparkSession, since, (_made[-1],))
+    discard(df.sparkSession, since, (_made.paths[-1],))
     return out
 
 

@@ -137,6 +137,19 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, **{i: 10 for i in range(10, 16)}}
 
 
+def test_intermediate_tables_are_deleted_behind_the_result(spark):
+    from pathlib import Path
+
+    from panelwright.llm.common import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    got = near_dups.near_duplicates(docs(spark, ["a b c d e", "a b c d e", "x y z", None]))
+    left = set(folder.iterdir()) - before
+    assert len(left) == 1 and "near-duplicates" in left.pop().name
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(0, 0), (1, 0), (2, 2), (3, 3)]
+
+
 # 3 -------------------------------------------------------------------------------------------
 
 
