@@ -30,12 +30,12 @@ def plain_time(c):
 # Stores --------------------------------------------------------------------------------------
 
 
-@query("feature_store_months", sql("SELECT ticker, month AS date, round(mom_1m, 6) AS mom_1m, round(adv, 4) AS adv FROM mpanel WHERE month BETWEEN DATE '1993-01-01' AND DATE '1997-12-31' AND sector IN ('ASIA', 'EUROPE', 'AFRICA')", "mpanel"))
+@query("feature_store_months", sql("SELECT ticker, month AS date, round(mom_1m, 6) AS mom_1m, round(adv, 6) AS adv FROM mpanel WHERE month BETWEEN DATE '1993-01-01' AND DATE '1997-12-31' AND sector IN ('ASIA', 'EUROPE', 'AFRICA')", "mpanel"))
 def feature_store_months(v: Views):
     path = v.folder("features")
     stores.write_features(v.mpanel.drop("date").withColumnRenamed("month", "date"), path)
     d = stores.scan(v.spark, path, ["ticker", "date", "mom_1m", "adv"], "date", "1993-01-01", "1997-12-31", {"sector": ["ASIA", "EUROPE", "AFRICA"]})
-    return d.select("ticker", "date", F.round("mom_1m", 6).alias("mom_1m"), F.round("adv", 4).alias("adv"))
+    return d.select("ticker", "date", F.round("mom_1m", 6).alias("mom_1m"), F.round("adv", 6).alias("adv"))
 
 
 @query("label_store_matured", sql("SELECT as_of_date, ticker, horizon, round(excess_return, 6) AS excess_return, exit_date FROM fl WHERE as_of_date BETWEEN DATE '1993-01-01' AND DATE '1997-12-31' AND horizon = 20 AND exit_date <= DATE '1997-06-30'", "fl"))
@@ -107,12 +107,12 @@ def statement_history(v):
     return d.select("ticker", "period_end", "field", "observed_at", "value")
 
 
-@query("snapshot_upsert", sql(f"SELECT ticker, month AS date, round(adv, 4) AS adv, {ny('date')} AS observed_at FROM mpanel".replace(ny("date"), ny("mpanel.month")), "mpanel"))
+@query("snapshot_upsert", sql(f"SELECT ticker, month AS date, round(adv, 6) AS adv, {ny('date')} AS observed_at FROM mpanel".replace(ny("date"), ny("mpanel.month")), "mpanel"))
 def snapshot_upsert(v):
     new = month_features(v).select("date", "ticker", "adv").withColumn("observed_at", F.lit(None).cast("timestamp"))
     old = new.where("date < DATE '1996-01-01'").withColumns({"adv": F.lit(0.0), "observed_at": S.close_utc("date")})
     d = stores.upsert_with_close(old, new, ["ticker", "date"])
-    return d.select("ticker", "date", F.round("adv", 4).alias("adv"), plain_time("observed_at").alias("observed_at"))
+    return d.select("ticker", "date", F.round("adv", 6).alias("adv"), plain_time("observed_at").alias("observed_at"))
 
 
 @query("event_upsert", sql("SELECT event_id, ticker, event_date, CASE WHEN event_id % 2 = 0 THEN value + 1 ELSE value END AS value FROM pe", "pe"))
@@ -349,9 +349,9 @@ def sessions_between(v):
     return labels.sessions_between(v.labels, v.calendar, "as_of_date", "exit_date").select("as_of_date", "ticker", "horizon", "n_sessions")
 
 
-@query("optional_columns", sql("SELECT ticker, month, CAST(NULL AS DOUBLE) AS short_interest, round(adv, 4) AS adv FROM mpanel", "mpanel"))
+@query("optional_columns", sql("SELECT ticker, month, CAST(NULL AS DOUBLE) AS short_interest, round(adv, 6) AS adv FROM mpanel", "mpanel"))
 def optional_columns(v):
-    return labels.optional_columns(v.mpanel, {"adv": "double", "short_interest": "double"}).select("ticker", "month", "short_interest", F.round("adv", 4).alias("adv"))
+    return labels.optional_columns(v.mpanel, {"adv": "double", "short_interest": "double"}).select("ticker", "month", "short_interest", F.round("adv", 6).alias("adv"))
 
 
 # Point in time ---------------------------------------------------------------------------------
@@ -524,9 +524,9 @@ def content_hashes(v):
     return one(n, "a").join(one(n.orderBy(F.desc("n_name")).repartition(3), "b").drop("n"), "k").select("k", "n", (F.col("a") == F.col("b")).alias("same"))
 
 
-@query("feed_event_rows", sql(f"SELECT event_id, ticker, event_date, {ny('event_date')} AS observed_at, json_extract_string(p, '$.score')::DOUBLE AS score FROM (SELECT ticker || '_sentiment_' || event_date AS event_id, ticker, event_date, json_object('score', round(avg(value), 3)) AS p FROM pe GROUP BY ticker, event_date)", "pe"))
+@query("feed_event_rows", sql(f"SELECT event_id, ticker, event_date, {ny('event_date')} AS observed_at, json_extract_string(p, '$.score')::DOUBLE AS score FROM (SELECT ticker || '_sentiment_' || event_date AS event_id, ticker, event_date, json_object('score', round(avg(value), 9)) AS p FROM pe GROUP BY ticker, event_date)", "pe"))
 def feed_event_rows(v):
-    rows = v.events.groupBy("ticker", F.col("event_date").alias("published")).agg(F.round(F.avg("value"), 3).alias("score"))
+    rows = v.events.groupBy("ticker", F.col("event_date").alias("published")).agg(F.round(F.avg("value"), 9).alias("score"))
     d = events.feed_events(rows, "sentiment")
     return d.select("event_id", "ticker", "event_date", plain_time("observed_at").alias("observed_at"), S.payload_number("payload", "score").alias("score"))
 
