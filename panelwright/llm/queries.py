@@ -9,6 +9,7 @@ from .html_text import op6_html_extraction
 from .near_dups import OP2_SQL, op2_near_duplicates
 from .quality import op8_quality_classifier
 from .secrets import op1_secret_scan
+from .spelling import OP13_SQL, op13_spelling_variants
 from .token_files import op9_token_output
 from .url_filters import OP5_SQL, op5_url_filters
 from .warc import OP3_SQL, op3_warc_revisits
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_token_output": op9_token_output,
     "op10_decontamination": op10_decontamination,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLE_SQL = {
     "op2_near_duplicates": OP2_SQL,
@@ -32,4 +34,5 @@ ORACLE_SQL = {
     "op5_url_filters": OP5_SQL,
     "op7_nearest_neighbours": OP7_SQL,
     "op10_decontamination": OP10_SQL,
+    "op13_spelling_variants": OP13_SQL,
 }
