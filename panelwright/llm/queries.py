@@ -12,6 +12,7 @@ from .secrets import op1_secret_scan
 from .spelling import OP13_SQL, op13_spelling_variants
 from .token_files import op9_token_output
 from .url_filters import OP5_SQL, op5_url_filters
+from .vector_codes import OP11_SQL, op11_vector_codes
 from .warc import OP3_SQL, op3_warc_revisits
 
 QUERIES = {
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_token_output": op9_token_output,
     "op10_decontamination": op10_decontamination,
+    "op11_vector_codes": op11_vector_codes,
     "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLE_SQL = {
@@ -34,5 +36,6 @@ ORACLE_SQL = {
     "op5_url_filters": OP5_SQL,
     "op7_nearest_neighbours": OP7_SQL,
     "op10_decontamination": OP10_SQL,
+    "op11_vector_codes": OP11_SQL,
     "op13_spelling_variants": OP13_SQL,
 }
