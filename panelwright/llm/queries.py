@@ -11,6 +11,7 @@ from .quality import op8_quality_classifier
 from .secrets import op1_secret_scan
 from .spelling import OP13_SQL, op13_spelling_variants
 from .token_files import op9_token_output
+from .toxicity import op12_toxicity
 from .url_filters import OP5_SQL, op5_url_filters
 from .vector_codes import OP11_SQL, op11_vector_codes
 from .warc import OP3_SQL, op3_warc_revisits
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_token_output": op9_token_output,
     "op10_decontamination": op10_decontamination,
     "op11_vector_codes": op11_vector_codes,
+    "op12_toxicity": op12_toxicity,
     "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLE_SQL = {
