@@ -243,7 +243,7 @@ def choose_words(examples: DataFrame, vocabulary: int = VOCABULARY, chance: floa
     best: list[str] = []
     for r in counts.where(F.col("g") > least).orderBy(F.col("g").desc(), F.length("word").desc(), "word").limit(vocabulary).collect():
         stem = r.word.rstrip("*")
-        if not any(stem.startswith(b.rstrip("*")) or b.rstrip("*").startswith(stem) for b in best):
+        if not any(stem != b and (stem.startswith(b) or b.startswith(stem)) for b in (x.rstrip("*") for x in best)):
             best.append(r.word)
     return best
 

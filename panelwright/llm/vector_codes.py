@@ -200,7 +200,7 @@ def encode(rows: DataFrame, books: Books) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slices = {length: [Slices(b) for b in book] for length, book in sent.value.items()}
         digests = {length: digest(book) for length, book in sent.value.items()}
-        for own, length, v in by_length(batches, len(next(iter(slices.values())))):
+        for own, length, v in by_length(batches, next((len(x) for x in slices.values()), 1)):
             check_exact(v, sent.value[length])
             codes, errors = coded(v, slices[length])
             yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(pairs[codes].sum(1), pa.string()), pa.array(errors.sum(1), pa.int64()), pa.array([digests[length]] * len(v), pa.string())], ["vec_id", "label", "code", "error", "codebooks_sha256"])
