@@ -2,8 +2,8 @@
 
 Terms are words and their first four to eight letters, so that forms of a word that the examples don't have still count.
 Examples are a bounded sample of labelled documents; near copies (equal least hash of their three-word shingles) are one example with
-their mean label.  The vocabulary is chosen on them: words whose share differs between the labels more than chance
-allows among so many words (log-likelihood ratio, Bonferroni), of terms that begin each other the best one.  All other words are one
+their mean label.  The vocabulary is chosen on them: terms whose share differs between the labels at least twofold, and more than chance
+allows among so many (log-likelihood ratio, Bonferroni), of terms that begin each other the best one.  All other words are one
 pooled term, so a vector's direction tells how large a part of the text the chosen ones are; each for itself they would decide the cosine of long
 texts by the rare words that any two of them happen to share.  Document frequencies are counted over the whole corpus.
 
@@ -32,8 +32,10 @@ from .common import finished, mark, stored, table
 
 #: Labelled rows that are examples, words of the vocabulary, postings of the index, at most (about).
 TRAIN_ROWS, VOCABULARY, POSTINGS = 16_384, 4096, 2_000_000
-#: Examples that a word occurs in at least; chance of one wrong word in the vocabulary.
+#: Examples that a term occurs in at least; chance of one wrong term in the vocabulary.
 LEAST_EXAMPLES, CHANCE = 3, 0.05
+#: And it is at least so many times as common in the examples of one label as in the other's.
+LIFT = 2.0
 #: Neighbours that vote; weight of the examples' mean against their votes; smallest distance; examples of a block.
 NEIGHBOURS, PRIOR, LEAST_DISTANCE, BLOCK = 16, 0.5, 0.02, 128
 #: Added to the logarithm of a term's rarity: the weight of a word that every document has.
@@ -97,6 +99,8 @@ class Index(NamedTuple):
     blocks: np.ndarray
     begins: np.ndarray
     maxima: np.ndarray
+    #: The smallest id of each block.
+    least_ids: np.ndarray
 
 
 def unit_weights(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -119,7 +123,9 @@ def build_index(ids: list[int], labels: list[float], vectors: list[tuple[np.ndar
     starts = np.searchsorted(word, np.arange(len(idf) + 1))
     fresh = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (example[1:] // BLOCK != example[:-1] // BLOCK)]) if len(word) else np.empty(0, np.int64)
     maxima = np.maximum.reduceat(weight, fresh) if len(word) else np.empty(0)
-    return Index(np.array([ids[i] for i in order], np.int64), np.array([labels[i] for i in order], float), starts, example, weight, np.searchsorted(word[fresh], np.arange(len(idf) + 1)), example[fresh] // BLOCK, np.append(fresh, len(word)), maxima)
+    own = np.array([ids[i] for i in order], np.int64)
+    least = np.minimum.reduceat(own, np.arange(0, len(own), BLOCK)) if len(own) else own
+    return Index(own, np.array([labels[i] for i in order], float), starts, example, weight, np.searchsorted(word[fresh], np.arange(len(idf) + 1)), example[fresh] // BLOCK, np.append(fresh, len(word)), maxima, least)
 
 
 def nearest(index: Index, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -133,6 +139,8 @@ def nearest(index: Index, terms: np.ndarray, weights: np.ndarray, k: int = NEIGH
     for b in np.argsort(-bounds, kind="stable"):
         if bounds[b] <= 0 or (len(found) >= k and bounds[b] < scores[k - 1] - 1e-9):
             break
+        if len(found) >= k and round(bounds[b], 12) <= scores[k - 1] and index.least_ids[b] > index.ids[found[k - 1]]:
+            continue  # at best a tie with a larger id
         own = np.zeros(BLOCK)
         for t, w in zip(terms, weights):
             at = index.block_starts[t] + np.searchsorted(index.blocks[index.block_starts[t] : index.block_starts[t + 1]], b)
@@ -240,8 +248,10 @@ def choose_words(examples: DataFrame, vocabulary: int = VOCABULARY, chance: floa
     counts = known.select("y", F.explode(terms).alias("word")).groupBy("word").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0")).where(F.col("n1") + F.col("n0") >= LEAST_EXAMPLES)
     counts = stored(counts.withColumn("g", deviance(F.col("n1"), F.col("n0"), all1, all0)), "word-counts")
     least = critical(chance / max(counts.count(), 1))
+    share1, share0 = F.col("n1") / all1, F.col("n0") / all0
+    apart = (share1 >= LIFT * share0) | (share0 >= LIFT * share1)
     best: list[str] = []
-    for r in counts.where(F.col("g") > least).orderBy(F.col("g").desc(), F.length("word").desc(), "word").limit(vocabulary).collect():
+    for r in counts.where((F.col("g") > least) & apart).orderBy(F.col("g").desc(), F.length("word").desc(), "word").limit(vocabulary).collect():
         stem = r.word.rstrip("*")
         if not any(stem != b and (stem.startswith(b) or b.startswith(stem)) for b in (x.rstrip("*") for x in best)):
             best.append(r.word)
