@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import median, safe_corr
 from ..functions.scalars import close_utc
+from . import order
 
 
 def validate_pit(df: DataFrame, entity: str = "ticker", date: str = "date", observed: str = "observed_at") -> DataFrame:
@@ -72,8 +73,10 @@ def quality_report(df: DataFrame, features: list[str], target: str, ranges: dict
     out = []
     for f in features:
         lo, hi = (ranges or {}).get(f, (float("-inf"), float("inf")))
-        out.append(F.struct(F.lit(f).alias("feature"), F.avg(F.col(f).isNull().cast("double")).alias("missing_share"), F.avg(f).alias("mean"), F.stddev_samp(f).alias("std"), F.percentile(f, F.lit(0.001)).alias("p001"), F.percentile(f, F.lit(0.999)).alias("p999"), safe_corr(f, target).alias("target_corr"), F.sum(F.coalesce(~F.col(f).between(lo, hi), F.lit(False)).cast("long")).alias("n_out_of_range")))
-    return df.agg(F.array(*out).alias("x")).select(F.inline("x"))
+        out.append(F.struct(F.lit(f).alias("feature"), F.avg(F.col(f).isNull().cast("double")).alias("missing_share"), F.avg(f).alias("mean"), F.stddev_samp(f).alias("std"), safe_corr(f, target).alias("target_corr"), F.sum(F.coalesce(~F.col(f).between(lo, hi), F.lit(False)).cast("long")).alias("n_out_of_range")))
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("_v")) for f in features])))
+    outer = order.quantiles(long, "_v", {"p001": 0.001, "p999": 0.999}, ["feature"])
+    return df.agg(F.array(*out).alias("x")).select(F.inline("x")).join(outer, "feature", "left").select("feature", "missing_share", "mean", "std", "p001", "p999", "target_corr", "n_out_of_range")
 
 
 def coverage_report(df: DataFrame, features: list[str], categories: dict[str, str] | None = None) -> DataFrame:

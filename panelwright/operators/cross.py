@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import avg_rank, col, pct_rank, xs, zscore
+from . import order
 
 
 def relative_strength(x, *keys) -> Column:
@@ -104,7 +105,8 @@ def disagreement(ranks: list[Column]) -> Column:
 
 def sizing_constant(df: DataFrame, uncertainty: str, share: float = 0.7, epsilon: float = 1e-4, where: str = "true") -> DataFrame:
     """One row: constant = share * median sqrt(u + epsilon) of the rows that ``where`` names."""
-    return df.where(where).agg((share * F.percentile(F.sqrt(F.greatest(F.col(uncertainty), F.lit(0.0)) + epsilon), F.lit(0.5))).alias("constant"))
+    d = df.where(where).select(F.when(F.col(uncertainty).isNotNull(), F.sqrt(F.greatest(F.col(uncertainty), F.lit(0.0)) + epsilon)).alias("_u"))
+    return order.quantiles(d, "_u", {"_m": 0.5}).select((share * F.col("_m")).alias("constant"))
 
 
 def blend_by_regime(score: str, momentum: str, weight, *keys) -> Column:

@@ -16,53 +16,80 @@ def latest(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 def points_of(as_of: DataFrame) -> DataFrame:
     """One row: the dates of ``as_of`` (one column of that name) in order, an array ``_points``.  They are dates that somebody asks
-    for, or those of a calendar: a few thousand at most, whatever the facts' size."""
+    for, or those of a calendar: a few thousand at most, whatever the facts' size.  It is only ever joined where rows
+    stay where they are; what is shuffled carries places in it."""
     return F.broadcast(as_of.agg(F.sort_array(F.collect_set("as_of")).alias("_points")))
 
 
+def first_point(x: Column) -> Column:
+    """The place in ``_points`` of the first date not before x (their number, if there is none), by bisection."""
+    n = F.size("_points")
+    whole = F.struct(F.lit(0).alias("lo"), n.alias("hi"))
+
+    def half(s: Column, _: Column) -> Column:
+        mid = F.floor((s.lo + s.hi) / 2).cast("int")
+        before = (s.lo < s.hi) & (F.get("_points", mid) < x)
+        return F.struct(F.when(before, mid + 1).otherwise(s.lo).alias("lo"), F.when(before | (s.lo >= s.hi), s.hi).otherwise(mid).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int"))
+    return F.aggregate(steps, whole, half, lambda s: s.lo)
+
+
 def dealt(df: DataFrame, as_of: DataFrame, when: str) -> DataFrame:
-    """Each row once, with the first date ``_t`` that sees it; rows that none sees are left out."""
-    d = df.crossJoin(points_of(as_of)).withColumn("_t", F.get("_points", F.size(F.filter("_points", lambda x: x < F.col(when)))))
-    return d.where(F.col("_t").isNotNull())
+    """Each row once, with the place ``_t`` of the first date that sees it; rows that none sees are left out."""
+    d = df.crossJoin(points_of(as_of)).withColumn("_t", first_point(F.col(when)))
+    return d.where(F.col(when).isNotNull() & (F.col("_t") < F.size("_points"))).drop("_points")
 
 
-def carried(df: DataFrame) -> DataFrame:
-    """Rows of ``dealt``, by now reduced, once for every date (as_of) that sees them."""
-    return df.withColumn("as_of", F.explode(F.filter("_points", lambda x: x >= F.col("_t")))).drop("_points", "_t")
+def spread(df: DataFrame, as_of: DataFrame) -> DataFrame:
+    """Rows that hold from the date at ``_t`` up to that before ``_until`` (NULL: for good), once for each of them (as_of)."""
+    d = df.crossJoin(points_of(as_of))
+    last = F.coalesce(F.col("_until"), F.size("_points")) - 1
+    d = d.where(F.col("_t") <= last).withColumn("as_of", F.explode(F.slice("_points", F.col("_t") + 1, last - F.col("_t") + 1)))
+    return d.drop("_points", "_t", "_until")
 
 
 def read_bitemporal(facts: DataFrame, as_of: DataFrame, entity: str = "ticker", last_period_only: bool = True) -> DataFrame:
     """For each as_of, entity and field: the last revision known of each period, and of those the latest
     period (or all).
 
-    Facts are dealt to the first date that sees them and reduced there to one row a group; only those are carried on."""
+    Facts are dealt to the first date that sees them and reduced there to one row a group.  A sweep over a group's dates keeps the best row so
+    far; it holds until the next date on which something was learned, and only then is it written out for the dates of that interval."""
     order = ["period_end", "observed_at", "value"]
     keys = [entity, "field"] + ([] if last_period_only else ["period_end"])
-    best = lambda d, k: d.groupBy(*k).agg(F.max_by("_row", F.struct(*[F.col(f"_row.{c}") for c in order])).alias("_row"))
-    d = dealt(facts, as_of, "observed_at").select(*keys, "_points", "_t", F.struct(*facts.columns).alias("_row"))
-    d = d.groupBy(*keys, "_t").agg(F.max_by("_row", F.struct(*[F.col(f"_row.{c}") for c in order])).alias("_row"), F.first("_points").alias("_points"))
-    return best(carried(d), ["as_of", *keys]).select("as_of", "_row.*")
+    rank = F.struct(*[F.col(f"_row.{c}") for c in order])
+    d = dealt(facts, as_of, "observed_at").select(*keys, "_t", F.struct(*facts.columns).alias("_row"))
+    d = d.groupBy(*keys, "_t").agg(F.max_by("_row", rank).alias("_row"))
+    w = Window.partitionBy(*keys).orderBy("_t")
+    best = F.max(F.struct(rank.alias("_order"), F.col("_row").alias("_best"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    d = d.withColumns({"_so_far": best, "_until": F.lead("_t").over(w)})
+    return spread(d.select("_t", "_until", "_so_far._best.*"), as_of).select("as_of", *facts.columns)
 
 
 def last_value(df: DataFrame, as_of: DataFrame, entity: str, date: str, value: str) -> DataFrame:
     """as_of, entity, value of the last date not after as_of.
 
-    One pass: rows are dealt to the first as_of that sees them, reduced there, and carried on."""
-    best = lambda d, k, *more: d.groupBy(*k).agg(F.max_by(value, date).alias(value), F.max(date).alias(date), *more)
-    d = best(dealt(df.select(entity, date, value), as_of, date), [entity, "_t"], F.first("_points").alias("_points"))
-    return best(carried(d), ["as_of", entity])
+    One pass: rows are dealt to the first as_of that sees them and reduced there; each holds until the next."""
+    d = dealt(df.select(entity, date, value), as_of, date)
+    d = d.groupBy(entity, "_t").agg(F.max_by(value, date).alias(value), F.max(date).alias(date))
+    d = d.withColumn("_until", F.lead("_t").over(Window.partitionBy(entity).orderBy("_t")))
+    return spread(d, as_of).select("as_of", entity, value, date)
 
 
 def last_rows(df: DataFrame, as_of: DataFrame, entity: str, date: str, n: int) -> DataFrame:
-    """The last n rows of each entity up to each as_of: the last n of those a date is the first to see, carried on, and of them the last n."""
-    recent = lambda d, t: d.withColumn("_n", F.row_number().over(Window.partitionBy(t, entity).orderBy(F.col(date).desc()))).where(F.col("_n") <= n).drop("_n")
-    return recent(carried(recent(dealt(df, as_of, date), "_t")), "as_of")
+    """The last n rows of each entity up to each as_of: a row is among them from the first date that sees it until the one that sees the n-th after it."""
+    w = Window.partitionBy(entity).orderBy(F.col(date).asc(), "_t")
+    return spread(dealt(df, as_of, date).withColumn("_until", F.lead("_t", n).over(w)), as_of)
 
 
 def average_of_last(df: DataFrame, as_of: DataFrame, entity: str, date: str, value: str, n: int) -> DataFrame:
-    """Mean of the last n rows up to each as_of."""
-    d = last_rows(df.select(entity, date, value), as_of, entity, date, n)
-    return d.groupBy("as_of", entity).agg(F.avg(value).alias(f"avg_{value}"), F.count(F.lit(1)).alias("n_rows"))
+    """Mean of the last n rows up to each as_of: taken at each row, of which the last that a date sees holds until the next such."""
+    d = dealt(df.select(entity, date, value), as_of, date)
+    w = Window.partitionBy(entity).orderBy(date)
+    frame = w.rowsBetween(-(n - 1), 0)
+    d = d.withColumns({f"avg_{value}": F.avg(value).over(frame), "n_rows": F.count(F.lit(1)).over(frame), "_until": F.lead("_t").over(w)})
+    d = d.where(F.col("_until").isNull() | (F.col("_until") > F.col("_t")))
+    return spread(d, as_of).select("as_of", entity, f"avg_{value}", "n_rows")
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, values: list[str], strict: bool = False, within_days: int | None = None) -> DataFrame:
@@ -85,19 +112,25 @@ def latest_within(df: DataFrame, entity: str, group: str, date: str, value: str,
 
     A value counts from its date until the entity's next one or until ``days`` have passed: it is added on the one day and taken
     away on the other, and running sums over the days of a group give all statistics; no pairs are made.  Of several rows of an
-    entity and day the largest value counts."""
+    entity and day the largest value counts.  NaN and infinities are counted apart: they are in the statistics of the days that see them, no others."""
     one = df.where(F.col(value).isNotNull()).groupBy(entity, group, date).agg(F.max(value).cast("double").alias("_v"))
     gone = F.least(F.lead(date).over(Window.partitionBy(group, entity).orderBy(date)), F.date_add(date, days + 1))
     # values less their group's mean: sums of squares of small numbers
-    centre = one.groupBy(group).agg(F.avg("_v").alias("_c"))
-    d = one.withColumn("_gone", gone).join(F.broadcast(centre), group).withColumn("_x", F.col("_v") - F.col("_c"))
-    moves = d.select(group, F.inline(F.array(F.struct(F.col(date).alias("_d"), F.lit(1).alias("_k"), F.col("_x").alias("_s"), (F.col("_x") * F.col("_x")).alias("_q")), F.struct(F.col("_gone").alias("_d"), F.lit(-1).alias("_k"), (-F.col("_x")).alias("_s"), (-F.col("_x") * F.col("_x")).alias("_q")))))
-    byday = moves.groupBy(group, "_d").agg(F.sum("_k").alias("_k"), F.sum("_s").alias("_s"), F.sum("_q").alias("_q"))
+    inf, nan = F.lit(float("inf")), F.lit(float("nan"))
+    finite = ~F.isnan("_v") & (F.abs("_v") < inf)
+    centre = one.groupBy(group).agg(F.coalesce(F.avg(F.when(finite, F.col("_v"))), F.lit(0.0)).alias("_c"))
+    d = one.withColumn("_gone", gone).join(centre, group).withColumn("_x", F.when(finite, F.col("_v") - F.col("_c")).otherwise(0.0))
+    parts = {"_k": F.lit(1), "_nan": F.isnan("_v").cast("int"), "_up": (F.col("_v") == inf).cast("int"), "_down": (F.col("_v") == -inf).cast("int"), "_s": F.col("_x"), "_q": F.col("_x") * F.col("_x")}
+    move = lambda day, sign: F.struct(F.col(day).alias("_d"), *[(c * sign).alias(n) for n, c in parts.items()])
+    moves = d.select(group, F.inline(F.array(move(date, 1), move("_gone", -1))))
+    byday = moves.groupBy(group, "_d").agg(*[F.sum(n).alias(n) for n in parts])
     w = Window.partitionBy(group).orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)  # a row a day
-    run = byday.select(group, F.col("_d").alias(date), F.sum("_k").over(w).alias("n"), F.sum("_s").over(w).alias("_s"), F.sum("_q").over(w).alias("_q"))
+    run = byday.select(group, F.col("_d").alias(date), *[F.sum(n).over(w).alias(n) for n in parts]).withColumnRenamed("_k", "n")
     var = F.greatest(F.col("_q") - F.col("_s") * F.col("_s") / F.col("n"), F.lit(0.0)) / (F.col("n") - 1)
-    run = run.where("n > 0").join(F.broadcast(centre), group)
-    return run.select(group, date, "n", (F.col("_s") / F.col("n") + F.col("_c")).alias("mean"), F.when(F.col("n") > 1, F.sqrt(var)).alias("std"))
+    run = run.where("n > 0").join(centre, group)
+    odd = F.col("_nan") + F.col("_up") + F.col("_down") > 0
+    mean = F.when((F.col("_nan") > 0) | ((F.col("_up") > 0) & (F.col("_down") > 0)), nan).when(F.col("_up") > 0, inf).when(F.col("_down") > 0, -inf).otherwise(F.col("_s") / F.col("n") + F.col("_c"))
+    return run.select(group, date, "n", mean.alias("mean"), F.when(F.col("n") > 1, F.when(odd, nan).otherwise(F.sqrt(var))).alias("std"))
 
 
 def within_interval(dim: DataFrame, as_of: DataFrame) -> DataFrame:

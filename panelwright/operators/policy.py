@@ -72,7 +72,8 @@ def policy_series(scored: DataFrame, k: int, by: list[str] = ["variant"], bps: f
     since = Window.partitionBy(*by, "_run").orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
     # books are 2k names: bounded arrays
     d = d.withColumns({"_pl": F.last("_l", ignorenulls=True).over(since), "_ps": F.last("_s", ignorenulls=True).over(since)})
-    kept = F.size(F.array_intersect("_l", F.coalesce("_pl", F.array().cast("array<long>")))) + F.size(F.array_intersect("_s", F.coalesce("_ps", F.array().cast("array<long>"))))
+    none = F.slice(F.coalesce("_l", "_pl", "_ps"), 1, 0)  # an empty book, whatever the names' type
+    kept = F.size(F.array_intersect("_l", F.coalesce("_pl", none))) + F.size(F.array_intersect("_s", F.coalesce("_ps", none)))
     d = d.withColumn("turnover", F.when(has, 1 - kept / (2.0 * k)).otherwise(0.0)).withColumn("flat", ~has)
     d = d.withColumn("cost", 2 * bps / 10000 * F.col("turnover")).withColumn("ls_return", F.when(has, F.col("long_return") - F.col("short_return")).otherwise(0.0))
     return d.withColumn("ls_return_net", F.col("ls_return") - F.col("cost")).select(*by, date, "flat", "turnover", "cost", "ls_return", "ls_return_net")
@@ -83,8 +84,9 @@ def calibrate(rows: DataFrame, grid: DataFrame, k: int, until: str = "2024-01-01
     each parameter's Sharpe and the best point."""
     dev = rows.where(F.col("as_of_date") < F.lit(until).cast("date")).crossJoin(F.broadcast(grid))
     point = ["lam", "cap_percentile", "cap_weight"]
-    w = Window.partitionBy("as_of_date", *point)
-    rank = F.percent_rank().over(w.orderBy("ehat_raw"))
+    # a share of ranks over the percentile is a value over its interpolated quantile, the rule that ``cap_uncertain`` applies
+    known = F.col("ehat_raw").isNotNull()
+    rank = F.when(known, F.percent_rank().over(Window.partitionBy("as_of_date", *point, known).orderBy("ehat_raw")))
     d = dev.withColumn("_p", rank).withColumn("_capped", F.col("score") * F.when(F.col("_p") > F.col("cap_percentile"), F.col("cap_weight")).otherwise(1.0))
     d = d.withColumns({"long_score": F.col("_capped") + F.col("lam") * F.col("g_pred"), "short_score": F.col("_capped") - F.col("lam") * F.col("g_pred"), "active": trusted("G_exposure")})
     m = metrics(policy_series(d, k, point, bps), point, least=least).select(*point, "sharpe", "n")

@@ -7,6 +7,8 @@ simple returns, today included).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,14 +53,49 @@ def vol_of_vol(vol: str, w, variant: str = "store") -> Column:
     return F.when(F.count(vol).over(frame) == 60, F.stddev_samp(vol).over(frame))
 
 
-def window_drawdown(x: str, n: int, w, variant: str = "store") -> Column:
-    """The worst fall from a high inside the window (the high starts anew with each window)."""
+def in_blocks(df: DataFrame, entity: list[str], date: str, n: int) -> tuple[DataFrame, Window, Window, Callable[[str], Column]]:
+    """Rows of each series in blocks of n, for windows of n rows as the end of one block and the beginning of the next.
+
+    Returns the rows (numbered by _i, in blocks _b), the window that grows with a block's rows, the one that grows against them, and a function that
+    brings the latter's column from a window's first row, NULL where the window is a whole block.  Each row costs the same whatever n is, and a
+    value counts in no window but those that hold it."""
+    d = df.withColumn("_i", F.row_number().over(Window.partitionBy(*entity).orderBy(date)))
+    d = d.withColumn("_b", F.floor((F.col("_i") - 1) / n))
+    block = Window.partitionBy(*entity, "_b")
+    grow = lambda o: block.orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
+    series = Window.partitionBy(*entity).orderBy("_b", "_i")
+    tail = lambda c: F.when(F.pmod(F.col("_i") - 1, F.lit(n)) < n - 1, F.lag(c, n - 1).over(series)) if n > 1 else F.lit(None)
+    return d, grow("_i"), grow(F.col("_i").desc()), tail
+
+
+def moving_sums(df: DataFrame, entity: list[str], date: str, n: int, terms: dict[str, Column]) -> DataFrame:
+    """Each term's sum over the last n rows (fewer at a series' start), missing ones as 0."""
+    d, up, down, tail = in_blocks(df, entity, date, n)
+    d = d.withColumns({f"_t_{c}": t for c, t in terms.items()})
+    d = d.withColumns({f"_d_{c}": F.sum(f"_t_{c}").over(down) for c in terms}).withColumns({f"_u_{c}": F.sum(f"_t_{c}").over(up) for c in terms})
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    d = d.withColumns({c: zero(F.col(f"_u_{c}")) + zero(tail(f"_d_{c}")) for c in terms})
+    return d.drop("_i", "_b", *[f"_{k}_{c}" for c in terms for k in "tdu"])
+
+
+def window_drawdown(df: DataFrame, x: str, n: int, entity: list[str], date: str, variant: str = "store", name: str = "drawdown") -> DataFrame:
+    """The worst fall from a high inside the window (the high starts anew with each window); NULL unless the window is full and
+    without gaps; for positive values.
+
+    (high, low, worst fall) of two neighbouring stretches make that of both: the worst fall is in the one, in the other, or from the first's high to
+    the second's low.  So windows are put together from two stretches of blocks, and none is listed."""
     rows = n + 1 if variant == "store" else n
-    frame = over_rows(w, rows)
-    a = F.collect_list(x).over(frame)
-    start = F.struct(F.lit(float("-inf")).alias("top"), F.lit(0.0).alias("worst"))
-    step = lambda t, v: F.struct(F.greatest(t.top, v).alias("top"), F.least(t.worst, F.try_divide(v, F.greatest(t.top, v)) - 1).alias("worst"))
-    return F.when(F.count(x).over(frame) == rows, F.aggregate(a, start, step, lambda t: t.worst))
+    d, up, down, tail = in_blocks(df, entity, date, rows)
+    known = F.col(x).isNotNull().cast("int")
+    fall = lambda low, high: F.try_divide(low, high) - 1
+    d = d.withColumns({"_h2": F.max(x).over(down), "_l2": F.min(x).over(down), "_k2": F.sum(known).over(down)})
+    d = d.withColumn("_w2", F.min(fall(F.col("_l2"), F.col(x))).over(down))
+    d = d.withColumns({"_h1": F.max(x).over(up), "_l1": F.min(x).over(up), "_k1": F.sum(known).over(up)})
+    d = d.withColumn("_w1", F.min(fall(F.col(x), F.col("_h1"))).over(up))
+    d = d.withColumns({f"_{c}": tail(f"_{c}2") for c in "hwk"})
+    worst = F.least("_w1", "_w", fall(F.col("_l1"), F.col("_h")))
+    d = d.withColumn(name, F.when(F.col("_k1") + F.coalesce("_k", F.lit(0)) == rows, worst))
+    return d.drop("_i", "_b", "_h", "_w", "_k", *[f"_{c}{k}" for c in "hlkw" for k in "12"])
 
 
 def from_high(x: str, n: int, w) -> Column:
@@ -71,19 +108,16 @@ def money_volume(close: str, volume: str, n: int, w, variant: str = "store") ->
     return F.when(F.count(money).over(frame) == n, F.avg(money).over(frame))
 
 
-def moving_sum(c: Column, n: int, w) -> Column:
-    """Sum of the last n rows as the difference of two running sums: both frames only grow, so the work does not depend on n."""
-    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -n)
-    return F.coalesce(F.sum(c).over(upto), F.lit(0)) - F.coalesce(F.sum(c).over(before), F.lit(0))
-
-
-def beta(ret: str, market_ret: str, n: int, w, least: int | None = None) -> Column:
-    """Covariance with the benchmark over its variance; both joined by date before."""
+def beta(df: DataFrame, ret: str, market_ret: str, n: int, entity: list[str], date: str, least: int | None = None, name: str = "beta") -> DataFrame:
+    """Covariance with the benchmark over its variance in the last n rows; both joined by date before.  NaN and infinite returns are in the
+    windows that hold them, and in no later one."""
     both = F.col(ret).isNotNull() & F.col(market_ret).isNotNull()
     a, b = F.when(both, F.col(ret)), F.when(both, F.col(market_ret))
-    k, sa, sb = moving_sum(both.cast("long"), n, w), moving_sum(a, n, w), moving_sum(b, n, w)
-    var = moving_sum(b * b, n, w) - sb * sb / k
-    return F.when((k >= (least or n)) & (k > 1) & (var > 1e-15), (moving_sum(a * b, n, w) - sa * sb / k) / var)
+    d = moving_sums(df, entity, date, n, {"_k": both.cast("long"), "_a": a, "_m": b, "_mm": b * b, "_am": a * b})
+    k, sa, sb = F.col("_k"), F.col("_a"), F.col("_m")
+    var, cov = F.col("_mm") - sb * sb / k, F.col("_am") - sa * sb / k
+    found = F.when((k >= (least or n)) & (k > 1), F.when(F.isnan(var) | F.isnan(cov), F.lit(float("nan"))).when(var > 1e-15, cov / var))
+    return d.withColumn(name, found).drop("_k", "_a", "_m", "_mm", "_am")
 
 
 def vol_adjusted_volume(adv: str, vol: str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import avg_rank, safe_corr, spearman
+from . import order
 from .cross import neutralize
 
 
@@ -18,17 +19,11 @@ def pooled_ic(df: DataFrame, x: str, y: str, least: int = 30) -> DataFrame:
     return d.agg(F.count(F.lit(1)).alias("n"), safe_corr("_rx", "_ry").alias("rho")).withColumn("rho", F.when(F.col("n") >= least, F.col("rho")))
 
 
-def global_ranks(df: DataFrame, x: str, name: str, bins: int = 256) -> DataFrame:
-    """x, name: average rank over the whole table, by ranges of about equally many distinct values (however they are spread): counts
-    are added up over the ranges, and inside a range over its values."""
-    values = df.groupBy(x).agg(F.count(F.lit(1)).alias("_c"))
-    edges = df.agg(F.array_distinct(F.percentile_approx(x, [i / bins for i in range(1, bins)], 20 * bins)).alias("_edges"))
-    v = values.crossJoin(F.broadcast(edges)).withColumn("_b", F.size(F.filter("_edges", lambda e: e < F.col(x)))).drop("_edges")  # one row
-    totals = v.groupBy("_b").agg(F.sum("_c").alias("_n"))
-    totals = totals.withColumn("_before", F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).drop("_n")
-    upto = Window.partitionBy("_b").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    v = v.join(F.broadcast(totals), "_b").withColumn(name, F.col("_before") + F.sum("_c").over(upto) - F.col("_c") + (F.col("_c") + 1) / 2.0)
-    return v.select(x, name)
+def global_ranks(df: DataFrame, x: str, name: str) -> DataFrame:
+    """x, name: average rank over the whole table, a row for each value."""
+    d = order.offsets(order.counted(df, x, []), [])
+    kind = df.schema[x].dataType
+    return d.select(F.col("_x").cast(kind).alias(x), (F.col("_before_c") + (F.col("_c") + 1) / 2.0).alias(name))
 
 
 def correlation_pairs(df: DataFrame, features: list[str], method: str = "spearman", keys: list[str] | None = None) -> DataFrame:
@@ -115,7 +110,7 @@ def rolling_pooled_correlation(df: DataFrame, x: str, y: str, date: str, dates:
 def pair_report(df: DataFrame, pairs: list[tuple[str, str]], by: list[str]) -> DataFrame:
     """Per pair and group: rank correlation, n, and the t statistic of the correlation; all pairs from one scan."""
     each = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("_x"), F.col(b).cast("double").alias("_y")) for a, b in pairs])
-    r = spearman(df.select(*by, F.inline(each)), "_x", "_y", ["a", "b", *by], "rho")
+    r = order.spearman(df.select(*by, F.inline(each)), "_x", "_y", ["a", "b", *by], "rho")
     return r.withColumn("t", F.try_divide(F.col("rho") * F.sqrt(F.col("n") - 2), F.sqrt(1 - F.col("rho") * F.col("rho"))))
 
 
@@ -139,7 +134,7 @@ def ols_residuals(df: DataFrame, y: str, x: list[str], keys: list[str], name: st
 def partial_rank_correlation(df: DataFrame, x: str, y: str, given: list[str], keys: list[str]) -> DataFrame:
     d = ols_residuals(df, x, given, keys, "_x")
     d = ols_residuals(d, y, given, keys, "_yy")
-    return spearman(d, "_x", "_yy", keys, "partial_rho")
+    return order.spearman(d, "_x", "_yy", keys, "partial_rho")
 
 
 def residual_iqr(df: DataFrame, y: str, sector: str, factor: str, keys: list[str]) -> DataFrame:
@@ -150,8 +145,8 @@ def residual_iqr(df: DataFrame, y: str, sector: str, factor: str, keys: list[str
 def shape(df: DataFrame, x: str, by: list[str]) -> DataFrame:
     """n, mean, sample skewness, quantiles, shares of zeros and positives."""
     n = F.count(x).cast("double")
-    g = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.when(F.stddev_pop(x) > 1e-15, F.skewness(x) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0))).alias("skew"), *[F.percentile(x, F.lit(p)).alias(f"p{int(p * 100):02d}") for p in (0.1, 0.5, 0.9)], F.avg((F.col(x) == 0).cast("double")).alias("zero_share"), F.avg((F.col(x) > 0).cast("double")).alias("positive_share"))
-    return g
+    g = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.when(F.stddev_pop(x) > 1e-15, F.skewness(x) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0))).alias("skew"), F.avg((F.col(x) == 0).cast("double")).alias("zero_share"), F.avg((F.col(x) > 0).cast("double")).alias("positive_share"))
+    return order.joined(g, order.quantiles(df, x, {"p10": 0.1, "p50": 0.5, "p90": 0.9}, by), by, "left") if by else g.crossJoin(order.quantiles(df, x, {"p10": 0.1, "p50": 0.5, "p90": 0.9}))
 
 
 def importance_drift(early: DataFrame, late: DataFrame, top: int = 3) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import auroc, bucket_by_edges, median, pct_rank, spearman
+from ..functions.ranks import bucket_by_edges, pct_rank
 from ..functions.scalars import regime_code
+from . import order
 from .evaluate import rank_ic
 from .stats import partial_rank_correlation, shape
 
@@ -58,14 +59,18 @@ def named_dates(g: DataFrame, rows: DataFrame, by: list[str], date: str) -> Data
 def conditional_range(train: DataFrame, rows: DataFrame, features: list[str], label: str, cells: int = 4, least: int = 30) -> DataFrame:
     """Interquartile range of the label in the row's cell of feature quantiles, fitted on ``train``; cells of fewer than
     ``least`` rows fall back to the first feature's cell, then to all."""
-    cuts = train.agg(*[F.percentile(f, F.array(*[F.lit(i / cells) for i in range(1, cells)])).alias(f"_c_{f}") for f in features])
+    cuts = None
+    for f in features:
+        q = order.quantiles(train, f, {f"_{i}": i / cells for i in range(1, cells)}).select(F.array(*[f"_{i}" for i in range(1, cells)]).alias(f"_c_{f}"))
+        cuts = q if cuts is None else cuts.crossJoin(F.broadcast(q))  # one row
     cell = lambda f: F.size(F.filter(F.col(f"_c_{f}"), lambda e: e < F.col(f)))
     mark = lambda df: df.crossJoin(F.broadcast(cuts)).withColumns({f"_b_{f}": F.coalesce(cell(f), F.lit(-1)) for f in features}).drop(*[f"_c_{f}" for f in features])
     t, every = mark(train), [f"_b_{f}" for f in features]
-    iqr = F.percentile(label, F.lit(0.75)) - F.percentile(label, F.lit(0.25))
-    fine = t.groupBy(*every).agg(iqr.alias("_v2"), F.count(F.lit(1)).alias("_n2"))
-    coarse = t.groupBy(every[0]).agg(iqr.alias("_v1"), F.count(F.lit(1)).alias("_n1"))
-    whole = t.agg(iqr.alias("_v0"))
+    def spread(keys: list[str], name: str, count: str) -> DataFrame:
+        q = order.quantiles(t, label, {"_hi": 0.75, "_lo": 0.25}, keys).select(*keys, (F.col("_hi") - F.col("_lo")).alias(name))
+        return q.join(t.groupBy(*keys).agg(F.count(F.lit(1)).alias(count)), keys) if keys else q
+
+    fine, coarse, whole = spread(every, "_v2", "_n2"), spread(every[:1], "_v1", "_n1"), spread([], "_v0", "")
     d = mark(rows).join(fine, every, "left").join(F.broadcast(coarse), every[0], "left").crossJoin(F.broadcast(whole))  # ``cells`` rows, and one
     a = F.when(F.col("_n2") >= least, F.col("_v2")).when(F.col("_n1") >= least, F.col("_v1")).otherwise(F.col("_v0"))
     return d.withColumn("a_value", a).drop(*every, "_v2", "_n2", "_v1", "_n1", "_v0")
@@ -78,9 +83,10 @@ def pick_tier(tiers: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 def alignment(rows: DataFrame, a: str, loss: str, by: list[str], least: float = 0.1) -> DataFrame:
     """Does an aleatoric estimate go with losses: correlation, quintile medians' span, verdict."""
-    rho = spearman(rows, a, loss, by, "rho")
-    q = bucket_by_edges(rows, a, by, 5).groupBy(*by).agg(F.percentile(F.when(F.col("bucket") == 0, F.col(loss)), F.lit(0.5)).alias("low"), F.percentile(F.when(F.col("bucket") == 4, F.col(loss)), F.lit(0.5)).alias("high"))
-    return rho.join(q, by).withColumn("aligned", (F.col("rho") >= least) & (F.col("high") > F.col("low")))
+    rho = order.spearman(rows, a, loss, by, "rho")
+    d = order.bucket_by_edges(rows, a, by, 5)
+    low, high = (order.quantiles(d.where(F.col("bucket") == b), loss, {name: 0.5}, by) for b, name in ((0, "low"), (4, "high")))
+    return rho.join(low, by, "left").join(high, by, "left").withColumn("aligned", (F.col("rho") >= least) & (F.col("high") > F.col("low")))
 
 
 def epistemic(g: DataFrame, a: DataFrame, keys: list[str] = KEYS, final_from: str = "2024-01-01") -> DataFrame:
@@ -94,19 +100,20 @@ def epistemic_scaled(g: DataFrame, a: DataFrame, keys: list[str] = KEYS) -> Data
     """With a brought to the scale of g by the ratio of their medians over all rows."""
     on = keys + (["ticker"] if "ticker" in a.columns else [])
     d = g.join(a, on)
-    ratio = d.agg(F.try_divide(median("g_pred"), median("a_value")).alias("_ratio"))
+    middle = order.quantiles(d, "g_pred", {"_g": 0.5}).crossJoin(order.quantiles(d, "a_value", {"_a": 0.5}))  # one row each
+    ratio = middle.select(F.try_divide("_g", "_a").alias("_ratio"))
     return d.crossJoin(F.broadcast(ratio)).withColumn("ehat_raw", F.greatest(F.col("g_pred") - F.col("a_value") * F.col("_ratio"), F.lit(0.0))).drop("_ratio")
 
 
 def epistemic_filled(g: DataFrame, a: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Dates without an a get the median of all."""
-    m = a.agg(median("a_value").alias("_m"))
+    m = order.quantiles(a, "a_value", {"_m": 0.5})
     d = g.join(a, keys, "left").crossJoin(F.broadcast(m)).withColumn("a_value", F.coalesce("a_value", "_m")).drop("_m")
     return d.withColumn("ehat_raw", F.greatest(F.col("g_pred") - F.col("a_value"), F.lit(0.0)))
 
 
 def ehat_diagnostics(rows: DataFrame, by: list[str], loss: str = "rank_loss") -> DataFrame:
-    return shape(rows, "ehat_raw", by).join(spearman(rows, "ehat_raw", loss, by, "rho_loss").drop("n"), by)
+    return shape(rows, "ehat_raw", by).join(order.spearman(rows, "ehat_raw", loss, by, "rho_loss").drop("n"), by)
 
 
 def ehat_checks(diagnostics: DataFrame, most_zero: float = 0.9, least_rho: float = 0.0) -> DataFrame:
@@ -128,15 +135,15 @@ def selective_ic(rows: DataFrame, by: list[str], buckets: int = 3) -> DataFrame:
 
 def failure_detection(rows: DataFrame, by: list[str], risk: str = "ehat_raw", p: float = 0.8) -> DataFrame:
     """AUROC for losses over a group's p-quantile."""
-    cut = rows.groupBy(*by).agg(F.percentile("rank_loss", F.lit(p)).alias("_cut"))
+    cut = order.quantiles(rows, "rank_loss", {"_cut": p}, by)
     d = rows.join(cut, by).withColumn("_bad", (F.col("rank_loss") > F.col("_cut")).cast("int"))
-    return auroc(d, "_bad", risk, by)
+    return order.auroc(d, "_bad", risk, by)
 
 
 def predictor_comparison(rows: DataFrame, predictors: list[str], by: list[str], loss: str = "rank_loss") -> DataFrame:
     """Rank correlation with the losses of several uncertainty predictors, one row each."""
     long = rows.unpivot([*by, loss], predictors, "predictor", "value")
-    return spearman(long, "value", loss, [*by, "predictor"], "rho")
+    return order.spearman(long, "value", loss, [*by, "predictor"], "rho")
 
 
 def importance_shares(importances: DataFrame, categories: DataFrame) -> DataFrame:
@@ -147,7 +154,7 @@ def importance_shares(importances: DataFrame, categories: DataFrame) -> DataFram
 def stability(rows: DataFrame, conditions: dict[str, Column], by: list[str]) -> DataFrame:
     """rho(ehat, loss) inside each condition."""
     flags = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in conditions.items()]))
-    return spearman(rows.withColumn("condition", F.explode(flags)), "ehat_raw", "rank_loss", ["condition", *by], "rho")
+    return order.spearman(rows.withColumn("condition", F.explode(flags)), "ehat_raw", "rank_loss", ["condition", *by], "rho")
 
 
 def monthly_regime_table(daily: DataFrame, values: list[str], date: str = "as_of_date") -> DataFrame:
@@ -195,7 +202,7 @@ def coverage(intervals: DataFrame, by: list[str], target: float = 0.9) -> DataFr
 
 def conditional_coverage(intervals: DataFrame, by: list[str], on: str = "ehat_raw", buckets: int = 3, target: float = 0.9) -> DataFrame:
     """Coverage by bucket; spread and mean absolute gap over the buckets of a group."""
-    d = bucket_by_edges(intervals, on, by, buckets).where("bucket IS NOT NULL")
+    d = order.bucket_by_edges(intervals, on, by, buckets).where("bucket IS NOT NULL")
     c = coverage(d, [*by, "bucket"], target)
     w = Window.partitionBy(*by)
     return c.withColumns({"spread": F.max("coverage").over(w) - F.min("coverage").over(w), "calibration_error": F.sum(F.abs("gap") * F.col("n")).over(w) / F.sum("n").over(w)})

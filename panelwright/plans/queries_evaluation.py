@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranks as R
 from ..functions import scalars as S
-from ..operators import evaluate, events, health, labels, learn, pit, policy, portfolio, series, stats, uncertainty, universe
+from ..operators import evaluate, events, health, labels, learn, pit, policy, portfolio, series, stats, uncertainty, universe, order
 from .queries_models import GRID, GROW, PBOOK, PDAY, PROW, PSER, PVAR, fixed_gate
 from .registry import Views, ar, corr, pr, query, r, rounded
 from .sqlviews import sql
@@ -161,13 +161,13 @@ def pooled_rank_ic(v):
 @query("auroc_of_scores", sql("SELECT horizon, round((sum(rk) FILTER (y = 1) - p * (p + 1) / 2.0) / (p * q), 6) AS auroc FROM (SELECT horizon, y, rank() OVER (PARTITION BY horizon ORDER BY score) + (count(*) OVER (PARTITION BY horizon, score) - 1) / 2.0 AS rk, sum(y) OVER (PARTITION BY horizon) AS p, sum(1 - y) OVER (PARTITION BY horizon) AS q FROM (SELECT horizon, score, (excess_return > 0)::INT AS y FROM ev)) GROUP BY horizon, p, q", "ev"))
 def auroc_of_scores(v):
     d = v.ev.withColumn("y", (F.col("excess_return") > 0).cast("int"))
-    return rounded(R.auroc(d, "y", "score", ["horizon"]).select("horizon", "auroc"))
+    return rounded(order.auroc(d, "y", "score", ["horizon"]).select("horizon", "auroc"))
 
 
 @query("average_precision", sql("SELECT horizon, round(sum(p * tp / (allp * total)), 6) AS auprc FROM (SELECT horizon, p, sum(p) OVER w AS tp, sum(n) OVER w AS allp, sum(p) OVER (PARTITION BY horizon) AS total FROM (SELECT horizon, score, sum((excess_return > 0)::INT) AS p, count(*) AS n FROM ev GROUP BY 1, 2) WINDOW w AS (PARTITION BY horizon ORDER BY score DESC ROWS UNBOUNDED PRECEDING)) GROUP BY 1", "ev"))
 def average_precision(v):
     d = v.ev.withColumn("y", (F.col("excess_return") > 0).cast("int"))
-    return rounded(R.average_precision(d, "y", "score", ["horizon"]))
+    return rounded(order.average_precision(d, "y", "score", ["horizon"]))
 
 
 @query("shape_statistics", sql("SELECT horizon, count(*) AS n, round(avg(ehat_raw), 6) AS mean, round(skewness(ehat_raw), 6) AS skew, round(quantile_cont(ehat_raw, 0.1), 6) AS p10, round(quantile_cont(ehat_raw, 0.5), 6) AS p50, round(quantile_cont(ehat_raw, 0.9), 6) AS p90, round(avg((ehat_raw = 0)::INT), 6) AS zero_share, round(avg((ehat_raw > 0)::INT), 6) AS positive_share FROM ls GROUP BY 1", "ls"))
@@ -194,7 +194,7 @@ def epistemic_part(v):
 
 @query("loss_correlation", sql(f"SELECT horizon, round({corr('x', 'y')}, 6) AS rho, count(*) AS n FROM (SELECT *, {ar('ehat_raw', 'horizon')} AS x, {ar('rank_loss', 'horizon')} AS y FROM ls) GROUP BY 1", "ls"))
 def loss_correlation(v):
-    return rounded(R.spearman(v.ls, "ehat_raw", "rank_loss", ["horizon"]))
+    return rounded(order.spearman(v.ls, "ehat_raw", "rank_loss", ["horizon"]))
 
 
 IDX = "SELECT horizon, as_of_date, row_number() OVER (PARTITION BY horizon ORDER BY as_of_date) AS i FROM (SELECT DISTINCT horizon, as_of_date FROM ls)"

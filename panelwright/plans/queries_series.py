@@ -81,8 +81,8 @@ def vol_of_vol(v):
     ),
 )
 def window_drawdown(v):
-    w = R.ts("ticker", "date")
-    return rounded(v.bars.select("ticker", "date", series.window_drawdown("close", 60, w).alias("dd")).where("dd IS NOT NULL"))
+    d = series.window_drawdown(v.bars, "close", 60, ["ticker"], "date", name="dd")
+    return rounded(d.select("ticker", "date", "dd").where("dd IS NOT NULL"))
 
 
 @query("distance_and_money_volume", sql("SELECT ticker, date, round(close / max(close) OVER (PARTITION BY ticker ORDER BY date ROWS 251 PRECEDING) - 1, 6) AS from_high, CASE WHEN count(*) OVER b = 20 THEN round(avg(close * volume) OVER b, 4) END AS adv_store, CASE WHEN count(*) OVER a = 20 THEN round(avg(close * volume) OVER a, 4) END AS adv_online FROM bars WINDOW b AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING)", "bars"))
@@ -96,7 +96,7 @@ def beta_252(v):
     w = R.ts("ticker", "date")
     m = v.market.select("date", F.col("ret").alias("mret"))
     d = v.bars.join(F.broadcast(m), "date").withColumn("ret", series.simple_return("close", w)).where("ret IS NOT NULL AND mret IS NOT NULL")
-    return rounded(d.select("ticker", "date", series.beta("ret", "mret", 252, w).alias("beta")))
+    return rounded(series.beta(d, "ret", "mret", 252, ["ticker"], "date").select("ticker", "date", "beta"))
 
 
 @query(

@@ -63,7 +63,7 @@ def test_normal_cdf(spark):
 
 def test_window_drawdown_starts_anew(spark):
     d = spark.createDataFrame([(1, i, x) for i, x in enumerate([10.0, 5.0, 6.0, 3.0])], "e int, d int, x double")
-    got = rows(d.withColumn("dd", series.window_drawdown("x", 2, R.ts("e", "d"), "online")), "d", "dd")
+    got = rows(series.window_drawdown(d, "x", 2, ["e"], "d", "online", "dd"), "d", "dd")
     assert got == [(0, None), (1, -0.5), (2, 0.0), (3, -0.5)]
 
 
