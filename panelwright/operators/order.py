@@ -8,7 +8,7 @@ rows, however many a key has and however its values lie; ties are one row.  Resu
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,6 +127,64 @@ def quantiles(df: DataFrame, x: str, probabilities: dict[str, float], keys: Sequ
     return g.select(*keys, *[exact(n).alias(n) for n in probabilities])
 
 
+def date_index(rows: DataFrame, by: Sequence[str], date: str) -> DataFrame:
+    """by, date, _i: the dates of a group numbered from 1; a row a date."""
+    return rows.select(*by, date).distinct().withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(date)))
+
+
+def nodes_of_window(first: Column, end: Column, levels: int) -> Column:
+    """The dyadic stretches (level, node) that make up the dates from ``first`` up to before ``end``: two a level, and those of the top."""
+    found = []
+    for k in range(levels + 1):
+        a, e = F.ceil(first / float(1 << k)).cast("int"), F.floor(end / float(1 << k)).cast("int")
+        level = F.lit(k).alias("level")
+        if k < levels:
+            found.append(F.array_compact(F.array(F.when((a < e) & (a % 2 == 1), F.struct(level, a.alias("node"))), F.when((a < e) & (e % 2 == 1), F.struct(level, (e - 1).alias("node"))))))
+        else:
+            found.append(F.when(a < e, F.transform(F.sequence(a, F.greatest(e - 1, a)), lambda n: F.struct(F.lit(levels).alias("level"), n.alias("node")))).otherwise(F.array().cast("array<struct<level:int,node:int>>")))
+    return F.flatten(F.array(*found))
+
+
+def sliding(rows: DataFrame, value: str, places: dict[str, Callable[[Column], Column]], dates: int, by: Sequence[str], date: str) -> DataFrame:
+    """by, date, the named values, n_values, n_dates: order statistics of all values of the ``dates`` dates before each date.
+
+    ``places``: from the number of values n to a place counted from 0.  A value is counted in the dyadic stretches of dates that hold its own
+    (log2 of ``dates`` of them), and a window is put together from two stretches a level.  The place is found by counts of cells of the values'
+    ordered bits: of the first 16 bits, then inside the cells that windows named, of the first 32, then among the values there.  No row is copied
+    to the windows that see it."""
+    levels = max(0, dates.bit_length() - 2)
+    x = F.col(value).cast("double")
+    counts = rows.groupBy(*by, date, F.when(x.isNotNull(), ordered_bits(x)).alias("_o")).agg(F.min(x).alias("_x"), F.count(F.lit(1)).alias("_c"))
+    counts = scratch.stored(counts, "by-date")
+    index = scratch.stored(date_index(counts, by, date), "dates")
+    own = joined(counts.where(F.col("_o").isNotNull()), index, [*by, date])
+    up = F.explode(F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.struct(k.alias("level"), F.floor(F.col("_i") / F.pow(F.lit(2.0), k)).cast("int").alias("node"))))
+    in_nodes = lambda x: x.withColumn("_n", up).select("*", "_n.level", "_n.node").drop("_n", "_i")
+    windows = index.select(*by, date, F.col("_i").alias("_t")).withColumn("_w", F.explode(nodes_of_window(F.greatest(F.col("_t") - dates, F.lit(1)), F.col("_t"), levels)))
+    windows = scratch.stored(windows.select(*by, "_t", "_w.level", "_w.node"), "windows")
+    totals = in_nodes(own.groupBy(*by, "_i").agg(F.sum("_c").alias("_c"))).groupBy(*by, "level", "node").agg(F.sum("_c").alias("n_values"), F.count(F.lit(1)).alias("n_dates"))
+    sizes = scratch.stored(joined(windows, totals, [*by, "level", "node"]).groupBy(*by, "_t").agg(F.sum("n_values").alias("n_values"), F.sum("n_dates").alias("n_dates")), "sizes")
+    each = F.array(*[F.struct(F.lit(n).alias("name"), f(F.col("n_values")).cast("long").alias("place")) for n, f in places.items()])
+    sought = sizes.select(*by, "_t", F.inline(each))
+    here: list[str] = []  # the cell that the last pass found
+    for shift in (48, 32, 0):
+        cells = own.withColumn("_cell", F.shiftright("_o", shift) if shift else F.col("_o"))
+        if here:
+            cells = cells.withColumn("_in", F.shiftright("_o", above))
+            cells = joined(cells, sought.select(*by, "_in").distinct(), [*by, "_in"])
+        held = in_nodes(cells.select(*by, *here, "_i", "_cell", "_c", "_x")).groupBy(*by, *here, "level", "node", "_cell").agg(F.sum("_c").alias("_c"), F.min("_x").alias("_x"))
+        ask = joined(windows, sought.select(*by, "_t", *here).distinct(), [*by, "_t"]) if here else windows
+        counts = joined(ask, held, [*by, *here, "level", "node"]).groupBy(*by, "_t", *here, "_cell").agg(F.sum("_c").alias("_c"), F.min("_x").alias("_x"))
+        w = Window.partitionBy(*by, "_t", *here).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+        found = joined(sought.drop("_x"), counts, [*by, "_t", *here]).where((F.col("_before") <= F.col("place")) & (F.col("place") < F.col("_before") + F.col("_c")))
+        sought = scratch.stored(found.select(*by, "_t", "name", (F.col("place") - F.col("_before")).alias("place"), F.col("_cell").alias("_in"), "_x"), "sought")
+        here, above = ["_in"], shift
+    wide = sought.groupBy(*by, "_t").agg(*[F.max(F.when(F.col("name") == n, F.col("_x"))).alias(n) for n in places])
+    d = joined(joined(wide, sizes, [*by, "_t"]), index.select(*by, date, F.col("_i").alias("_t")), [*by, "_t"])
+    return d.select(*by, date, *places, "n_values", "n_dates")
+
+
 def bucket_by_edges(df: DataFrame, x: str, keys: Sequence[str], buckets: int, name: str = "bucket") -> DataFrame:
     """``functions.ranks.bucket_by_edges`` for large groups: quantile buckets from 0, right-closed, equal edges merged."""
     names = [f"_e{i}" for i in range(buckets + 1)]
@@ -137,4 +195,4 @@ def bucket_by_edges(df: DataFrame, x: str, keys: Sequence[str], buckets: int, na
     return d.withColumn(name, F.when(F.col(x).isNotNull() & (F.size("_edges") > 1), n)).drop("_edges")
 
 
-__all__ = ["bucket_by_edges", "counted", "auroc", "average_precision", "joined", "offsets", "ordered_bits", "quantiles", "spearman", "value_ranks", "with_rank"]
+__all__ = ["bucket_by_edges", "counted", "auroc", "average_precision", "joined", "offsets", "ordered_bits", "date_index", "quantiles", "sliding", "spearman", "value_ranks", "with_rank"]

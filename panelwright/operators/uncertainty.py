@@ -37,23 +37,15 @@ def loss_floor(rows: DataFrame, loss: str = "rank_loss", p: float = 0.1, keys: l
 
 def prospective_floor(rows: DataFrame, loss: str = "rank_loss", p: float = 0.1, dates: int = 60, least: int = 20, by: list[str] = ["horizon"], date: str = "as_of_date") -> DataFrame:
     """The quantile over the rows of the ``dates`` dates before (not today), with ``least`` such dates."""
-    seen = forward_copies(rows.select(*by, date, loss), dates, by, date)
-    g = seen.groupBy(*by, "_t").agg(F.percentile(loss, F.lit(p)).alias("a_value"), F.count_distinct("_i").alias("n_dates"))
-    return named_dates(g, rows, by, date).select(*by, date, F.when(F.col("n_dates") >= least, F.col("a_value")).alias("a_value"), "n_dates")
+    at = lambda n: (n - 1) * F.lit(float(p))
+    d = order.sliding(rows, loss, {"_lo": lambda n: F.floor(at(n)), "_hi": lambda n: F.ceil(at(n))}, dates, by, date)
+    share = at(F.col("n_values")) - F.floor(at(F.col("n_values")))
+    value = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * share)
+    return d.select(*by, date, F.when(F.col("n_dates") >= least, value).alias("a_value"), "n_dates")
 
 
 def date_index(rows: DataFrame, by: list[str], date: str) -> DataFrame:
-    return rows.select(*by, date).distinct().withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(date)))
-
-
-def forward_copies(rows: DataFrame, dates: int, by: list[str], date: str) -> DataFrame:
-    """Each row once for each of the next ``dates`` dates (_t): grouping by _t then looks back."""
-    d = rows.join(F.broadcast(date_index(rows, by, date)), [*by, date])  # a row a date
-    return d.withColumn("_t", F.explode(F.sequence(F.col("_i") + 1, F.col("_i") + dates)))
-
-
-def named_dates(g: DataFrame, rows: DataFrame, by: list[str], date: str) -> DataFrame:
-    return g.join(date_index(rows, by, date).withColumnRenamed("_i", "_t"), [*by, "_t"])
+    return order.date_index(rows, by, date)
 
 
 def conditional_range(train: DataFrame, rows: DataFrame, features: list[str], label: str, cells: int = 4, least: int = 30) -> DataFrame:
@@ -173,17 +165,10 @@ def nonconformity(kind: str, loss: str = "rank_loss", vol: str = "vol_6m", ehat:
 def rolling_quantile(rows: DataFrame, value: str, alpha: float, dates: int = 60, least: int = 30, by: list[str] = ["horizon"], date: str = "as_of_date") -> DataFrame:
     """by, date, threshold: the ceil((n + 1)(1 - alpha))-th smallest of all values of the ``dates`` dates before.
 
-    Rows are counted by date and value, the counts copied forward to the dates that see them and added up there, and the value is picked where
-    the running count reaches the rank: no list of a window is ever built."""
-    own = rows.where(F.col(value).isNotNull()).groupBy(*by, date, value).agg(F.count(F.lit(1)).alias("_c"))
-    counts = forward_copies(own, dates, by, date).groupBy(*by, "_t", value).agg(F.sum("_c").alias("_c"))
-    w = Window.partitionBy(*by, "_t")
-    counts = counts.withColumns({"_upto": F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_c").over(w)})
-    rank = F.least(F.ceil((F.col("_n") + 1) * (1 - alpha)), F.col("_n"))
-    n_dates = forward_copies(own.select(*by, date).distinct(), dates, by, date).groupBy(*by, "_t").agg(F.count(F.lit(1)).alias("n_dates"))
-    g = counts.where(F.col("_upto") >= rank).groupBy(*by, "_t").agg(F.min(value).alias("threshold"), F.max("_n").alias("n_values"))
-    g = g.join(n_dates.where(F.col("n_dates") >= least), [*by, "_t"])
-    return named_dates(g, rows, by, date).select(*by, date, "threshold", "n_values", "n_dates")
+    Windows are put together from dyadic stretches of dates (``order.sliding``): no list of a window is built, and no row copied to it."""
+    rank = lambda n: F.least(F.ceil((n + 1) * (1 - alpha)), n) - 1
+    g = order.sliding(rows, value, {"threshold": rank}, dates, by, date)
+    return g.where(F.col("n_dates") >= least).select(*by, date, "threshold", "n_values", "n_dates")
 
 
 def conformal(rows: DataFrame, kind: str = "raw", alpha: float = 0.1, dates: int = 60, least: int = 30, by: list[str] = ["horizon"], date: str = "as_of_date", **columns) -> DataFrame:

@@ -166,3 +166,33 @@ def test_policies_take_names_of_any_type(spark):
     d = d.withColumn("as_of_date", F.date_add(F.lit("2024-01-01").cast("date"), F.col("t"))).withColumns({"variant": F.lit("raw"), "long_score": F.col("score"), "short_score": F.col("score")})
     a, b = ([tuple(r) for r in policy.policy_series(d.withColumn("ticker", F.col(c)), 3).orderBy("as_of_date").collect()] for c in ("s", "i"))
     assert a == b and [r[2] for r in a] == [False, False, True, False, False] and a[3][3] == 1.0
+
+
+# Sliding dates --------------------------------------------------------------------------------
+
+
+def test_stretches_make_up_the_window(spark):
+    for levels in (0, 1, 3, 5):
+        w = spark.range(1, 80).select(F.col("id").cast("int").alias("t")).crossJoin(spark.range(1, 70, 7).select(F.col("id").cast("int").alias("n")))
+        w = w.select("t", "n", order.nodes_of_window(F.greatest(F.col("t") - F.col("n"), F.lit(1)), F.col("t"), levels).alias("x"))
+        for r in w.collect():
+            seen = sorted(i for x in r.x for i in range(x.node << x.level, (x.node + 1) << x.level))
+            assert seen == list(range(max(r.t - r.n, 1), r.t))
+
+
+@pytest.mark.parametrize("dates", [1, 2, 7, 60])
+def test_sliding_order_statistics_equal_sorted_windows(spark, dates):
+    draw = random.Random(dates)
+    value = lambda: draw.choice([None, 0.5, 0.5 + 2**-40, -1.0, float("inf")]) if draw.random() < 0.3 else draw.gauss(0, 1)
+    rows = [(k, t, value()) for k in ("a", "b") for t in range(90) for _ in range(draw.randint(1, 4))]
+    d = spark.createDataFrame(rows, "k string, t int, x double")
+    got = order.sliding(d, "x", {"low": lambda n: n * 0, "mid": lambda n: F.floor(n / 2)}, dates, ["k"], "t")
+    got = {(r.k, r.t): (r.low, r.mid, r.n_values, r.n_dates) for r in got.collect()}
+    want = {}
+    for k in ("a", "b"):
+        for t in range(90):
+            seen = [(u, x) for q, u, x in rows if q == k and t - dates <= u < t and x is not None]
+            if seen:
+                xs = sorted(x for _, x in seen)
+                want[k, t] = (xs[0], xs[len(xs) // 2], len(xs), len({u for u, _ in seen}))
+    assert got == want
