@@ -333,43 +333,58 @@ def variance_inflation_of_three(v):
 @query("event_stream_counts", sql("SELECT event_type, CAST(date_trunc('day', observed_at) AS TIMESTAMP) AS start, count(*) AS n FROM pe GROUP BY 1, 2", "pe"))
 def event_stream_counts(v):
     """Counts by day of the events table read as a stream."""
-    stream = read_stream(v)
-    d = streams.run_to_memory(streams.counts(stream), "event_counts_" + v.folder("m").rpartition("-")[2], v.folder("checkpoint"), "complete")
+    d = in_runs(v, streams.counts, keys=["event_type", "start"])
     return d.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-def read_stream(v):
-    source = v.table("events")
-    stream = streams.read_events(v.spark, f"{v.sf_dir}/events.parquet*", source.schema)
-    return stream.select("event_id", F.col("user_id").alias("ticker"), "event_type", F.col("ts").cast("timestamp").alias("observed_at"), "value")
+SLICES = 3
+
+
+def in_runs(v, work, keys=None, twice=False, heartbeat=False):
+    """The events come in ``SLICES`` parts in the order of time; after each the stream is started again from its checkpoint, reads a file a batch,
+    and writes to files."""
+    source, out, checkpoint = (v.folder(n) for n in ("source", "results", "checkpoint"))
+    e = v.table("events").select("event_id", F.col("user_id").alias("ticker"), "event_type", F.col("ts").cast("timestamp").alias("observed_at"), "value")
+    span = e.agg(F.min("observed_at").cast("double").alias("a"), F.max("observed_at").cast("double").alias("b"))
+    part = F.least(F.floor((F.col("observed_at").cast("double") - F.col("a")) / (F.col("b") - F.col("a")) * SLICES), F.lit(SLICES - 1))
+    dealt = e.crossJoin(F.broadcast(span)).withColumn("part", F.coalesce(part, F.lit(0))).drop("a", "b")  # one row
+    for k in range(SLICES):
+        own = dealt.where(F.col("part") == k).drop("part")
+        (own.unionByName(own) if twice else own).write.mode("append").parquet(source)
+        if heartbeat and k == SLICES - 1:
+            end = e.agg((F.max("observed_at") + F.expr("INTERVAL 10 YEARS")).alias("observed_at")).where("observed_at IS NOT NULL")
+            beat = end.select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name != "observed_at" else F.col("observed_at") for f in e.schema])
+            streams.run_to_files(work(streams.read_events(v.spark, source, e.schema, 1)), out, checkpoint, "update" if keys else "append")
+            beat.write.mode("append").parquet(source)
+        streams.run_to_files(work(streams.read_events(v.spark, source, e.schema, 1)), out, checkpoint, "update" if keys else "append")
+    return streams.read_results(v.spark, out, keys)
 
 
 @query("event_stream_sentiment", sql("SELECT ticker, CAST(d AS TIMESTAMP) AS start, count(*) AS n, round(avg(value), 9) AS mean_value FROM (SELECT ticker, value, unnest(generate_series(date_trunc('day', observed_at) - INTERVAL 6 DAY, date_trunc('day', observed_at), INTERVAL 1 DAY)) AS d FROM pe) GROUP BY 1, 2", "pe"))
 def event_stream_sentiment(v):
-    d = streams.run_to_memory(streams.rolling_sentiment(read_stream(v)), "event_sentiment_" + v.folder("m").rpartition("-")[2], v.folder("checkpoint"), "complete")
+    d = in_runs(v, streams.rolling_sentiment, keys=["ticker", "start"])
     return d.select("ticker", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("mean_value", 9).alias("mean_value"))
 
 
 @query("event_stream_ingest", sql("SELECT event_id, ticker, value FROM pe", "pe"))
 def event_stream_ingest(v):
     """The events come twice; each id is taken in once."""
-    stream = read_stream(v)
-    d = streams.run_to_memory(streams.ingest(stream.unionByName(read_stream(v))), "event_ingest_" + v.folder("m").rpartition("-")[2], v.folder("checkpoint"))
+    d = in_runs(v, streams.ingest, twice=True)
     return d.select("event_id", "ticker", "value")
 
 
 @query("event_stream_scores", sql("SELECT event_id, round(value / 100, 6) AS score FROM pe", "pe"))
 def event_stream_scores(v):
     path = v.folder("scores")
-    q = streams.score_sink(read_stream(v), lambda batch: batch.select("event_id", (F.col("value") / 100).alias("score")), path, v.folder("checkpoint")).start()
+    q = streams.score_sink(streams.read_events(v.spark, f"{v.sf_dir}/events.parquet*", v.table("events").schema), lambda batch: batch.select("event_id", (F.col("value") / 100).alias("score")), path, v.folder("checkpoint")).start()
     q.awaitTermination()
     return rounded(v.spark.read.parquet(path).select("event_id", "score"))
 
 
 @query("event_stream_ema", sql("SELECT a.ticker, a.observed_at, round(sum(b.value * CASE WHEN b.i = 1 THEN 1 ELSE 1 - pow(2.0, -1 / 5.0) END * pow(2.0, (b.i - a.i) / 5.0)), 6) AS ema FROM x a JOIN x b ON a.ticker = b.ticker AND b.i <= a.i GROUP BY a.ticker, a.observed_at, a.i", "pe", x="SELECT ticker, observed_at, value, row_number() OVER (PARTITION BY ticker ORDER BY observed_at, value) AS i FROM pe WHERE value IS NOT NULL"))
 def event_stream_ema(v):
-    d = streams.run_to_memory(streams.ema_state(read_stream(v)), "event_ema_" + v.folder("m").rpartition("-")[2], v.folder("checkpoint"))
-    return d.select("ticker", F.col("observed_at").cast("timestamp_ntz").alias("observed_at"), F.round("ema", 6).alias("ema"))
+    d = in_runs(v, streams.ema_state, heartbeat=True)
+    return d.where("ticker IS NOT NULL").select("ticker", F.col("observed_at").cast("timestamp_ntz").alias("observed_at"), F.round("ema", 6).alias("ema"))
 
 
 @query("usable_features", sql(" UNION ALL ".join(f"SELECT '{f}' AS feature FROM mpanel HAVING avg(({f} IS NOT NULL)::INT) > 0.9" for f in ("mom_1m", "mom_3m", "mom_6m", "mom_12m")), "mpanel"))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def read_events(spark: SparkSession, path: str, schema, files_a_batch: int | None = None) -> DataFrame:
@@ -40,36 +40,88 @@ def score_sink(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame], path
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-def ema_state(stream: DataFrame, halflife: float = 5.0, entity: str = "ticker", time: str = "observed_at", value: str = "value", late: str = "30 days", idle_days: float = 365.0) -> DataFrame:
-    """entity, observed_at, ema: smoothing carried from batch to batch; rows of a batch in time order; rows older than the state
-    are left out (they came too late to be smoothed in order).  The state of an entity that has nothing for ``idle_days`` of
-    event time is dropped, and it begins anew."""
-    a = 1 - 2 ** (-1 / halflife)
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Smoother(StatefulProcessor):
+    """Per entity: the level so far, and the rows that the watermark has not passed yet, since earlier ones may still come."""
+
+    def __init__(self, share: float, idle_ms: int, time: str, value: str) -> None:
+        self.share, self.idle_ms, self.time, self.value = share, idle_ms, time, value
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.level = handle.getValueState("level", "level double, last long")
+        self.waiting = handle.getListState("waiting", "at long, value double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for frame in rows:
+            frame = frame[frame[self.value].notna() & frame[self.time].notna()]
+            at = frame[self.time].astype("datetime64[us]").astype("int64")
+            if len(at):
+                self.waiting.appendList(list(zip(at.tolist(), frame[self.value].astype(float).tolist())))
+                first = min(int(at.min()), at.min() if first is None else first)
+        if first is not None:
+            self.handle.registerTimer(int(first) // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = list(self.waiting.get()) if self.waiting.exists() else []
+        ready = sorted((r[0], r[1]) for r in held if r[0] < passed)
+        rest = [(r[0], r[1]) for r in held if r[0] >= passed]
+        level, last = self.level.get() if self.level.exists() else (None, None)
+        if not ready:
+            if not rest and last is not None and last + self.idle_ms * 1000 <= passed:
+                self.level.clear()
             return
-        level, last = state.get if state.exists else (None, None)
-        rows = pd.concat(list(frames)).sort_values([time, value])
-        out = []
-        for t, x in zip(rows[time], rows[value]):
-            if x != x or (last is not None and t.timestamp() < last):
-                continue
-            level = x if level is None else a * x + (1 - a) * level
-            last = t.timestamp()
-            out.append((key[0], t, level))
-        if level is not None:
-            state.update((level, last))
-            state.setTimeoutTimestamp(max(int(last * 1000), state.getCurrentWatermarkMs()) + int(idle_days * 86_400_000))
-        yield pd.DataFrame(out, columns=[entity, time, "ema"])
+        values = pd.Series(([] if level is None else [level]) + [x for _, x in ready]).ewm(alpha=self.share, adjust=False).mean()
+        values = values.to_numpy()[len(values) - len(ready) :]
+        self.level.update((float(values[-1]), ready[-1][0]))
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(min(rest)[0] // 1000 + 1)
+        else:
+            self.waiting.clear()
+        self.handle.registerTimer(ready[-1][0] // 1000 + self.idle_ms)
+        yield pd.DataFrame({"entity": [key[0]] * len(ready), "at": pd.to_datetime([t for t, _ in ready], unit="us"), "ema": values})
+
+    def close(self) -> None:
+        pass
+
+
+def ema_state(stream: DataFrame, halflife: float = 5.0, entity: str = "ticker", time: str = "observed_at", value: str = "value", late: str = "30 days", idle_days: float = 365.0) -> DataFrame:
+    """entity, observed_at, ema: smoothing carried from batch to batch.
 
+    A row waits in the state until the watermark has passed its time, so rows that come late, but within the bound, are smoothed in their order; later ones
+    are left out.  A timer wakes an entity when something of it is due.  The state of an entity that has nothing for ``idle_days`` of event time is dropped, and
+    it begins anew.  Rows after the last watermark are given once it moves on (a source may send heartbeats).  Missing values are left out."""
+    spark = stream.sparkSession
+    spark.conf.set(STORE, ROCKS)
     kind = stream.schema[entity].dataType.simpleString()
-    return stream.select(entity, time, value).withWatermark(time, late).groupBy(entity).applyInPandasWithState(update, f"{entity} {kind}, {time} timestamp, ema double", "level double, last double", "append", GroupStateTimeout.EventTimeTimeout)
+    work = Smoother(1 - 2 ** (-1 / halflife), int(idle_days * 86_400_000), time, value)
+    d = stream.select(entity, time, value).withWatermark(time, late).groupBy(entity)
+    d = d.transformWithStateInPandas(work, f"entity {kind}, at timestamp, ema double", "Append", "EventTime")
+    return d.select(F.col("entity").alias(entity), F.col("at").alias(time), "ema")
 
 
-def run_to_memory(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run what is there to the end and give it as a table (tests, small results)."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_files(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
+    """Run what is there to the end.  Each batch is written under its number, so one that is run again after a failure replaces its own
+    rows; nothing passes through the driver."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+
+
+def read_results(spark: SparkSession, path: str, keys: list[str] | None = None) -> DataFrame:
+    """What ``run_to_files`` has written; with ``keys`` (mode "update") the row of each key's latest batch."""
+    d = spark.read.parquet(path)
+    if not keys:
+        return d.drop("batch")
+    rest = [c for c in d.columns if c not in (*keys, "batch")]
+    return d.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_x")).select(*keys, "_x.*")
