@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import pct_rank
+from . import boosting
 from .pit import last_rows
 
 
@@ -34,25 +35,19 @@ def importances(model, features: list[str], spark) -> DataFrame:
     return spark.createDataFrame([(f, float(v)) for f, v in zip(features, model.stages[-1].featureImportances.toArray())], "feature string, importance double")
 
 
-def walk_forward(parts: DataFrame, fit: Callable[[DataFrame], object], predict: Callable[[object, DataFrame], DataFrame], fold_ids: list[str]) -> DataFrame:
-    """parts: rows with fold_id and part (train or val).  A model per fold (folds are few; each fit is a Spark job); returns the scored
-    validation rows of all."""
-    out = None
-    for fold in fold_ids:
-        own = parts.where(F.col("fold_id") == fold)
-        scored = predict(fit(own.where("part = 'train'")), own.where("part = 'val'"))
-        out = scored if out is None else out.unionByName(scored)
-    return out
+walk_forward = boosting.walk_forward
 
 
-def error_model(rows: DataFrame, features: list[str], fold_ids: list[str], loss: str = "rank_loss", settings: dict | None = None) -> DataFrame:
-    """g_pred of each fold from a model of the losses of the folds before (none for the first); never negative."""
-    out = None
-    for i, fold in enumerate(fold_ids[1:], 1):
-        model = fit_gbt(rows.where(F.col("fold_id").isin(fold_ids[:i])), features, loss, **(settings or {}))
-        scored = score_gbt(model, rows.where(F.col("fold_id") == fold), features, "g_pred").withColumn("g_pred", F.greatest("g_pred", F.lit(0.0)))
-        out = scored if out is None else out.unionByName(scored)
-    return out
+def error_model(rows: DataFrame, features: list[str], fold_ids: list[str], loss: str = "rank_loss", settings: boosting.Settings = boosting.Settings()) -> DataFrame:
+    """g_pred of each fold from a model of the losses of the folds before (none for the first); never negative.  All folds are fitted together."""
+    place = F.array_position(F.array(*[F.lit(f) for f in fold_ids]), F.col("fold_id")).cast("int") - 1  # -1: another fold
+    last = F.lit(len(fold_ids) - 1)
+    later = F.when((place >= 0) & (place < last), F.sequence(place + 1, F.greatest(last, place + 1))).otherwise(F.array().cast("array<int>"))
+    keep = rows.columns
+    d = rows.withColumns({"folds_in": later, "folds_out": F.when(place > 0, F.array(place)).otherwise(F.array().cast("array<int>")), "y": F.col(loss)})
+    d = d.withColumn("weights", F.transform("folds_in", lambda k: F.lit(1.0)))
+    held, forest = boosting.fit_trees(d, features, len(fold_ids), settings)
+    return boosting.score_folds(held, forest, keep, "_fold", "g_pred").drop("_fold").withColumn("g_pred", F.greatest("g_pred", F.lit(0.0)))
 
 
 def stacking_weights(train: DataFrame, x1: str, x2: str, y: str, penalty: float = 1.0, by: list[str] | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import ranks as R
-from ..operators import evaluate, health, labels, learn, policy, stats, uncertainty
+from ..operators import evaluate, events, health, labels, learn, policy, stats, uncertainty
 from ..streaming import streams
 from .queries_panels import bucketed, rank_corr
 from .registry import Views, ar, corr, pr, query, rounded
@@ -296,19 +296,19 @@ def stored_rows(v):
     return v.spark.read.parquet(path)
 
 
+def yearly(v):
+    """The years after the first as folds."""
+    first, last = v.ev.agg(F.year(F.min("as_of_date")), F.year(F.max("as_of_date"))).first()
+    return [(f"y{y}", f"{y}-01-01", f"{y + 1}-01-01") for y in range(first + 1, last + 1)]
+
+
 @query("walk_forward_gbt", None)
 def walk_forward_gbt(v):
     """Weighted trees by fold: each fold's model is fitted on the rows before it, with an embargo, and scores the fold."""
-    from ..functions.scalars import decay_weight, half_life_years
+    from ..functions.scalars import half_life_years
 
-    first, last = v.ev.agg(F.year(F.min("as_of_date")), F.year(F.max("as_of_date"))).first()
-    years = range(first + 1, last + 1)
-    spans = v.spark.createDataFrame([(f"y{y}", f"{y}-01-01", f"{y + 1}-01-01") for y in years], "fold_id string, a string, b string").select("fold_id", F.col("a").cast("date").alias("a"), F.col("b").cast("date").alias("b"))
-    rows = stored_rows(v).join(F.broadcast(spans), F.col("as_of_date") < F.col("b"))
-    rows = rows.withColumn("part", F.when(F.col("as_of_date") >= F.col("a"), "val").when(F.col("as_of_date") < F.date_sub("a", 60), "train")).where("part IS NOT NULL")
-    rows = rows.withColumn("w", decay_weight("as_of_date", "a", half_life_years("horizon")))
-    fit = lambda train: learn.fit_gbt(train, GF, "excess_return", "w")
-    d = learn.walk_forward(rows, fit, lambda m, val: learn.score_gbt(m, val, GF, "pred"), [f"y{y}" for y in years])
+    years = v.spark.range(1).select(half_life_years(F.lit(20)).alias("y")).first().y
+    d = learn.walk_forward(stored_rows(v), GF, "excess_return", yearly(v), ["as_of_date", "ticker"], embargo_days=60, half_life_days=365.25 * years)
     return d.select("fold_id", "as_of_date", "ticker", F.round("pred", 6).alias("pred"))
 
 
@@ -316,12 +316,32 @@ def walk_forward_gbt(v):
 def error_model_by_fold(v):
     """Expected losses of each year from a model of the years before."""
     path = v.folder("losses")
-    uncertainty.error_features(v.ls.where("horizon = 20").drop("g_pred")).write.parquet(path)
+    uncertainty.error_features(v.ls.where("horizon = 20").drop("g_pred")).select("fold_id", "as_of_date", "ticker", "abs_score", "score_pct", "vol_6m", "rank_loss").write.parquet(path)
     d = v.spark.read.parquet(path)
     folds = sorted(r[0] for r in d.select("fold_id").distinct().collect())  # a name a year
     return learn.error_model(d, ["abs_score", "score_pct", "vol_6m"], folds).select("fold_id", "as_of_date", "ticker", F.round("g_pred", 6).alias("g_pred"))
 
 
+def order_tone(v, line):
+    """Stands in for scored texts: a supplier's orders by the day, from -1 (urgent) to 1 (low)."""
+    lines = v.table("lineitem").where(F.col("l_linenumber") == line).select(F.col("l_orderkey").alias("record_id"), F.col("l_suppkey").alias("ticker"))
+    orders = v.table("orders").select(F.col("o_orderkey").alias("record_id"), F.col("o_orderdate").cast("date").alias("event_date"), ((F.substring("o_orderpriority", 1, 1).try_cast("double") - 3) / 2).alias("score"))
+    return lines.join(orders, "record_id").where("score IS NOT NULL")
+
+
+SENTIMENT = ["news_7d", "news_30d", "news_count_30d", "news_momentum", "latest", "change", "mean_90d"]
+
+
+@query("sentiment_enriched_scores", None)
+def sentiment_enriched_scores(v):
+    """Trees by fold with what the ticker's news and filings said before the date; a ticker without any has NULLs, a bin of their own."""
+    news, filings = order_tone(v, 1), order_tone(v, 2)
+    rows = stored_rows(v).select("ticker", F.col("as_of_date").alias("date"), "as_of_date", F.col("score").alias("momentum"), "adv", "mom_1m", "excess_return")
+    d = events.filing_sentiment(events.news_sentiment(rows, news), filings)
+    scored = learn.walk_forward(d, ["momentum", "adv", "mom_1m", *SENTIMENT], "excess_return", yearly(v), ["as_of_date", "ticker"], embargo_days=60)
+    return scored.select("fold_id", "as_of_date", "ticker", F.round("pred", 6).alias("score"))
+
+
 @query("variance_inflation_of_three", sql("SELECT f AS feature, round(CASE f WHEN 'mom_1m' THEN (1 - c * c) / d WHEN 'mom_3m' THEN (1 - b * b) / d ELSE (1 - a * a) / d END, 5) AS vif FROM (SELECT *, 1 + 2 * a * b * c - a * a - b * b - c * c AS d FROM (SELECT {ab} AS a, {ac} AS b, {bc} AS c FROM mpanel WHERE mom_1m IS NOT NULL AND mom_3m IS NOT NULL AND vol_6m IS NOT NULL)), (VALUES ('mom_1m'), ('mom_3m'), ('vol_6m')) t(f)".format(ab=corr("mom_1m", "mom_3m"), ac=corr("mom_1m", "vol_6m"), bc=corr("mom_3m", "vol_6m")), "mpanel"))
 def variance_inflation_of_three(v):
     return rounded(stats.vif(v.mpanel, ["mom_1m", "mom_3m", "vol_6m"]), 5)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import ranks as R
 from panelwright.functions import scalars as S
-from panelwright.operators import audits, cross, evaluate, events, labels, learn, pit, policy, portfolio, series, stats, uncertainty, universe
+from panelwright.operators import boosting, audits, cross, evaluate, events, labels, learn, pit, policy, portfolio, series, stats, uncertainty, universe
 
 
 def rows(df, *cols, order=None):
@@ -233,7 +233,7 @@ def test_validate_panel_reports(spark):
 
 def test_error_model_uses_earlier_folds_only(spark):
     d = spark.createDataFrame([(f, float(i % 7), float(i % 3)) for f in ("f1", "f2") for i in range(40)], "fold_id string, x double, rank_loss double")
-    out = learn.error_model(d, ["x"], ["f1", "f2"], settings={"maxIter": 2})
+    out = learn.error_model(d, ["x"], ["f1", "f2"], settings=boosting.Settings(trees=2))
     assert {r.fold_id for r in out.select("fold_id").distinct().collect()} == {"f2"} and out.where("g_pred < 0").count() == 0
 
 
