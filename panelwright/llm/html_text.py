@@ -40,7 +40,6 @@ BOILERPLATE_ROLES = frozenset("alert alertdialog banner complementary contentinf
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 WORDS = re.compile(r"[a-z]+")
 SENTENCE_END = re.compile(r"""[.!?…。]["'”»)]*$""")
 
@@ -74,9 +73,7 @@ def marks(tag: str, attributes: str, inside_content: bool) -> int:
     """What an element says of its text: IN_CONTENT, IN_BOILERPLATE, IN_FORM, DOUBTFUL, or 0 for nothing."""
     if tag in BOILERPLATE_TAGS or tag == "header" and not inside_content:
         return IN_BOILERPLATE
-    if attributes and ("=" in attributes or "hidden" in attributes):
-        if HIDDEN.search(attributes):
-            return IN_BOILERPLATE
+    if attributes and "=" in attributes:
         doubtful = False
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             value = (a or b or c).lower()

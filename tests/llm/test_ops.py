@@ -391,6 +391,11 @@ def test_text_classifier_is_trained():
     assert w[1] > 0 and w[2] > 0 and w[4] < 0 and (((x @ w) > 0) == y).mean() > 0.85
 
 
+def test_hidden_blocks_of_an_article_stay():
+    page = '<article><p>The first paragraph of the story is here.</p><p hidden>A second paragraph, folded away.</p><div style="display:none" aria-hidden="true"><p>A third one, shown on demand.</p></div></article>'
+    assert html_text.main_text(page).count("\n") == 2
+
+
 # 7 -------------------------------------------------------------------------------------------
 
 
