@@ -9,7 +9,7 @@ from ..functions.ranks import average_precision, auroc, bucket_by_edges, confusi
 from ..functions.scalars import exposure_gate, sigmoid
 from .evaluate import rank_ic
 from .series import ewma, expanding_mean, expanding_z, matured, reference_drift
-from .stats import mean_pair_correlation
+from .stats import pairwise_mean_correlation
 from .uncertainty import date_index
 
 
@@ -42,8 +42,9 @@ def score_drift(rows: DataFrame, by: list[str] = ["horizon"], date: str = "as_of
     return k.join(idx.withColumnRenamed("_i", "_t"), [*by, "_t"]).select(*by, date, "ks")
 
 
-def correlation_level(returns: DataFrame, value: str, entity: str = "ticker", date: str = "date", dates: int = 21) -> DataFrame:
-    return mean_pair_correlation(returns, value, entity, date, dates)
+def correlation_level(returns: DataFrame, value: str, entity: str = "ticker", date: str = "date", dates: int = 21, least: int = 2) -> DataFrame:
+    """Mean correlation of pairs, each over the dates that both have."""
+    return pairwise_mean_correlation(returns, value, entity, date, dates, least)
 
 
 def drift_composite(df: DataFrame, drift: str = "feature_drift", ks: str = "ks", corr: str = "mean_corr") -> DataFrame:

@@ -21,9 +21,11 @@ MOST_ROWS = 1 << 20
 
 
 def ordered_bits(x: Column) -> Column:
-    """A long in the order of doubles (both zeros alike, NaN last)."""
-    bits = F.call_function("java_method", F.lit("java.lang.Double"), F.lit("doubleToLongBits"), x.cast("double") + F.lit(0.0)).cast("long")
-    return F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits)
+    """A long in the order of doubles (both zeros alike, NaN last); NULL for NULL.
+
+    Spark may evaluate the call for rows that a condition around it leaves out, so it never gets a NULL."""
+    bits = F.call_function("java_method", F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.coalesce(x.cast("double"), F.lit(0.0)) + F.lit(0.0)).cast("long")
+    return F.when(x.isNull(), F.lit(None).cast("long")).when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits)
 
 
 def joined(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:

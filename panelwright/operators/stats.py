@@ -173,4 +173,52 @@ def mean_pair_correlation(df: DataFrame, x: str, entity: str, date: str, dates:
     return g.join(F.broadcast(idx.withColumnRenamed("_i", "_t")), "_t").select(date, "mean_corr", "n_entities")
 
 
+def pairwise_mean_correlation(df: DataFrame, x: str, entity: str, date: str, dates: int = 21, least: int = 2, block: int = 256, chunk: int = 64) -> DataFrame:
+    """date, mean_corr, n_pairs: mean correlation of all pairs of entities over the last ``dates`` dates, each pair over the dates that both have
+    (``least`` of them, and some spread on both sides).
+
+    Entities are dealt to blocks and dates to chunks; a task has the rows of two blocks over a chunk and gets all windows' sums, squares, products and counts
+    by products of masked matrices.  Pairs are never rows, and a row goes to as many tasks as there are blocks."""
+    import numpy as np
+    import pandas as pd
+
+    idx = df.select(date).distinct().withColumn("_i", F.row_number().over(Window.orderBy(date)))  # a row a date
+    blocks = max(1, -(-df.where(F.col(x).isNotNull()).select(entity).distinct().count() // block))
+    d = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).groupBy(entity, date).agg(F.avg(F.col(x).cast("double")).alias("_x")).join(idx, date)
+    d = d.withColumns({"_b": F.pmod(F.xxhash64(entity), F.lit(blocks)).cast("int"), "_first": F.floor((F.col("_i") - 1) / chunk), "_last": F.floor((F.col("_i") + dates - 2) / chunk)})
+    d = d.withColumn("_c", F.explode(F.sequence("_first", "_last"))).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    d = d.select(F.col("_c").cast("int").alias("c"), F.least("_b", "_o").alias("p"), F.greatest("_b", "_o").alias("q"), (F.col("_b") > F.col("_o")).alias("second"), F.xxhash64(entity).alias("e"), F.col("_i").alias("i"), F.col("_x").alias("x"))
+
+    def both(pdf):
+        c, p, q = int(pdf["c"].iloc[0]), int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
+        first = c * chunk + 2 - dates  # the first date that the chunk's windows see
+
+        def filled(part):
+            names, at = np.unique(part["e"].to_numpy(), return_inverse=True)
+            v = np.full((len(names), chunk + dates - 1), np.nan)
+            v[at, part["i"].to_numpy() - first] = part["x"].to_numpy()
+            mean = np.nan_to_num(np.nanmean(v, 1, keepdims=True)) if len(names) else 0.0
+            return np.nan_to_num(v - mean), (~np.isnan(v)).astype(float)
+
+        a, ma = filled(pdf[~pdf["second"]] if p != q else pdf)
+        b, mb = (a, ma) if p == q else filled(pdf[pdf["second"]])
+        out = []
+        for k in range(chunk):
+            s = slice(k, k + dates)
+            n = ma[:, s] @ mb[:, s].T
+            sa, sb = a[:, s] @ mb[:, s].T, ma[:, s] @ b[:, s].T
+            va = (a[:, s] ** 2) @ mb[:, s].T - sa**2 / np.maximum(n, 1)
+            vb = ma[:, s] @ (b[:, s] ** 2).T - sb**2 / np.maximum(n, 1)
+            fine = (n >= least) & (va > 1e-15) & (vb > 1e-15)
+            if p == q:
+                fine &= np.triu(np.ones_like(fine), 1)
+            if fine.any():
+                cov = a[:, s] @ b[:, s].T - sa * sb / np.maximum(n, 1)
+                out.append((c * chunk + 1 + k, float((cov[fine] / np.sqrt(va[fine] * vb[fine])).sum()), int(fine.sum())))
+        return pd.DataFrame(out, columns=["_i", "s", "n"])
+
+    g = d.groupBy("c", "p", "q").applyInPandas(both, "_i long, s double, n long").groupBy("_i").agg((F.sum("s") / F.sum("n")).alias("mean_corr"), F.sum("n").alias("n_pairs"))
+    return g.join(idx, "_i").select(date, "mean_corr", "n_pairs")
+
+
 __all__ = [n for n in dir() if not n.startswith("_") and n != "annotations"]

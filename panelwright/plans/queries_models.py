@@ -178,9 +178,15 @@ def drift_composite(v):
     return rounded(d.select("horizon", "as_of_date", "feature_drift", "H_drift"))
 
 
+@query("pair_correlation_with_gaps", sql("SELECT d.month, round(avg(r), 6) AS mean_corr, count(*) AS n_pairs FROM (SELECT t.i AS t, a.ticker, b.ticker, corr(a.x, b.x) AS r FROM px a JOIN px b ON a.i = b.i AND a.ticker < b.ticker JOIN mx t ON a.i BETWEEN t.i - 11 AND t.i GROUP BY 1, 2, 3 HAVING count(*) >= 3) g JOIN mx d ON d.i = g.t GROUP BY 1", "mpanel", mx="SELECT month, row_number() OVER (ORDER BY month) AS i FROM (SELECT DISTINCT month FROM mpanel WHERE mom_3m > 0)", px="SELECT ticker, i, mom_1m AS x FROM mpanel JOIN mx USING (month) WHERE mom_1m IS NOT NULL AND mom_3m > 0"))
+def pair_correlation_with_gaps(v):
+    """Of names in the months in which they rose over three: each pair over the months that both have."""
+    return rounded(health.correlation_level(v.mpanel.where("mom_3m > 0"), "mom_1m", "ticker", "month", 12, 3))
+
+
 @query("pair_correlation_level", sql("SELECT d.month, round((q / 12 - n) / (n * (n - 1)), 6) AS mean_corr, n AS n_entities FROM (SELECT t, sum(z * z) AS q, max(k) AS n FROM (SELECT t, i, sum(zz) AS z, count(*) AS k FROM (SELECT t, i, (x - avg(x) OVER w) / stddev_pop(x) OVER w AS zz, count(*) OVER w AS c FROM (SELECT b.i AS t, a.i, p.ticker, p.mom_1m AS x FROM mx a JOIN mx b ON b.i BETWEEN a.i AND a.i + 11 JOIN mpanel p ON p.month = a.month WHERE p.mom_1m IS NOT NULL) WINDOW w AS (PARTITION BY t, ticker)) WHERE c = 12 GROUP BY 1, 2) GROUP BY 1 HAVING max(k) > 1) g JOIN mx d ON d.i = g.t", "mpanel", mx="SELECT month, row_number() OVER (ORDER BY month) AS i FROM (SELECT DISTINCT month FROM mpanel)"))
 def pair_correlation_level(v):
-    return rounded(health.correlation_level(v.mpanel, "mom_1m", date="month", dates=12).where("n_entities > 1"))
+    return rounded(stats.mean_pair_correlation(v.mpanel, "mom_1m", "ticker", "month", 12).where("n_entities > 1"))
 
 
 OTHER = "SELECT *, vol_6m AS s1, mom_1m AS s2 FROM ev"

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelwright.functions import ranks as R
-from panelwright.operators import order, pit, policy, series
+from panelwright.operators import order, pit, policy, series, stats
 
 
 def table(spark, n=600, seed=1):
@@ -196,3 +196,20 @@ def test_sliding_order_statistics_equal_sorted_windows(spark, dates):
                 xs = sorted(x for _, x in seen)
                 want[k, t] = (xs[0], xs[len(xs) // 2], len(xs), len({u for u, _ in seen}))
     assert got == want
+
+
+def test_pairs_are_correlated_over_the_dates_both_have(spark):
+    draw = random.Random(6)
+    x = {(e, t): draw.gauss(0, 1) + (t % 3) for e in range(11) for t in range(40) if draw.random() < 0.6}
+    d = spark.createDataFrame([(f"n{e}", t, v) for (e, t), v in x.items()] + [("gone", 3, None)], "e string, t int, x double")
+    days = sorted({t for _, t in x})
+    for block, chunk in ((256, 64), (3, 4)):
+        got = {r.t: (r.mean_corr, r.n_pairs) for r in stats.pairwise_mean_correlation(d, "x", "e", "t", 7, 4, block, chunk).collect()}
+        for k, t in enumerate(days):
+            seen, found = days[max(0, k - 6) : k + 1], []
+            for a in range(11):
+                for b in range(a):
+                    p = [(x[a, u], x[b, u]) for u in seen if (a, u) in x and (b, u) in x]
+                    if len(p) >= 4:
+                        found.append(np.corrcoef(np.array(p).T)[0, 1])
+            assert (t in got) == bool(found) and (not found or (got[t][1] == len(found) and got[t][0] == pytest.approx(np.mean(found), abs=1e-9)))
