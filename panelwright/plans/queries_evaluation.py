@@ -281,11 +281,15 @@ def lexicon_sentiment(v):
     return rounded(learn.score_texts(v.table("documents")).where("score IS NOT NULL").select("doc_id", "score"))
 
 
-@query("ticker_changes", "SELECT as_of, CAST(s_suppkey AS VARCHAR) AS stable_id, CASE WHEN s_suppkey % 3 = 0 AND as_of >= DATE '1996-07-01' THEN 'NEW-' || s_name ELSE s_name END AS ticker FROM supplier, (VALUES (DATE '1996-06-30'), (DATE '1996-07-01')) t(as_of)")
-def ticker_changes(v):
+def changed_tickers(v):
     dim = v.table("supplier").select(F.col("s_suppkey").cast("string").alias("stable_id"), F.col("s_name").alias("ticker"), F.lit("1990-01-01").cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"), F.lit(True).alias("is_active"))
     changes = dim.where("stable_id % 3 = 0").select("stable_id", F.concat(F.lit("NEW-"), "ticker").alias("new_ticker"), F.lit("1996-07-01").cast("date").alias("change_date"))
-    return pit.identifier_at(pit.apply_ticker_changes(dim, changes), v.dates("1996-06-30", "1996-07-01"), "stable_id", "ticker")
+    return pit.apply_ticker_changes(dim, changes)
+
+
+@query("ticker_changes", "SELECT as_of, CAST(s_suppkey AS VARCHAR) AS stable_id, CASE WHEN s_suppkey % 3 = 0 AND as_of >= DATE '1996-07-01' THEN 'NEW-' || s_name ELSE s_name END AS ticker FROM supplier, (VALUES (DATE '1996-06-30'), (DATE '1996-07-01')) t(as_of)")
+def ticker_changes(v):
+    return pit.identifier_at(changed_tickers(v), v.dates("1996-06-30", "1996-07-01"), "stable_id", "ticker")
 
 
 @query("recency_block", sql("SELECT ticker, month AS date, last_filing, CAST(month - last_filing AS INTEGER) AS days_since_filing, coalesce(month - last_filing <= 63, FALSE) AS in_window, CAST(greatest(last_filing + CAST(round(spacing) AS INTEGER) - month, 0) AS INTEGER) AS days_to_next FROM (SELECT m.ticker, m.month, f.filing_date AS last_filing, f.spacing FROM mbars m ASOF LEFT JOIN fs f ON m.ticker = f.ticker AND m.month >= f.filing_date)", "mbars", "st0", fd="SELECT DISTINCT ticker, filing_date FROM st0", fg="SELECT *, CASE WHEN filing_date - lag(filing_date) OVER w BETWEEN 60 AND 120 THEN filing_date - lag(filing_date) OVER w END AS gap FROM fd WINDOW w AS (PARTITION BY ticker ORDER BY filing_date)", fs="SELECT ticker, filing_date, coalesce(CAST(list_sum(g[greatest(len(g) - 3, 1):]) AS DOUBLE) / nullif(least(len(g), 4), 0), 91.0) AS spacing FROM (SELECT ticker, filing_date, list(gap) FILTER (gap IS NOT NULL) OVER (PARTITION BY ticker ORDER BY filing_date ROWS UNBOUNDED PRECEDING) AS g FROM fg)"))
@@ -391,9 +395,19 @@ def archive_summary(v):
     return rounded(audits.archive_summary(v.ls.withColumn("loss", F.col("rank_loss")), ["horizon"]))
 
 
-@query("identifier_intervals", "SELECT as_of, CAST(s_suppkey AS VARCHAR) AS stable_id, CASE WHEN s_suppkey % 3 = 0 AND as_of >= DATE '1996-07-01' THEN 'NEW-' || s_name ELSE s_name END AS ticker FROM supplier, (VALUES (DATE '1996-06-30'), (DATE '1996-07-01')) t(as_of)")
+@query("identifier_intervals", "SELECT as_of, CAST(s_suppkey AS VARCHAR) AS stable_id, CASE WHEN s_suppkey % 3 = 0 AND as_of >= DATE '1996-07-01' THEN 'NEW-' || s_name ELSE s_name END AS ticker FROM supplier, (SELECT CAST(unnest(generate_series(DATE '1996-01-01', DATE '1996-12-01', INTERVAL 1 MONTH)) AS DATE) AS as_of)")
 def identifier_intervals(v):
-    return ticker_changes(v).select("as_of", "stable_id", "ticker")
+    """Each security's identifier at twelve month starts, around the day on which a third of them change."""
+    return pit.identifier_at(changed_tickers(v), v.dates(*[f"1996-{m:02d}-01" for m in range(1, 13)]), "stable_id", "ticker").select("as_of", "stable_id", "ticker")
+
+
+@query("failure_auroc_by_date", sql("SELECT horizon, round((sum(rk) FILTER (y = 1) - p * (p + 1) / 2.0) / (p * q), 6) AS auroc FROM (SELECT horizon, y, rank() OVER (PARTITION BY horizon ORDER BY x) + (count(*) OVER (PARTITION BY horizon, x) - 1) / 2.0 AS rk, sum(y) OVER (PARTITION BY horizon) AS p, sum(1 - y) OVER (PARTITION BY horizon) AS q FROM (SELECT horizon, x, (round(rank_ic - avg(rank_ic) OVER (PARTITION BY horizon), 9) < 0)::INT AS y FROM (SELECT as_of_date, horizon, round(avg(ehat_raw), 9) AS x FROM ls GROUP BY 1, 2) JOIN ic USING (as_of_date, horizon) WHERE rank_ic IS NOT NULL)) GROUP BY horizon, p, q", "ls", "ic"))
+def failure_auroc_by_date(v):
+    """How well a date's mean uncertainty tells that its IC will be below its horizon's mean."""
+    risk = v.ls.groupBy(*KEYS).agg(F.round(F.avg("ehat_raw"), 9).alias("risk"))
+    daily = evaluate.rank_ic(v.ev).where("rank_ic IS NOT NULL").join(risk, KEYS)
+    daily = daily.withColumn("rank_ic", F.round(F.col("rank_ic") - F.avg("rank_ic").over(Window.partitionBy("horizon")), 9))  # a row a date
+    return rounded(evaluate.failure_auroc(daily, "risk", ["horizon"]).select("horizon", "auroc"))
 
 
 @query("survivors_missing", sql("SELECT ticker, max(month) AS last_seen FROM mbars WHERE ticker NOT IN (SELECT ticker FROM mbars WHERE month = (SELECT max(month) FROM mbars)) GROUP BY 1", "mbars"))
