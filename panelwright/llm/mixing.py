@@ -99,7 +99,8 @@ def mix(docs: DataFrame, domain: Column | None = None, w_domain: Column | None =
     A document is taken in an epoch if it starts before the leaf's budget is used up; it is then
     taken whole.  Null domains, languages and sources are leaves of their own; null ids stand for one
     document; rows that repeat an id are taken together; null and empty texts have no tokens and
-    are taken with what stands at their place in the order; an empty table gives empty results.
+    are taken with what stands at their place in the order; very long texts are counted whole; other columns are ignored, whatever
+    their names; an empty table gives empty results.
     """
     lang, source = F.col("lang"), F.col("source")
     keys = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), count_tokens(F.col(text_col)).alias("n_tokens"))

@@ -423,7 +423,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, numerator: int = NUME
     doc_id that links reach.  Null and empty texts have an empty set, are linked with nothing
     and are their own component.  Rows that repeat a doc_id are one document as to links and
     each get a row; a null id never names a component (its component is that of equal texts, or
-    null).  Other columns are ignored; an empty table gives no rows.
+    null).  Very long texts are taken whole.  Other columns are ignored; an empty table gives no rows.
     """
     least, since = numerator / 100 - MARGIN, mark()
     sets = stored(documents_sets(docs, width, id_col, text_col), "sets")

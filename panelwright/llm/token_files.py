@@ -398,7 +398,7 @@ def token_output(docs: DataFrame, tokenizer_file: str | None = None) -> DataFram
     """Write the token files of ``docs`` in the shared folder and read them back.
 
     Null and empty texts are the end id alone; null ids come first; rows that repeat an id stand
-    side by side in an order by their text's hash, one result row each; other columns are
+    side by side in an order by their text's hash, one result row each; very long texts are encoded whole; other columns are
     ignored; an empty table gives no rows."""
     path = scratch(docs.sparkSession, "tokens")
     write_token_files(docs, path, tokenizer_file or tokenizer_path())
