@@ -26,7 +26,8 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
+    """Documents that the classifier accepts, all columns as they are.  Null and empty texts are judged by the intercept, very long ones whole; null ids and
+    repeated rows stay if their text does; an empty table stays empty."""
     return accepted_only(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
@@ -43,18 +44,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
+    """Documents that are not contaminated by the benchmark.  Null and empty texts are clean, very long ones are searched whole; each row is judged by its
+    text, whatever its id; with an empty benchmark all stay."""
     return contaminated_only(docs, benchmark_tables(table(spark, sf_dir, "benchmark")), keep=False)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the sources' budgets take."""
+    """The documents that the sources' budgets take.  Null languages and sources are leaves of their own; rows that repeat an id are taken together; texts
+    without a token go with what stands at their place; an empty table stays empty."""
     _, cuts = mix(docs, share=MIX_SHARE, max_epochs=MIX_EPOCHS)
     rows = docs.select("doc_id", "lang", "source", source_domain(F.col("source")).alias("domain"), F.struct(*docs.columns).alias("_row"))
     return join_leaves(rows, cuts).where(times_taken() > 0).select("_row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token files of what is left, read back: doc_id, start, n_tokens, ids_crc32.  Null and empty texts are the end id alone."""
     return token_output(docs)
 
 
