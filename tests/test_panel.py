@@ -164,6 +164,16 @@ def test_metrics_by_hand(spark):
     assert m.sharpe == pytest.approx(mean / std * math.sqrt(12)) and m.total_return == pytest.approx(1.1 * 0.95 * 1.02 - 1) and m.max_drawdown == pytest.approx(-0.05)
 
 
+def test_growth_is_undefined_after_more_than_everything_is_lost(spark):
+    """As exp(sum(ln(1 + r))): -1 from a return of -100 % on, NaN from a lower one on."""
+    d = spark.createDataFrame([(e, i, r) for e, rs in {"a": (0.1, -1.0, 0.5), "b": (0.1, -1.5, 0.5), "c": (-1.0, -2.0, 0.1), "d": (0.5, None, -0.9999999999)}.items() for i, r in enumerate(rs)], "e string, d long, x double")
+    w = Window.partitionBy("e").orderBy("d")
+    got = d.withColumn("c", series.cumulative_return("x", w)).withColumn("f", series.drawdown("c", w)).orderBy("e", "d").collect()
+    nan = math.nan
+    assert [r.c for r in got] == pytest.approx([0.1, -1, -1, 0.1, nan, nan, -1, nan, nan, 0.5, 0.5, 1.5e-10 - 1], nan_ok=True)
+    assert [r.f for r in got] == pytest.approx([0, -1, -1, 0, nan, nan, -1, nan, nan, 0, 0, 1e-10 - 1], nan_ok=True)
+
+
 def test_rolling_quantile_looks_only_back(spark):
     d = spark.createDataFrame([(20, day, float(day * 10 + k)) for day in range(5) for k in range(3)], "horizon int, as_of_date int, v double")
     got = rows(uncertainty.rolling_quantile(d, "v", 0.5, 2, 2), "as_of_date", "threshold", "n_values")
