@@ -174,6 +174,12 @@ def test_growth_is_undefined_after_more_than_everything_is_lost(spark):
     assert [r.f for r in got] == pytest.approx([0, -1, -1, 0, nan, nan, -1, nan, nan, 0, 0, 1e-10 - 1], nan_ok=True)
 
 
+def test_total_return_is_undefined_after_more_than_everything_is_lost(spark):
+    d = spark.createDataFrame([(e, i, r) for e, rs in {"a": (0.1, -1.0, 0.5), "b": (0.1, -1.5, 0.5), "c": (-1.0, -2.0, 0.1)}.items() for i, r in enumerate(rs)], "e string, d long, x double")
+    m = {r.e: r.total_return for r in portfolio.metrics(d, ["e"], "x", "d").collect()}
+    assert m["a"] == -1 and math.isnan(m["b"]) and math.isnan(m["c"])
+
+
 def test_rolling_quantile_looks_only_back(spark):
     d = spark.createDataFrame([(20, day, float(day * 10 + k)) for day in range(5) for k in range(3)], "horizon int, as_of_date int, v double")
     got = rows(uncertainty.rolling_quantile(d, "v", 0.5, 2, 2), "as_of_date", "threshold", "n_values")
