@@ -3,8 +3,10 @@
 import tempfile
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
+from panelwright.catalog import QUERIES
 from panelwright.streaming import streams
 
 
@@ -98,3 +100,19 @@ def test_score_sink_is_idempotent_by_batch(spark):
     q = streams.score_sink(staged(spark, d), lambda b: b.withColumn("score", F.col("value") * 2), out, tempfile.mkdtemp(prefix="spark-")).start()
     q.awaitTermination()
     assert spark.read.parquet(out).count() == d.count()
+
+
+@pytest.mark.parametrize("name", ["event_stream_ingest", "event_stream_sentiment", "event_stream_counts", "event_stream_ema"])
+def test_no_event_is_late_however_many_files_hold_it(spark, name):
+    """The table's files overlap in time, so each part of the stream comes in several files."""
+    path, t = tempfile.mkdtemp(prefix="spark-"), datetime(2024, 1, 1)
+    rows = [(i, t + timedelta(hours=7 * i), i % 3, "ab"[i % 2], float(i % 5), "") for i in range(240)]
+    d = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    for k in range(4):
+        d.where(F.col("event_id") % 4 == 3 - k).coalesce(1).write.mode("append").parquet(f"{path}/events.parquet")
+    assert spark.read.parquet(f"{path}/events.parquet").rdd.getNumPartitions() > 1
+    got = QUERIES[name](spark, path).collect()
+    if name in ("event_stream_ingest", "event_stream_ema"):
+        assert len(got) == 240 and (name == "event_stream_ema" or {r.event_id for r in got} == set(range(240)))
+    else:
+        assert sum(r.n for r in got) == (240 if name == "event_stream_counts" else 7 * 240)
