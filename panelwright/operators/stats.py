@@ -173,18 +173,97 @@ def mean_pair_correlation(df: DataFrame, x: str, entity: str, date: str, dates:
     return g.join(F.broadcast(idx.withColumnRenamed("_i", "_t")), "_t").select(date, "mean_corr", "n_entities")
 
 
+#: Windows of so many dates at most are correlated by sums over masks of dates: 3^12 sums a window, whatever the number of entities.
+MASK_DATES = 12
+
+
 def pairwise_mean_correlation(df: DataFrame, x: str, entity: str, date: str, dates: int = 21, least: int = 2, block: int = 256, chunk: int = 64) -> DataFrame:
     """date, mean_corr, n_pairs: mean correlation of all pairs of entities over the last ``dates`` dates, each pair over the dates that both have
-    (``least`` of them, and some spread on both sides).
+    (``least`` of them, and some spread on both sides).  Pairs are never rows.
+
+    Windows of up to ``MASK_DATES`` dates cost in proportion to the entities (``_correlation_by_masks``), longer ones to their pairs (``_correlation_by_blocks``)."""
+    idx = df.select(date).distinct().withColumn("_i", F.row_number().over(Window.orderBy(date)))  # a row a date
+    d = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).groupBy(entity, date).agg(F.avg(F.col(x).cast("double")).alias("_x")).join(F.broadcast(idx), date)
+    sums = _correlation_by_masks(d, idx, entity, dates, least) if dates <= MASK_DATES else _correlation_by_blocks(d, entity, dates, least, block, chunk)
+    g = sums.groupBy("_i").agg((F.sum("s") / F.sum("n")).alias("mean_corr"), F.sum("n").alias("n_pairs")).where("n_pairs > 0")
+    return g.join(idx, "_i").select(date, "mean_corr", "n_pairs")
+
+
+def _correlation_by_masks(d: DataFrame, idx: DataFrame, entity: str, dates: int, least: int, low: int = 2) -> DataFrame:
+    """d: entity, _i, _x.  _i, s, n: sums of correlations and numbers of pairs, in parts.
+
+    An entity's mask are the dates of the window that it has; a pair is correlated over the dates C that both masks have.  Over a fixed C each entity is a vector
+    of norm one, and correlations are inner products; so the sum over all pairs whose masks meet in C comes from the sums S(A) of the vectors by mask A (those
+    that have C).  With T(D) = the sum of S over the masks that have D, pairs meeting exactly in C sum to the alternating sum of |T(D)|^2 over the D that have C.  A
+    task has one window and the sets C that begin alike on its first ``low`` dates; its sums' size does not grow with the entities."""
+    import numpy as np
+    import pandas as pd
+
+    low = min(low, dates)
+    e = d.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct("_i", "_x"))).alias("_s"))  # as many as there are dates
+    top = idx.agg(F.max("_i").alias("_top"))
+    e = e.crossJoin(F.broadcast(top)).withColumn("_t", F.explode(F.sequence(F.col("_s")[0]["_i"], F.least(F.element_at("_s", -1)["_i"] + dates - 1, F.col("_top")))))
+    e = e.select("_t", F.filter("_s", lambda r: r["_i"].between(F.col("_t") - dates + 1, F.col("_t"))).alias("_s")).where(F.size("_s") >= least)
+    bit = lambda r: F.call_function("shiftleft", F.lit(1), (r["_i"] - F.col("_t") + dates - 1).cast("int"))
+    e = e.select("_t", F.aggregate("_s", F.lit(0), lambda n, r: n.bitwiseOR(bit(r))).alias("mask"), F.transform("_s", lambda r: r["_x"]).alias("x"))
+    starts = F.filter(F.sequence(F.lit(0), F.lit((1 << low) - 1)), lambda g: g.bitwiseAND(F.col("mask")) == g)
+    e = e.select("_t", F.explode(starts).alias("g"), "mask", "x")
+    sets = [c for c in range(1 << dates) if bin(c).count("1") >= max(least, 2)]
+
+    def sums(pdf):
+        t, g = int(pdf["_t"].iloc[0]), int(pdf["g"].iloc[0])
+        masks = pdf["mask"].to_numpy().astype(np.int64)
+        has = (masks[:, None] >> np.arange(dates)) & 1 == 1
+        v = np.zeros(has.shape)
+        v[has] = np.concatenate(pdf["x"].to_numpy())
+        order = np.argsort(masks, kind="stable")
+        masks, v = masks[order], v[order]
+        distinct, first = np.unique(masks, return_index=True)
+        ends = np.append(first[1:], len(masks))
+        s, n = 0.0, 0
+        for c in sets:
+            if c & ((1 << low) - 1) != g:
+                continue
+            hit = distinct & c == c
+            if not hit.any():
+                continue
+            on = [k for k in range(dates) if c >> k & 1]
+            off = [k for k in range(dates) if not c >> k & 1]
+            size = (ends - first)[hit]
+            at = np.repeat(first[hit] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+            z = v[at][:, on]
+            z -= z.mean(1, keepdims=True)
+            norm = (z * z).sum(1)
+            fine = norm > 1e-15
+            z = np.where(fine[:, None], z / np.sqrt(np.where(fine, norm, 1.0))[:, None], 0.0)
+            starts = np.append(0, np.cumsum(size)[:-1])
+            rest = sum((distinct[hit] >> k & 1) << j for j, k in enumerate(off)) if off else np.zeros(int(hit.sum()), np.int64)
+            total = np.zeros((1 << len(off), len(on) + 1))
+            np.add.at(total, rest, np.column_stack([np.add.reduceat(z, starts, axis=0), np.add.reduceat(fine.astype(float), starts)]))
+            own = total[0, -1]  # with itself an entity meets in its whole mask
+            sign = np.ones(1)
+            for j in range(len(off)):
+                total = total.reshape(-1, 2, 1 << j, len(on) + 1)
+                total[:, 0] += total[:, 1]
+                sign = np.concatenate([sign, -sign])
+            total = total.reshape(1 << len(off), len(on) + 1)
+            s += (float(sign @ (total[:, :-1] ** 2).sum(1)) - own) / 2
+            n += round((float(sign @ total[:, -1] ** 2) - own) / 2)
+        return pd.DataFrame({"_i": [t], "s": [s], "n": [n]})
+
+    e = e.repartition(256, "_t", "g")  # few rows, but much work on each: not to be coalesced
+    return e.groupBy("_t", "g").applyInPandas(sums, "_i long, s double, n long")
+
+
+def _correlation_by_blocks(d: DataFrame, entity: str, dates: int, least: int, block: int, chunk: int) -> DataFrame:
+    """d: entity, _i, _x.  _i, s, n: sums of correlations and numbers of pairs, in parts.
 
     Entities are dealt to blocks and dates to chunks; a task has the rows of two blocks over a chunk and gets all windows' sums, squares, products and counts
-    by products of masked matrices.  Pairs are never rows, and a row goes to as many tasks as there are blocks."""
+    by products of masked matrices.  A row goes to as many tasks as there are blocks."""
     import numpy as np
     import pandas as pd
 
-    idx = df.select(date).distinct().withColumn("_i", F.row_number().over(Window.orderBy(date)))  # a row a date
-    blocks = max(1, -(-df.where(F.col(x).isNotNull()).select(entity).distinct().count() // block))
-    d = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).groupBy(entity, date).agg(F.avg(F.col(x).cast("double")).alias("_x")).join(idx, date)
+    blocks = max(1, -(-d.select(entity).distinct().count() // block))
     d = d.withColumns({"_b": F.pmod(F.xxhash64(entity), F.lit(blocks)).cast("int"), "_first": F.floor((F.col("_i") - 1) / chunk), "_last": F.floor((F.col("_i") + dates - 2) / chunk)})
     d = d.withColumn("_c", F.explode(F.sequence("_first", "_last"))).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     d = d.select(F.col("_c").cast("int").alias("c"), F.least("_b", "_o").alias("p"), F.greatest("_b", "_o").alias("q"), (F.col("_b") > F.col("_o")).alias("second"), F.xxhash64(entity).alias("e"), F.col("_i").alias("i"), F.col("_x").alias("x"))
@@ -217,8 +296,7 @@ def pairwise_mean_correlation(df: DataFrame, x: str, entity: str, date: str, dat
                 out.append((c * chunk + 1 + k, float((cov[fine] / np.sqrt(va[fine] * vb[fine])).sum()), int(fine.sum())))
         return pd.DataFrame(out, columns=["_i", "s", "n"])
 
-    g = d.groupBy("c", "p", "q").applyInPandas(both, "_i long, s double, n long").groupBy("_i").agg((F.sum("s") / F.sum("n")).alias("mean_corr"), F.sum("n").alias("n_pairs"))
-    return g.join(idx, "_i").select(date, "mean_corr", "n_pairs")
+    return d.groupBy("c", "p", "q").applyInPandas(both, "_i long, s double, n long")
 
 
 __all__ = [n for n in dir() if not n.startswith("_") and n != "annotations"]

@@ -213,3 +213,18 @@ def test_pairs_are_correlated_over_the_dates_both_have(spark):
                     if len(p) >= 4:
                         found.append(np.corrcoef(np.array(p).T)[0, 1])
             assert (t in got) == bool(found) and (not found or (got[t][1] == len(found) and got[t][0] == pytest.approx(np.mean(found), abs=1e-9)))
+
+
+def test_pair_correlations_of_many_names_without_pairs(spark, monkeypatch):
+    """Both ways of windows agree, and the way by masks deals a row to a window a bounded number of times, however many names there are."""
+    draw = random.Random(7)
+    x = [(e, t, float(e % 5 == 0) if e % 7 == 0 else draw.gauss(0, 1)) for e in range(700) for t in range(9) if draw.random() < 0.7]
+    d = spark.createDataFrame([*x, (1, 20, None)], "e long, t int, x double")
+    plain = stats._correlation_by_blocks
+    monkeypatch.setattr(stats, "_correlation_by_blocks", lambda *a: pytest.fail("pairs of blocks"))
+    masks = {r.t: r for r in stats.pairwise_mean_correlation(d, "x", "e", "t", 5, 3).collect()}
+    monkeypatch.setattr(stats, "_correlation_by_blocks", plain)
+    monkeypatch.setattr(stats, "MASK_DATES", 0)
+    blocks = {r.t: r for r in stats.pairwise_mean_correlation(d, "x", "e", "t", 5, 3).collect()}
+    assert set(masks) == set(blocks) and 20 in masks
+    assert all(masks[t].n_pairs == r.n_pairs and masks[t].mean_corr == pytest.approx(r.mean_corr, abs=1e-9) for t, r in blocks.items())
