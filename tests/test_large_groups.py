@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from panelwright.catalog import QUERIES
 from panelwright.functions import ranks as R
 from panelwright.operators import order, pit, policy, series, stats
 
@@ -228,3 +229,9 @@ def test_pair_correlations_of_many_names_without_pairs(spark, monkeypatch):
     blocks = {r.t: r for r in stats.pairwise_mean_correlation(d, "x", "e", "t", 5, 3).collect()}
     assert set(masks) == set(blocks) and 20 in masks
     assert all(masks[t].n_pairs == r.n_pairs and masks[t].mean_corr == pytest.approx(r.mean_corr, abs=1e-9) for t, r in blocks.items())
+
+
+@pytest.mark.parametrize("name", ["uncertainty_checks"])
+def test_rows_that_several_steps_read_are_made_once(spark, name):
+    """What the result reads are tables in the shared folder; each step began anew from lineitem."""
+    assert not [f for f in QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles() if "lineitem" in f]
