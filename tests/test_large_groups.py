@@ -231,7 +231,7 @@ def test_pair_correlations_of_many_names_without_pairs(spark, monkeypatch):
     assert all(masks[t].n_pairs == r.n_pairs and masks[t].mean_corr == pytest.approx(r.mean_corr, abs=1e-9) for t, r in blocks.items())
 
 
-@pytest.mark.parametrize("name", ["uncertainty_checks", "aleatoric_alignment", "predictor_comparison", "conditional_range", "epistemic_scaled", "conformal_coverage", "score_drift"])
+@pytest.mark.parametrize("name", ["uncertainty_checks", "aleatoric_alignment", "predictor_comparison", "conditional_range", "epistemic_scaled", "conformal_coverage", "score_drift", "drift_composite"])
 def test_rows_that_several_steps_read_are_made_once(spark, name):
     """What the result reads are tables in the shared folder; each step began anew from lineitem."""
     assert not [f for f in QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles() if "lineitem" in f]
