@@ -381,6 +381,7 @@ def children(node: pd.Series, sketch: pd.Series) -> pd.Series:
 
 def chunked(rows: DataFrame, most: int) -> DataFrame:
     """rows (node, cid, size) as (lid, cid): nodes of over ``most`` in chunks of about that size that all hold the node's smallest."""
+    rows = stored(rows, "sized")
     n = F.ceil(F.col("size") / (0.8 * most)).cast("long")
     part = F.when(F.col("size") <= most, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("cid"), n))
     own = rows.select("node", part.alias("part"), "cid")
@@ -447,7 +448,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, numerator: int = NUME
     # linked sets differ by less than one step of this ladder of sizes
     step = F.floor(F.log("n") / F.lit(float(np.log(100 / numerator)))).cast("long")
     rows = rows.where(F.col("size") > SMALL).select("cid", "comp", F.explode(F.array(F.xxhash64("node", step), F.xxhash64("node", step + 1))).alias("node")).distinct()
-    rows = apart(rows)
+    rows = stored(apart(rows), "nodes")
     lists.append(small_lists(rows))
     rows = rows.where(F.col("size") > SMALL).join(sketches.drop("n"), "cid")
     for level in range(MOST_LEVELS):
